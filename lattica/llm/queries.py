@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read_table
+from lattica.llm.language import identify
 from lattica.llm.pieces import encode_documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -20,8 +21,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE: dict[str, str] = {}
