@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm.common import read_table
 from lattica.llm.language import identify
 from lattica.llm.pieces import encode_documents
+from lattica.llm.shards import shard_documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -17,6 +18,10 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), piece_model())
 
@@ -26,6 +31,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_language_id": op7_language_id,
 }
