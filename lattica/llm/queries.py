@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read_table
+from lattica.llm.html_text import extract_pages
 from lattica.llm.language import identify
 from lattica.llm.pieces import encode_documents
 from lattica.llm.shards import shard_documents
@@ -30,10 +31,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLE: dict[str, str] = {}
