@@ -9,6 +9,7 @@ from lattica.llm.html_text import extract_pages
 from lattica.llm.language import identify
 from lattica.llm.pieces import encode_documents
 from lattica.llm.shards import shard_documents
+from lattica.llm.topk import TOP_K_SQL, top_k
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -27,6 +28,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
@@ -38,8 +43,11 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_pivot_top_k": op6_pivot_top_k,
     "op7_language_id": op7_language_id,
     "op9_html_extraction": op9_html_extraction,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_pivot_top_k": TOP_K_SQL,
+}
