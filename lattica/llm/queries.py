@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read_table
 from lattica.llm.html_text import extract_pages
+from lattica.llm.jaccard import jaccard_classes
 from lattica.llm.language import identify
 from lattica.llm.pieces import encode_documents
 from lattica.llm.shards import shard_documents
@@ -20,6 +21,10 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pivot_top_k": op6_pivot_top_k,
