@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read_table
+from lattica.llm.decontaminate import find_leaks
 from lattica.llm.html_text import extract_pages
 from lattica.llm.jaccard import jaccard_classes
 from lattica.llm.language import identify
@@ -21,6 +22,10 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -46,6 +51,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
