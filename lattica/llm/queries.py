@@ -9,6 +9,7 @@ from lattica.llm.decontaminate import find_leaks
 from lattica.llm.html_text import extract_pages
 from lattica.llm.jaccard import jaccard_classes
 from lattica.llm.language import identify
+from lattica.llm.pii import find_pii
 from lattica.llm.pieces import encode_documents
 from lattica.llm.shards import shard_documents
 from lattica.llm.topk import TOP_K_SQL, top_k
@@ -50,6 +51,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -58,6 +63,7 @@ QUERIES = {
     "op6_pivot_top_k": op6_pivot_top_k,
     "op7_language_id": op7_language_id,
     "op9_html_extraction": op9_html_extraction,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
