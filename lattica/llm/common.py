@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,14 @@ def running_offsets(counts: DataFrame, keys: list[str], lane: str, n: str, out:
 
     w = Window.partitionBy(*keys).orderBy(lane).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into a new folder of the shared checkpoint folder and read it back."""
+    spark = df.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{jsc.getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -259,3 +259,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
             F.coalesce(same, F.lit(True)).alias("is_first"),
         )
     )
+
+
+def first_of_class(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one for each class stays: the one
+    with the smallest doc_id. Rows that repeat exactly in doc_id and text count as one. Rows
+    without a doc_id stay."""
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    rows = durable(jaccard_classes(docs).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_or("is_first").alias("stays"), F.count("*").alias("n")))
+    gone = rows.where("not stays").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
+    kept = hashed.join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__text_hash") == F.col("__gone_hash")), "left_anti")
+    if not rows.where("stays and n > 1").isEmpty():
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__text_hash"])
+        kept = named.unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)

@@ -162,3 +162,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return typed.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
         lambda batches: _predict_partition(batches, langs, likelihood), "doc_id long, held_out boolean, lang_pred string, score double"
     )
+
+
+def _keep_partition(batches, langs, likelihood, least):
+    model = LanguageModel(langs, likelihood)
+    for batch in batches:
+        said = [model.predict(t.as_py()) for t in batch.column("text")]
+        yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in said], pa.bool_()))
+
+
+def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is determined with a share of
+    ``least_score`` or more of the text. Learns as ``identify`` does; where nothing can be learnt
+    no row is kept."""
+    model = LanguageModel.learn(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+    langs, likelihood = model.langs, model.likelihood
+    return docs.mapInArrow(lambda batches: _keep_partition(batches, langs, likelihood, least_score), docs.schema)
