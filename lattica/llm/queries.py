@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.llm.chat import CHAT_SQL, format_chats
 from lattica.llm.common import read_table
 from lattica.llm.decontaminate import find_leaks
 from lattica.llm.html_text import extract_pages
@@ -23,6 +24,10 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sharding": op4_sharding,
@@ -67,5 +73,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_formatting": CHAT_SQL,
     "op6_pivot_top_k": TOP_K_SQL,
 }
