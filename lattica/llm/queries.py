@@ -10,6 +10,7 @@ from lattica.llm.decontaminate import find_leaks
 from lattica.llm.html_text import extract_pages
 from lattica.llm.jaccard import jaccard_classes
 from lattica.llm.language import identify
+from lattica.llm.perplexity import judge
 from lattica.llm.pii import find_pii
 from lattica.llm.pieces import encode_documents
 from lattica.llm.shards import shard_documents
@@ -52,6 +53,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pivot_top_k": op6_pivot_top_k,
     "op7_language_id": op7_language_id,
+    "op8_perplexity_quality": op8_perplexity_quality,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
 }
