@@ -1,4 +1,6 @@
 """All queries on the driver tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lattica.plans import panels  # noqa: F401
+from lattica.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
