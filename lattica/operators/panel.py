@@ -27,7 +27,7 @@ def percent_rank_extremity(panel: DataFrame, score: str = "score") -> DataFrame:
 def minmax(panel: DataFrame, score: str = "score") -> DataFrame:
     """Adds scaled: the score's place between its period's extremes, null where they are equal."""
     ends = panel.groupBy("period").agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    return panel.join(F.broadcast(ends), "period").withColumn("scaled", F.try_divide(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
+    return panel.join(ends, "period").withColumn("scaled", F.try_divide(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
 
 
 def complete_entities(panel: DataFrame, n_periods: int) -> DataFrame:

@@ -364,7 +364,7 @@ sql_query("restricted_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE
 def share_threshold(t):
     z = scored(t)
     big = z.where("period = 2001").groupBy("cluster").agg(F.count("*").alias("m")).where("m >= 2")
-    return z.join(F.broadcast(big), "cluster", "left_semi").groupBy("period").agg(F.count("*").alias("n_kept"))
+    return z.join(big, "cluster", "left_semi").groupBy("period").agg(F.count("*").alias("n_kept"))
 
 
 @query()
