@@ -3,8 +3,8 @@
 Documents that share a link key (here: equal texts) form a group. Those of one group are
 interchangeable, so the state is a table of cells (group, shard, number of documents), which has
 at most as many rows for a group as there are shards. In each round a cell asks to move to the
-shard that holds most of its group; a group too large for one shard has as many such targets as
-it needs. Requests are granted in order of gain while the target's quota has room. Documents
+shard that holds most of its group and has room; a group too large for one shard has as many
+such targets as it needs. Requests are granted in order of gain while the target's quota has room. Documents
 without a link are no part of this: at the end they fill every shard up to its exact share.
 
 Sizes follow the law ``rows``: the numbers of documents differ by one at most. All ranks are
@@ -56,13 +56,17 @@ def propagate(cells: DataFrame, shards: int, quota: int, lanes: int, rounds: int
         room = [max(0, quota - held.get(s, 0)) for s in range(shards)]
         w = Window.partitionBy(*GROUP)
         ranked = (
-            cells.withColumn("tops", F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("shard"))).over(w)))
+            cells.withColumn("tops", F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), (_pick(room, F.col("shard")) <= 0).cast("int").alias("full"), F.col("shard"))).over(w)))
             .withColumn("wanted", F.ceil(F.sum("n").over(w) / F.lit(max(1, quota))).cast("int"))
             .withColumn("place", F.array_position(F.transform("tops", lambda x: x["shard"]), F.col("shard")).cast("int"))
         )
+        # shards that hold more of the group and have room, the first of which are the targets
+        better = F.filter(F.slice("tops", F.lit(1), F.col("place") - 1), lambda x: _pick(room, x["shard"]) > 0)
         asked = (
             ranked.where("place > wanted")
-            .withColumn("top", F.element_at("tops", F.pmod(F.col("place") - 1, F.col("wanted")) + 1))
+            .withColumn("better", better)
+            .where(F.size("better") > 0)
+            .withColumn("top", F.element_at("better", F.pmod(F.col("place") - 1, F.least(F.size("better"), "wanted")) + 1))
             .select(*GROUP, "shard", "n", F.col("top.shard").alias("to"), (-F.col("top.less") - F.col("n")).alias("gain"))
         )
         moves = _granted(asked, room, lanes).where("granted > 0")
