@@ -16,6 +16,7 @@ trusted documents that the model has not seen.
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import numpy as np
@@ -172,7 +173,7 @@ class _Shard:
         return out
 
 
-_BUILT: dict[int, _Shard] = {}
+_BUILT: dict[str, _Shard] = {}
 
 
 def _score_partition(batches, shard):
@@ -247,7 +248,7 @@ class _Broadcast:
     """A broadcast with a number by which a worker knows it again."""
 
     def __init__(self, held):
-        self.held, self.id = held, id(held)
+        self.held, self.id = held, uuid.uuid4().hex
 
     @property
     def value(self):
