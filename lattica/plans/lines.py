@@ -172,7 +172,7 @@ def flippers(t):
 
 sql_query("variance_by_category", "SELECT event_type, count(*) AS n, round(var_samp(value), 4) AS v FROM events GROUP BY event_type")
 sql_query("frequency_percent", "SELECT coalesce(event_type, 'none') AS event_type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM events GROUP BY 1")
-sql_query("rowwise_label_votes", f"WITH {LAB} SELECT entity, sum(CASE WHEN label THEN 1 ELSE 0 END) AS n_yes, sum(CASE WHEN label THEN 0 ELSE 1 END) AS n_no, max_by(label, period) AS last_label FROM lab GROUP BY entity")
+sql_query("rowwise_label_votes", f"WITH {LAB} SELECT entity, CAST(sum(CASE WHEN label THEN 1 ELSE 0 END) AS BIGINT) AS n_yes, CAST(sum(CASE WHEN label THEN 0 ELSE 1 END) AS BIGINT) AS n_no, max_by(label, period) AS last_label FROM lab GROUP BY entity")
 
 
 @query("SELECT DISTINCT event_type, user_id AS entity FROM events WHERE day(ts) = 3")

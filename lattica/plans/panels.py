@@ -103,7 +103,7 @@ def kendall_trend(t):
 
 
 @query(f"""{MEANS}, pv AS (SELECT * FROM (VALUES {", ".join(f"({n}, {s}, {stats.kendall_exact_p(n, s)!r})" for n in range(2, 8) for s in range(n * (n - 1) // 2 % 2, n * (n - 1) // 2 + 1, 2))}) AS v(n, s, p))
-SELECT kp.cluster, round(p, 6) AS p FROM kp JOIN kn ON kp.cluster = kn.cluster JOIN pv ON pv.n = kn.n AND pv.s = abs(kp.s / 2)""")
+SELECT kp.cluster, round(CAST(p AS DOUBLE), 6) AS p FROM kp JOIN kn ON kp.cluster = kn.cluster JOIN pv ON pv.n = kn.n AND pv.s = abs(kp.s / 2)""")
 def kendall_pvalue(t):
     tau = stats.kendall(_series(t), ["cluster"], "period", "m")
     rows = [(n, s, stats.kendall_exact_p(n, s)) for n in range(2, N_PERIODS + 1) for s in range(n * (n - 1) // 2 % 2, n * (n - 1) // 2 + 1, 2)]
@@ -293,7 +293,7 @@ sql_query("series_long", f"WITH {P1}{ANOVA} SELECT period, 'eta2_percent' AS mea
 sql_query("robust_movers", f"WITH {P1}{CONTRIB}{SPLIT}, k AS (SELECT s.cluster, change, rank() OVER (ORDER BY round(change, 10) DESC) AS up, rank() OVER (ORDER BY round(change, 10)) AS down FROM s JOIN b ON s.cluster = b.cluster WHERE b.period = 2001 AND b.n >= 2) SELECT cluster, round(change, 8) AS change, CASE WHEN up <= 3 THEN 'up' ELSE 'down' END AS side FROM k WHERE up <= 3 OR down <= 3")
 
 sql_query("cluster_period_means", f"WITH {P1} SELECT period, cluster, count(*) AS n, round(avg(z), 6) AS m, round(var_samp(z), 6) AS v FROM z GROUP BY period, cluster")
-sql_query("group_conditional_counts", f"WITH {P1} SELECT cluster, count(*) FILTER (WHERE z > 0) AS n_pos, sum(CASE WHEN z < 0 THEN 1 ELSE 0 END) AS n_neg, round(sqrt(avg(z * z)), 6) AS rms FROM z WHERE cluster <> 0 GROUP BY cluster")
+sql_query("group_conditional_counts", f"WITH {P1} SELECT cluster, count(*) FILTER (WHERE z > 0) AS n_pos, CAST(sum(CASE WHEN z < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg, round(sqrt(avg(z * z)), 6) AS rms FROM z WHERE cluster <> 0 GROUP BY cluster")
 sql_query("distinct_entities", f"WITH {P1} SELECT period, count(DISTINCT entity) AS n, count(DISTINCT CASE WHEN z > 0 THEN entity END) AS n_pos FROM z GROUP BY period")
 sql_query("value_at_first_last", f"WITH {P1} SELECT entity, round(min_by(score, period), 4) AS first_value, round(max_by(score, period), 4) AS last_value FROM p1 GROUP BY entity")
 sql_query("group_quantiles", f"WITH {P1} SELECT period, round(median(z), 6) AS med, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY z), 6) AS q10, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY z), 6) AS q90 FROM z GROUP BY period")

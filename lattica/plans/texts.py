@@ -131,7 +131,7 @@ def two_stage_distinct(t):
     return text.token_counts(t.documents.where("text is not null"), "lang").groupBy("lang").agg(F.count("*").alias("n_tokens"))
 
 
-@query(f"WITH {CNT} SELECT upper(source) AS key, sum(n) AS n FROM cn JOIN (SELECT DISTINCT lower(source) AS s FROM documents) d ON d.s = lower(cn.source) GROUP BY 1")
+@query(f"WITH {CNT} SELECT upper(source) AS key, CAST(sum(n) AS BIGINT) AS n FROM cn JOIN (SELECT DISTINCT lower(source) AS s FROM documents) d ON d.s = lower(cn.source) GROUP BY 1")
 def lower_key_join(t):
     d = t.documents.select(F.lower("source").alias("s")).distinct()
     return counts(t).withColumn("s", F.lower("source")).join(d, "s").groupBy(F.upper("source").alias("key")).agg(F.sum("n").alias("n"))
