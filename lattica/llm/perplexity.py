@@ -10,8 +10,9 @@ The model grows with the corpus, so it is never held as a whole. All n-grams by
 is judged agree in the character before it: the tables are sharded by that, into shards of at
 most ``SHARD_ENTRIES`` entries, and each is broadcast for one pass over the documents that gives
 every document's partial sum of logarithms. The sums are added up by document. A document stays
-when its perplexity is at most its language's quantile of the perplexities of
-trusted documents that the model has not seen.
+when its perplexity is at most its language's threshold: that quantile of the perplexities of
+trusted documents that the model has not seen which best parts them from documents labelled as
+poor or toxic.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import durable
@@ -30,7 +31,11 @@ ORDER = 5
 CLASSES = 256
 #: Entries of the probability and backoff tables that are broadcast at once.
 SHARD_ENTRIES = 4_000_000
+#: The loosest quantile of trusted documents; in steps of ``STEP`` down to ``TIGHTEST`` others are tried.
 QUANTILE = 0.99
+STEP, TIGHTEST = 0.01, 0.5
+#: A language's share of poor or toxic documents kept is taken of so many at least, so that a few don't set its threshold.
+LEAST_POOR = 10
 #: Accuracy of the quantiles' sketch: their rank is off by at most one in so many.
 ACCURACY = 10_000
 #: Labels that are broadcast to find the trusted documents; beyond that they are joined by shuffle.
@@ -255,20 +260,39 @@ class _Broadcast:
         return self.held.value
 
 
+def _thresholds(known: DataFrame, keys: list[str], quantile: float) -> DataFrame:
+    """keys, cut: of the quantiles of the good documents' perplexities the one that keeps the most
+    of the good less what it keeps of the others (as shares); the loosest where several do."""
+    steps = max(0, round((quantile - TIGHTEST) / STEP))
+    grid = [quantile - STEP * k for k in range(steps, -1, -1)]
+    cuts = known.where("good").groupBy(*keys).agg(F.percentile_approx("perplexity", grid, ACCURACY).alias("cuts"))
+    held = known.join(F.broadcast(cuts), keys) if keys else known.crossJoin(F.broadcast(cuts))
+    held = held.where("cuts is not null").withColumn("place", F.size(F.filter("cuts", lambda c: c < F.col("perplexity"))))
+    by_place = held.groupBy(*keys, "place", "cuts").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("poor"))
+    every = Window.partitionBy(*keys)
+    upto = every.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gain = F.sum("good").over(upto) / F.sum("good").over(every) - F.sum("poor").over(upto) / F.greatest(F.sum("poor").over(every), F.lit(LEAST_POOR))
+    tried = by_place.withColumn("gain", gain).where(F.col("place") < len(grid))
+    return tried.groupBy(*keys).agg(F.max_by("cuts", F.struct("gain", "place")).alias("cuts"), F.max(F.struct("gain", "place"))["place"].alias("place")).select(*keys, F.get("cuts", "place").alias("cut"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row for each row of ``docs`` (rows equal in doc_id, lang and text count as one): doc_id,
     lang, perplexity, threshold, keep.
 
-    Trusted are documents with a label of quality 1 and none of toxic 1. A null or empty text has
-    no perplexity and is not kept. A null language counts as ``und``. A language without trusted
-    documents to test on takes the threshold of all languages together; without any trusted text there is
-    no threshold, and every document with text is kept. Other columns are not read.
+    Trusted are documents with a label of quality 1 and none of toxic 1; those of any other label
+    of quality or toxicity are not good. The thresholds are quantiles of at most ``quantile``, chosen on
+    the documents of one fold. A null or empty text has no perplexity and is not kept. A null
+    language counts as ``und``. A language without trusted documents to test on takes the threshold of all
+    languages together; without any trusted text there is no threshold, and every document with text
+    is kept. Other columns are not read.
     """
     typed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").cast("string").alias("text")
     ).withColumn("text_hash", F.xxhash64("text"))
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
-    good = durable(good.where("q = 1 and coalesce(t, 0) <> 1").select("doc_id"))
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    marks = durable(marks.where("q is not null or t is not null").select("doc_id", F.expr("coalesce(q, 0) = 1 and coalesce(t, 0) <> 1").alias("good")))
+    good = marks.where("good").select("doc_id")
     few = good.count() <= BROADCAST_LABELS
     test = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
     trusted = typed.where(~test).join(F.broadcast(good) if few else good, "doc_id", "left_semi")
@@ -280,12 +304,12 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
         .agg(F.sum("logs").alias("logs"), F.sum("n").alias("n"))
     )
     scores = durable(scores.select("doc_id", "lang", F.when(F.col("n") > 0, F.round(F.exp(-F.col("logs") / F.col("n")), 6)).alias("perplexity")))
-    known = scores.join(good, "doc_id", "left_semi").where("perplexity is not null").where(test)
-    by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, ACCURACY).alias("own"))
-    overall = known.agg(F.percentile_approx("perplexity", quantile, ACCURACY).alias("overall"))
+    known = durable(scores.where("perplexity is not null").where(test).join(marks, "doc_id"))
+    by_lang = _thresholds(known, ["lang"], quantile).withColumnRenamed("cut", "own")
+    overall = _thresholds(known, [], quantile).agg(F.max("cut").alias("overall"))
     threshold = F.coalesce("own", "overall")
     return (
-        scores.join(by_lang, "lang", "left")
+        scores.join(F.broadcast(by_lang), "lang", "left")
         .crossJoin(F.broadcast(overall))
         .select("doc_id", "lang", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))).alias("keep"))
     )

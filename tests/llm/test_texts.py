@@ -109,6 +109,19 @@ def test_quality_edge_cases(spark):
     assert perplexity.judge(docs.limit(0), none).count() == 0
 
 
+def test_documents_with_toxic_words_are_not_kept(spark):
+    rng = random.Random(9)
+    words = ["house", "river", "walks", "under", "green", "stone", "morning", "seldom"]
+    foul = ["xqzvk", "wkjqx", "zzvqj"]
+    text = lambda n: " ".join([rng.choice(words) for _ in range(30 - n)] + [rng.choice(foul) for _ in range(n)])
+    # one good document in twenty is odd itself: the 0.99 quantile would let the toxic ones pass
+    kinds = [(i, (2 if i % 20 == 0 else 0) if i < 800 else 2) for i in range(1000)]
+    docs = spark.createDataFrame([(i, text(n), "en") for i, n in kinds], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 800)) for i, _ in kinds], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in perplexity.judge(docs, labels).collect() if r["keep"]}
+    assert sum(i in kept for i in range(800)) > 700 and sum(i in kept for i in range(800, 1000)) < 20
+
+
 def test_pages(spark):
     page = """<!DOCTYPE html><html><head><title>no</title><script>var t="<p>no</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href=/a>menu</a></ul></nav><div class="cookie-notice">We use cookies, yes, yes, yes</div><div id=sidebar><p>a, b, c, d, e, f, g</p></div>
