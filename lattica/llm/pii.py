@@ -9,6 +9,10 @@ Trees are fitted on four fifths of the documents; on the rest, for each generato
 score is found from which on precision reaches ``PRECISION``. Vectors above that threshold are
 selected, and their candidates that overlap no base span are added.
 
+Data that stand next to each other make one match that fails its check as a whole. Of such a match
+the parts are proposed: every sequence of digit groups as long as a card, and the run behind a "+"
+up to the next span. Parts are decided by the check of their format and not by the trees.
+
 Everything is DataFrame functions and the JVM's own trees. Places are found without leaving
 them: a pattern's matches are marked in one pass, the text is cut at the marks, and a window adds
 up the lengths. All that is shuffled is doc_id, a hash of the text, and the matches.
@@ -49,8 +53,21 @@ GUARDS = {
     "address": lambda t: F.contains(t, F.lit("@")) | t.rlike(r"(?i)[\[({<]\x20?at\x20?[\])}>]|\x20at\x20[a-z0-9-]+\x20?(?:[\[({<]|dot|\.[a-z])"),
     "digits": lambda t: t.rlike(r"[0-9][\x20()./-]{0,2}[0-9]"),
 }
-#: Digits that a candidate of the second generator has at least and at most.
+#: Digits that a candidate of the second generator has at least and at most; longer runs are proposed in parts.
 DIGITS = (7, 19)
+#: A card's digits as a part of a longer match, without those of ``ISSUED``.
+CARD_DIGITS = (16, 19)
+#: Shorter cards, known by issuer and length.
+ISSUED = r"^(?:3[47][0-9]{13}|3[0689][0-9]{12}|4[0-9]{12})$"
+#: Groups of a card have so many digits at least, but for the last.
+LEAST_GROUP = 3
+_GROUPS = 1 + CARD_DIGITS[1] // LEAST_GROUP
+#: Starts of a "+" run that are a phone number, best first: of its country's length, before white space, before no digit.
+PHONE_STARTS = [
+    r"^\+1[\x20().-]*+(?:[0-9][\x20().-]*+){9}[0-9](?![0-9])",
+    r"^\+(?:[0-9][\x20().-]*+){7,14}[0-9](?=\x20|$)",
+    r"^\+(?:[0-9][\x20().-]*+){7,14}[0-9](?![0-9])",
+]
 CONTEXT = 24
 CUES = {
     1: r"(?i)mail|write|contact|kontakt|correo|courriel",
@@ -180,22 +197,74 @@ def _kind() -> Column:
     return F.when(F.col("of") == "address", 0).otherwise(number)
 
 
+def _overlapping(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows`` with ``hit``: whether one of ``spans`` overlaps."""
+    both = rows.withColumn("base", F.lit(False)).unionByName(spans.select(*_DOC, "start", "end", F.lit(True).alias("base")), allowMissingColumns=True)
+    by_start = Window.partitionBy(*_DOC).orderBy("start")
+    ends = F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    starts = F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    hit = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+    return both.withColumn("hit", hit).where("not base").drop("base")
+
+
+def _card_parts(found: DataFrame, base: DataFrame) -> DataFrame:
+    """dk, th, kind, start, end: sequences of digit groups within a match that is no card as a
+    whole which are cards by themselves and overlap no base span. Of those that overlap each
+    other the one of fewest groups stays, and of these the first."""
+    runs = found.where(F.col("of").isin("card", "digits") & ~is_base() & (F.length(_digits()) >= 13))
+    zipped = F.arrays_zip(F.split("match", "[0-9]+", -1).alias("gap"), F.expr("regexp_extract_all(match, '[0-9]+', 0)").alias("group"))
+    groups = runs.select(*_DOC, "of", "start", F.posexplode(zipped).alias("i", "x")).select(*_DOC, "of", "start", "i", F.length("x.gap").alias("gap"), F.col("x.group").alias("group")).where("group is not null")
+    w = Window.partitionBy(*_DOC, "of", "start").orderBy("i")
+    at = F.col("start") + F.sum(F.col("gap") + F.length("group")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("group")
+    ahead = F.collect_list(F.struct("at", "group")).over(w.rowsBetween(Window.currentRow, _GROUPS - 1))
+
+    def sequence(k: Column) -> Column:
+        last = F.element_at("ahead", k)
+        return F.struct(
+            F.col("at").alias("start"),
+            (last["at"] + F.length(last["group"])).alias("end"),
+            F.array_join(F.transform(F.slice("ahead", 1, k), lambda x: x["group"]), "").alias("digits"),
+            F.exists(F.slice("ahead", 1, k - 1), lambda x: F.length(x["group"]) < LEAST_GROUP).alias("short"),
+            k.alias("n"),
+        )
+
+    every = groups.withColumn("at", at).withColumn("ahead", ahead).select(*_DOC, F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), sequence)).alias("x")).select(*_DOC, "x.*")
+    long = F.length("digits").between(*CARD_DIGITS) | F.col("digits").rlike(ISSUED)
+    cards = every.where(long & ~F.col("short")).where(F.call_function("luhn_check", F.col("digits"))).select(*_DOC, "start", "end", "n").dropDuplicates([*_DOC, "start", "end"])
+    cards = _overlapping(cards, base).where("not hit").groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("n", "start", "end"))).alias("all"))
+    clear = lambda held, x: ~F.exists(held, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]))
+    chosen = F.aggregate("all", F.slice("all", 1, 0), lambda held, x: F.when(clear(held, x), F.concat(held, F.array(x))).otherwise(held))
+    return cards.select(*_DOC, F.explode(chosen).alias("x")).select(*_DOC, F.lit(KINDS.index("card")).alias("kind"), "x.start", "x.end")
+
+
+def _phone_parts(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """dk, th, kind, start, end: the phone numbers at the start of "+" runs that have too many
+    digits as a whole. A run ends where the next of ``spans`` starts."""
+    runs = found.where((F.col("of") == "phone") & (F.length(_digits()) > 15)).select(*_DOC, "match", "start")
+    both = runs.unionByName(spans.select(*_DOC, "start"), allowMissingColumns=True)
+    after = Window.partitionBy(*_DOC).orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    room = F.min(F.when(F.col("match").isNull(), F.col("start"))).over(after) - F.col("start")
+    cut = both.withColumn("room", room).where("match is not null").withColumn("head", F.when(F.col("room").isNull(), F.col("match")).otherwise(F.left("match", F.col("room").cast("int"))))
+    whole = F.regexp_extract("head", r"^\+.*[0-9]", 0)
+    starts = [F.when(F.length(_digits("head")).between(8, 15), whole), *[F.nullif(F.regexp_extract("head", p, 0), F.lit("")) for p in PHONE_STARTS]]
+    cut = cut.withColumn("part", F.coalesce(*starts)).where("part is not null")
+    return cut.select(*_DOC, F.lit(KINDS.index("phone")).alias("kind"), "start", (F.col("start") + F.length("part")).alias("end"))
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """dk, th, kind (place in ``KINDS``), start, end, base: base spans and selected candidates."""
+    """dk, th, kind (place in ``KINDS``), start, end, base: base spans, checked parts of longer
+    matches, and selected candidates."""
     found = durable(matches(docs))
     base = found.where(F.col("of").isin(*KINDS) & is_base()).select(
         *_DOC, F.array_position(F.array(*map(F.lit, KINDS)), F.col("of")).cast("int").alias("kind"), "start", "end", F.lit(True).alias("base")
     )
     base = base.withColumn("kind", F.col("kind") - 1)
+    cards = durable(_card_parts(found, base))
+    parts = cards.unionByName(_phone_parts(found, base.select(*_DOC, "start", "end").unionByName(cards.select(*_DOC, "start", "end"))))
+    base = durable(base.unionByName(parts.withColumn("base", F.lit(False))))
     enough = (F.col("of") == "address") | F.length(_digits()).between(*DIGITS)
     proposed = found.where(F.col("of").isin(*GENERATORS) & enough).select(*_DOC, "start", "end", _kind().cast("int").alias("kind"), *_features())
-
-    both = proposed.withColumn("base", F.lit(False)).unionByName(base, allowMissingColumns=True)
-    by_start = Window.partitionBy(*_DOC).orderBy("start")
-    ends = F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    starts = F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    hit = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
-    candidates = durable(both.withColumn("hit", hit).where("not base").drop("base"))
+    candidates = durable(_overlapping(proposed, base))
     test = F.pmod(F.xxhash64("th", F.lit(5)), F.lit(5)) == 0
     counted = lambda c: F.count_if(c).alias
     vectors = durable(

@@ -167,6 +167,21 @@ def test_base_spans_against_python(spark):
     assert pii.find_pii(frame.limit(0)).count() == 0
 
 
+def test_neighbouring_data_are_found(spark):
+    texts = {
+        "a 7536784127813050 4845168114407329 b": "a [CARD] [CARD] b",
+        "a +1 (826) 555-4081 190.137.223.204 b": "a [PHONE] [IP] b",
+        "a 4111 1111 1111 1111 4111-1111-1111-1111 b": "a [CARD] [CARD] b",
+        "+1 (826) 555-4081 4111111111111111, x": "[PHONE] [CARD], x",
+        "10.1.2.3 4111111111111111 10.1.2.3": "[IP] [CARD] [IP]",
+        "+1 (826) 555-4081 2024 05 17": "[PHONE] 2024 05 17",
+        "7536784127813051 4845168114407320 b": "7536784127813051 4845168114407320 b",
+    }
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(frame).orderBy("doc_id").collect()] == list(texts.values())
+    assert {r["n_card"] for r in pii.find_pii(frame).where("doc_id = 0").collect()} == {0}  # counts are of base spans
+
+
 def test_redaction(spark):
     rows = [(1, "🦜 mail a@b.co or +1 (830) 555-5433x 4111111111111111. end", 1), (2, "nothing", 1), (2, "nothing", 1), (None, None, 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, start int")
