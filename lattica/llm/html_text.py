@@ -3,8 +3,9 @@
 A tolerant parser builds a tree from the whole page. Parts that are boilerplate by element, role
 or class name go. Each paragraph has points for its length and its commas; it passes them to its
 parent, and ever smaller shares to further ancestors. A container's score is the sum of what it
-got, plus a bonus for its kind, times one less its link density. The best container is kept, with
-those of its siblings that score well or are long prose; the text blocks below them, in page
+got, plus a bonus for its kind, times one less its link density. Where the best container lies in
+an article (or else in a main element), that element is kept whole; else the best container. With it
+go those of its siblings that score well or are long prose; the text blocks below them, in page
 order, are the result.
 """
 
@@ -200,8 +201,18 @@ def _is_link_list(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "table", "dl") and _density(node) > 0.6
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    """Adds the node's text blocks in page order."""
+def _article(node: Node) -> Node | None:
+    """The outermost article about the node or, without one, the outermost main element."""
+    found: dict[str, Node] = {}
+    x: Node | None = node
+    while x is not None:
+        found[x.tag] = x
+        x = x.parent
+    return found.get("article") or found.get("main")
+
+
+def _blocks(node: Node, out: list[str], whole: bool = False) -> None:
+    """Adds the node's text blocks in page order; lists of links within only if it is ``whole``."""
     line: list[str] = []
 
     def close() -> None:
@@ -218,7 +229,7 @@ def _blocks(node: Node, out: list[str]) -> None:
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif x is node or not x.gone and not _is_link_list(x):
+        elif x is node or not x.gone and (whole or not _is_link_list(x)):
             if x.tag == "br":
                 line.append(" ")
             elif x.tag in BLOCK:
@@ -241,18 +252,20 @@ def main_text(page: str | None) -> str:
     if not _value(best):
         _blocks(nodes[0], out)
         return "\n".join(out)
-    value, above = _value(best), best.parent
+    value, article = _value(best), _article(best)
+    best = article or best
+    above = best.parent
     if above is None:
-        _blocks(best, out)
+        _blocks(best, out, article is not None)
         return "\n".join(out)
     for x in above.parts:
         if x is best:
-            _blocks(x, out)
+            _blocks(x, out, article is not None)
         elif isinstance(x, Node) and not x.gone and x.tag in BLOCK and not _is_link_list(x):
             text = _own_text(x) if x.tag == "p" else ""
             same = x.tag == best.tag and x.names == best.names and x.tag == "article"
             if same or _value(x) >= max(30.0, 0.4 * value) or len(text) > 80 and _density(x) < 0.25:
-                _blocks(x, out)
+                _blocks(x, out, same)
     return "\n".join(out)
 
 

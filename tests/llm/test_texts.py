@@ -133,6 +133,16 @@ def test_pages(spark):
     assert [x[0] for x in got] == [1, 2, 3, 3, 4] and (2, 0, "") in got and (3, 4, "deep") in got and (4, 10, "plain text") in got
 
 
+def test_an_article_is_kept_whole():
+    long = ["Prose of some length, with a comma, that goes on and on. " * 4 + str(i) for i in range(20)]
+    parts = "".join(f"<p>{x}</p>" for x in long)
+    page = f"""<body><div><p>menu</p></div><article><h1>Title</h1>bare<section>{parts}</section><section><p>s1</p><p>s2</p></section><p>short</p>
+    <ul><li><a href=/a>a linked source</a></li></ul><table><tr><td>cell</td></tr></table><aside>no</aside></article><div><a href=/b>next page</a></div></body>"""
+    want = ["Title", "bare", *(" ".join(x.split()) for x in long), "s1", "s2", "short", "a linked source", "cell"]
+    assert html_text.main_text(page).split("\n") == want
+    assert html_text.main_text(page.replace("article>", "main>")).split("\n") == want
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
