@@ -4,8 +4,9 @@ An item of the benchmark is searched in windows. If a window of m characters occ
 with at most e edits, the two share at least m + 1 - q (e + 1) q-grams whose diagonals (place in
 the text less place in the window) differ by at most e. Shared q-grams are therefore counted in
 diagonal bands of width 2 (e + 1), of which each overlaps the next by half, so that one band has
-them all; windows whose count meets the bound are verified by an edit-distance alignment that
-stays within the band.
+them all; windows whose count meets the bound, wherever in the item they start, are verified by an
+edit-distance alignment that stays within the band. A window that needs d edits tells that none of
+the next d - e - 1 starts can do with e.
 
 Texts are compared in lower case, with every run of other characters than letters and digits as
 one space. The benchmark is dealt into slices of bounded size; the index of a slice is built in
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 10
-WINDOW, STRIDE = 96, 32
+WINDOW = 96
 #: One edit is allowed for so many characters of a window.
 EDIT_CHARS = 14
 #: Items with fewer characters are too short to tell a leak from chance.
@@ -59,10 +60,11 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return (ten ^ (ten >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def aligned(pattern: np.ndarray, text: np.ndarray, first: int, last: int, edits: int) -> int | None:
-    """Fewest edits, if at most ``edits``, that turn the pattern into some part of the text.
+def aligned(pattern: np.ndarray, text: np.ndarray, first: int, last: int, edits: int) -> int:
+    """Fewest edits that turn the pattern into some part of the text.
 
-    Only cells on the diagonals ``first - edits`` to ``last + edits`` are worked out.
+    Only cells on the diagonals ``first - edits`` to ``last + edits`` are worked out, so that a
+    number above ``edits`` may be too large.
     """
     low, width = first - edits, last - first + 2 * edits + 1
     far = len(pattern) + len(text) + 1
@@ -79,10 +81,16 @@ def aligned(pattern: np.ndarray, text: np.ndarray, first: int, last: int, edits:
         step = np.where(inside, step, far)
         row = np.minimum.accumulate(step - steps) + steps  # characters of the text are put in
         row = np.where(inside, row, far)
-        if row.min() > edits:
-            return None
-    best = int(row.min())
-    return best if best <= edits else None
+    return int(row.min())
+
+
+def part(codes: np.ndarray, begin: int, end: int, lo: int, hi: int) -> np.ndarray:
+    """``codes[begin:end]`` with zeros, which match nothing, for all outside of ``lo`` to ``hi``."""
+    out = np.zeros(end - begin, np.uint32)
+    a, b = max(lo, begin), min(hi, end)
+    if a < b:
+        out[a - begin : b - begin] = codes[a:b]
+    return out
 
 
 class Index:
@@ -103,8 +111,7 @@ class Index:
         self.edits = np.array([min(len(c), WINDOW) // EDIT_CHARS for _, c in self.items], np.int64)
 
     def windows(self, item: int) -> list[int]:
-        size = len(self.items[item][1])
-        return sorted({*range(0, max(1, size - WINDOW + 1), STRIDE), max(0, size - WINDOW)})
+        return list(range(max(1, len(self.items[item][1]) - WINDOW + 1)))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(number of the text, item_id, first character of the window, edits), at most one for
@@ -156,18 +163,19 @@ class Index:
             e, need = int(self.edits[it]), max(1, int(bound[it]))
             places = np.unique(place[hits])
             band = int(code[first[k]] % span) * (e + 1) - WINDOW
-            for w in self.windows(it):
-                if np.searchsorted(places, w + size[it] - Q, "right") - np.searchsorted(places, w) < need:
+            lo, hi = int(starts[t]), int(starts[t + 1]) - 1
+            w = np.array(self.windows(it))
+            least = 0
+            for w in w[np.searchsorted(places, w + size[it] - Q, "right") - np.searchsorted(places, w) >= need].tolist():
+                if w < least:
                     continue
-                lo, hi = int(starts[t]), int(starts[t + 1]) - 1
-                begin, end = max(lo, w + band - e), min(hi, w + int(size[it]) + band + 3 * e + 2)
-                cost = aligned(self.items[it][1][w : w + size[it]], codes[begin:end], w + band - begin, w + band + 2 * e + 1 - begin, e)
-                if cost is not None:
+                begin, end = w + band - e, w + int(size[it]) + band + 3 * e + 2
+                cost = aligned(self.items[it][1][w : w + size[it]], part(codes, begin, end, lo, hi), e, 3 * e + 1, e)
+                if cost <= e:
                     done.add((t, it))
                     yield t, self.items[it][0], w, cost
                     break
-
-
+                least = w + cost - e
 _BUILT: dict[int, tuple[list, Index]] = {}
 
 

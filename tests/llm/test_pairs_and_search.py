@@ -124,6 +124,18 @@ def test_leaks_within_the_budget_are_found(spark):
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0 and decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
+def test_passages_are_found_at_every_offset():
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    item = decontaminate.normalise(noise(400))
+    index = decontaminate.Index([(7, item)])
+    size = decontaminate.WINDOW
+    texts = [f"{noise(200)} {item[w : w + size]} {noise(200)}" for w in range(len(item) - size + 1)]
+    texts += [f"{item[w : w + size]} {noise(50)}" for w in range(0, 300, 7)] + [noise(50) + item[w : w + size] for w in range(0, 300, 7)]
+    assert {t for t, *_ in index.search(texts)} == set(range(len(texts)))
+    assert not index.search([f"{noise(100)} {item[w : w + 60]} {noise(100)}" for w in range(0, 300, 11)])
+
+
 @pytest.mark.parametrize("blocks", [16_384, 16])
 def test_top_k_against_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks)
