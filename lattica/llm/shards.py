@@ -4,12 +4,15 @@ Documents that share a link key (here: equal texts) form a group. Those of one g
 interchangeable, so the state is a table of cells (group, shard, number of documents), which has
 at most as many rows for a group as there are shards. In each round a cell asks to move to the
 shard that holds most of its group and has room; a group too large for one shard has as many
-such targets as it needs. Requests are granted in order of gain while the target's quota has room. Documents
+such targets as it needs. The driver grants numbers of rows for each pair of shards: what has room,
+what takes a place that another request leaves, and what two or three shards can exchange; so full
+shards still pass rows on. Within a pair requests are granted in order of gain. Rounds go on until none brings
+documents of a group together. Documents
 without a link are no part of this: at the end they fill every shard up to its exact share.
 
 Sizes follow the law ``rows``: the numbers of documents differ by one at most. All ranks are
 made from counts by lane (a hash of doc_id), so no task gets all rows of a group or a shard.
-Only built-in DataFrame functions are used; the driver sees one row for each shard and round.
+Only built-in DataFrame functions are used; the driver sees one row for each pair of shards and round.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ LAW = "rows"
 #: A lane is meant to hold about so many rows of a group that takes in every row.
 LANE_ROWS = 100_000
 LEAST_LANES = 256
-ROUNDS = 5
 GROUP = ["link", "link2"]
 
 
@@ -43,34 +45,79 @@ def _granted(requests: DataFrame, room: list[int], lanes: int) -> DataFrame:
     )
 
 
-def propagate(cells: DataFrame, shards: int, quota: int, lanes: int, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (link, link2, shard, n) after label propagation under ``quota`` rows a shard."""
-    seen = None
-    for _ in range(rounds):
-        loads = cells.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()
-        state = sorted((r["shard"], r["n"], r["cells"]) for r in loads)
-        if state == seen or not state:
+def _flows(asked: dict[tuple[int, int], int], room: list[int]) -> list[int]:
+    """Rows granted from shard to shard, at place ``from * shards + to``: no shard takes in more
+    than its room and what leaves it."""
+    shards, room = len(room), list(room)
+    left, granted = dict(asked), [0] * len(room) ** 2
+
+    def grant(n: int, *steps: tuple[int, int]) -> None:
+        for s, t in steps:
+            left[s, t] -= n
+            granted[s * shards + t] += n
+
+    for s, t in list(left):
+        if n := min(left[s, t], left.get((t, s), 0)):
+            grant(n, (s, t), (t, s))
+    for s, t in list(left):
+        for u in range(shards):
+            if n := min(left[s, t], left.get((t, u), 0), left.get((u, s), 0)):
+                grant(n, (s, t), (t, u), (u, s))
+    free = [t for t in range(shards) if room[t] > 0]
+    while free:
+        t = free.pop()
+        for s in range(shards):
+            if (n := min(room[t], left.get((s, t), 0))) > 0:
+                grant(n, (s, t))
+                room[t] -= n
+                room[s] += n
+                free.append(s)
+    return granted
+
+
+def propagate(cells: DataFrame, shards: int, quota: int, lanes: int, rounds: int | None = None) -> DataFrame:
+    """Cells (link, link2, shard, n) after label propagation under ``quota`` rows a shard, until
+    no round brings groups together (or for so many rounds)."""
+    w = Window.partitionBy(*GROUP)
+    reached, kept, only_room, done = -1, cells, False, 0
+    while rounds is None or done <= rounds:
+        loads = cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("together")).collect()
+        together = sum(r["together"] for r in loads)
+        if together > reached:
+            reached, kept = together, cells
+            only_room = False
+        elif only_room or not loads:
             break
-        seen = state
+        else:
+            # exchanges bring nothing more; where the best shard is full, others may have room
+            only_room, cells = True, kept
+            loads = cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()
+        if done == rounds:
+            break
+        done += 1
         held = {r["shard"]: r["n"] for r in loads}
-        room = [max(0, quota - held.get(s, 0)) for s in range(shards)]
-        w = Window.partitionBy(*GROUP)
+        room = [quota - held.get(s, 0) for s in range(shards)]
+        order = F.struct((-F.col("n")).alias("less"), (_pick(room, F.col("shard")) <= 0).cast("int").alias("full"), F.xxhash64(*GROUP, "shard").alias("tie"), F.col("shard"))
         ranked = (
-            cells.withColumn("tops", F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), (_pick(room, F.col("shard")) <= 0).cast("int").alias("full"), F.col("shard"))).over(w)))
+            cells.withColumn("tops", F.array_sort(F.collect_list(order).over(w)))
             .withColumn("wanted", F.ceil(F.sum("n").over(w) / F.lit(max(1, quota))).cast("int"))
             .withColumn("place", F.array_position(F.transform("tops", lambda x: x["shard"]), F.col("shard")).cast("int"))
         )
-        # shards that hold more of the group and have room, the first of which are the targets
-        better = F.filter(F.slice("tops", F.lit(1), F.col("place") - 1), lambda x: _pick(room, x["shard"]) > 0)
-        asked = (
+        # shards that hold more of the group, the first of which are the targets
+        better = F.slice("tops", F.lit(1), F.col("place") - 1)
+        if only_room:
+            better = F.filter(better, lambda x: _pick(room, x["shard"]) > 0)
+        asked = durable(
             ranked.where("place > wanted")
             .withColumn("better", better)
             .where(F.size("better") > 0)
             .withColumn("top", F.element_at("better", F.pmod(F.col("place") - 1, F.least(F.size("better"), "wanted")) + 1))
-            .select(*GROUP, "shard", "n", F.col("top.shard").alias("to"), (-F.col("top.less") - F.col("n")).alias("gain"))
+            .select(*GROUP, "shard", "n", F.col("top.shard").alias("target"), (-F.col("top.less") - F.col("n")).alias("gain"))
+            .withColumn("to", F.col("shard") * shards + F.col("target"))
         )
-        moves = _granted(asked, room, lanes).where("granted > 0")
-        changes = moves.select(*GROUP, F.explode(F.array(F.struct(F.col("shard"), (-F.col("granted")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("granted").alias("n")))).alias("x"))
+        flows = _flows({(r["shard"], r["target"]): r["n"] for r in asked.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}, room)
+        moves = _granted(asked, flows, lanes).where("granted > 0")
+        changes = moves.select(*GROUP, F.explode(F.array(F.struct(F.col("shard"), (-F.col("granted")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("granted").alias("n")))).alias("x"))
         cells = durable(
             cells.select(*GROUP, "shard", "n")
             .unionByName(changes.select(*GROUP, "x.shard", "x.n"))
@@ -78,10 +125,10 @@ def propagate(cells: DataFrame, shards: int, quota: int, lanes: int, rounds: int
             .agg(F.sum("n").alias("n"))
             .where("n > 0")
         )
-    return cells
+    return kept
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus 16 (16 for a null text, whose crc32 is that of no

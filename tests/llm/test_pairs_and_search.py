@@ -168,3 +168,12 @@ def test_shards_are_even_and_keep_groups(spark):
     one = next(r for r in out if r["doc_id"] == 300)
     assert (one["size"], one["text_crc32"], one["law"], one["grown_shard"]) == (len("pair 0") + 16, zlib.crc32(b"pair 0"), "rows", None)
     assert shards.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_come_together_in_full_shards(spark):
+    texts = [f"pair {i // 2}" for i in range(4000)]
+    out = shards.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 10).collect()
+    of = {r["doc_id"]: r["shard"] for r in out}
+    sizes = Counter(of.values())
+    assert len(sizes) == 10 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert sum(of[2 * i] == of[2 * i + 1] for i in range(2000)) > 1800
