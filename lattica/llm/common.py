@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a worker takes up at once.
+SLICE_BYTES = 2 << 20
+#: Parts into which the rows of one key are dealt.
+SALTS = 64
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with an eager reliable checkpoint.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where neither
-    the session nor the context names one (tests on one machine) is a temporary one set.
+    Where neither the session nor the context names one, a temporary folder is set on a local
+    master, whose driver and executors are one process; elsewhere that is an error, as executors
+    would not see a folder of the driver's.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    jsc = sc._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
+    return jsc.getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with an eager reliable checkpoint in the shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -44,10 +62,38 @@ def running_offsets(counts: DataFrame, keys: list[str], lane: str, n: str, out:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into a new folder of the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{jsc.getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    path = f"{_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def slices(batches, column: str, most_bytes: int = SLICE_BYTES):
+    """The batches' rows in batches of about ``most_bytes`` of the string ``column``, so that what
+    a worker makes of them stays bounded; a longer value is a batch of its own. Batches without a
+    row go through."""
+    for batch in batches:
+        n = batch.num_rows
+        if batch.column(column).nbytes <= most_bytes or n < 2:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < n:
+            done = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def with_totals(rows: DataFrame, key: str, spread: str, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
+    """``rows`` with aggregates over ``key`` added.
+
+    One key may have most of the rows: they are dealt into ``SALTS`` parts by a hash of
+    ``spread``. ``partial`` aggregates a part and ``final`` the parts' results; a key's totals
+    then go to each of its parts, so that no task gets all rows of a key.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    parts = salted.groupBy(key, "__salt").agg(*[c.alias(n) for n, c in partial.items()])
+    totals = parts.groupBy(key).agg(*[c.alias(n) for n, c in final.items()], F.collect_list("__salt").alias("__salts"))
+    return salted.join(totals.withColumn("__salt", F.explode("__salts")).drop("__salts"), [key, "__salt"]).drop("__salt")

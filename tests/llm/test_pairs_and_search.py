@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lattica.llm import decontaminate, jaccard, shards, topk
@@ -55,7 +56,12 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
     assert got == want
+    monkeypatch.setattr(jaccard, "SMALL", 4)  # some components are then compared by themselves
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == want
     monkeypatch.setattr(jaccard, "BLOCK", 16)  # the large component is then dealt into blocks
+    monkeypatch.setattr(jaccard, "PAIR_ROWS", 5)
+    monkeypatch.setattr(jaccard, "BIT_BYTES", 64)  # and its bits are made part by part
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
     assert got == want
 
@@ -71,15 +77,35 @@ def test_jaccard_edge_cases(spark):
     assert jaccard.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_linked(spark):
+    near = near_copies(3, 120, 3, 4)
+    rows = [(1, near[0]), (None, near[1]), (None, near[2]), (None, near[2]), (None, "a b c d e f g"), (None, "a b c d e f g")] + [(7, f"{near[0]} end")] * 2
+    out = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_classes([(i, t) for i, (_, t) in enumerate(rows)])
+    assert Counter((r["doc_id"], r["n_links"]) for r in out) == Counter((d, want[i][1]) for i, (d, _) in enumerate(rows))
+    assert {r["class_id"] for r in out if r["doc_id"]} == {1}
+
+
+def test_exact_similarities_by_parts(monkeypatch):
+    rng = random.Random(4)
+    sets = [np.unique(np.array([rng.randrange(300) for _ in range(rng.randrange(1, 200))], np.uint64)) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    want = [len(set(sets[a]) & set(sets[b])) >= 0.3 * len(set(sets[a]) | set(sets[b])) for a, b in zip(i, j, strict=True)]
+    assert jaccard.Exact(sets, 0.3).reached(i, j).tolist() == want
+    monkeypatch.setattr(jaccard, "BIT_BYTES", 400)
+    assert jaccard.Exact(sets, 0.3).held is None and jaccard.Exact(sets, 0.3).reached(i, j).tolist() == want
+
+
 def test_posterior_bounds_grow():
     bounds = jaccard.least_matches()
     assert [n for n, _ in bounds] == list(range(24, 241, 24)) and all(a[1] < b[1] for a, b in zip(bounds, bounds[1:], strict=False))
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(200, 100 + i) for i in range(30)] + [(5, 5)]
+    edges = [(i, i + 1) for i in range(40)] + [(200, 100 + i) for i in range(30)] + [(5, 5)] + [(1000, 1001 + i) for i in range(500)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and got[200] == 100
+    assert {got[1000 + i] for i in range(501)} == {1000}
 
 
 def levenshtein(pattern, text):
