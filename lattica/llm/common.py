@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +88,19 @@ def slices(batches, column: str, most_bytes: int = SLICE_BYTES):
             at = end
 
 
+_HELD: list = [None, None]
+
+
+def held(key: tuple, build: Callable[[], object]):
+    """What ``build`` makes, kept by a worker process from task to task until it is asked for
+    something else: a worker that goes on to another operator keeps nothing of the last one."""
+    if _HELD[0] != key:
+        _HELD[:] = None, None
+        pa.default_memory_pool().release_unused()
+        _HELD[:] = key, build()
+    return _HELD[1]
+
+
 def with_totals(rows: DataFrame, key: str, spread: str, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
     """``rows`` with aggregates over ``key`` added.
 

@@ -9,7 +9,9 @@ edit-distance alignment that stays within the band. A window that needs d edits
 the next d - e - 1 starts can do with e.
 
 Texts are compared in lower case, with every run of other characters than letters and digits as
-one space. The benchmark is dealt into slices of bounded size; the index of a slice is built in
+one space. An item shorter than a window is one window with fewer edits; one that gets no edit
+must stand as whole words, and one too short for a q-gram is only found in a text that is nothing
+else. The benchmark is dealt into slices of bounded size; the index of a slice is built in
 each worker, and every text is held against every slice.
 """
 
@@ -24,16 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import held, slices
+
 Q = 10
 WINDOW = 96
 #: One edit is allowed for so many characters of a window.
 EDIT_CHARS = 14
-#: Items with fewer characters are too short to tell a leak from chance.
-LEAST_CHARS = 32
+#: Shared q-grams that are worked on at once; beyond that texts or items are taken in parts.
+MOST_HITS = 1 << 20
+#: Characters of the parts of one text then, and by how much they overlap.
+SEGMENT, OVERLAP = 4096, 2 * WINDOW
 #: Characters of the benchmark in one slice: what a worker's index holds at most.
 SLICE_CHARS = 2_000_000
 #: Characters of text that are hashed in one go.
-GO_CHARS = 1 << 20
+GO_CHARS = 1 << 18
 BITMAP_BITS = 22
 
 _OTHER = re.compile(r"[\W_]+")
@@ -93,22 +99,36 @@ def part(codes: np.ndarray, begin: int, end: int, lo: int, hi: int) -> np.ndarra
     return out
 
 
+def edits_allowed(chars: int) -> int:
+    """One in ``EDIT_CHARS``, but no more than leave a shared q-gram by the lemma."""
+    m = min(chars, WINDOW)
+    return max(0, min(m // EDIT_CHARS, m // Q - 1))
+
+
 class Index:
     """Items of one slice: ``(item_id, text)`` pairs."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        normal = [(i, normalise(t)) for i, t in items]
-        self.items = [(i, _codes(t)) for i, t in normal if len(t) >= LEAST_CHARS]
+        normal = [(i, t, edits_allowed(len(t))) for i, t in ((i, normalise(t)) for i, t in items)]
+        padded = [(i, t if e else f" {t} ", e) for i, t, e in normal if t]  # without edits: whole words
+        self.whole: dict[str, list[int]] = {}
+        for i, t, _ in padded:
+            if len(t) < Q:
+                self.whole.setdefault(t, []).append(i)
+        kept = [(i, t, e) for i, t, e in padded if len(t) >= Q]
+        self.items = [(i, _codes(t)) for i, t, _ in kept]
+        self.edits = np.array([e for *_, e in kept], np.int64)
+        self.size = np.array([min(len(t), WINDOW) for _, t, _ in kept], np.int64)
         hashes = [gram_hashes(c) for _, c in self.items]
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
-        self.grams, first, self.n = np.unique(every[order], return_index=True, return_counts=True)
-        self.first = first
+        self.grams, self.n = np.unique(every[order], return_counts=True)
         self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
         self.place = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else order
+        #: Of each posting the q-gram and the item, in order.
+        self.posting = np.repeat(np.arange(len(self.grams)), self.n) * max(1, len(hashes)) + self.item
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.grams >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
-        self.edits = np.array([min(len(c), WINDOW) // EDIT_CHARS for _, c in self.items], np.int64)
 
     def windows(self, item: int) -> list[int]:
         return list(range(max(1, len(self.items[item][1]) - WINDOW + 1)))
@@ -117,34 +137,63 @@ class Index:
         """(number of the text, item_id, first character of the window, edits), at most one for
         each text and item."""
         out, go, held, at = [], [], 0, 0
-        if not self.items:
-            return out
         for i, text in enumerate(texts):
-            go.append(normalise(text))
+            go.append(f" {normalise(text)} ")
+            out.extend((i, item, 0, 0) for item in self.whole.get(go[-1], ()))
             held += len(go[-1])
             if held >= GO_CHARS or i == len(texts) - 1:
-                out.extend((at + t, *rest) for t, *rest in self._search_go(go))
+                out.extend((at + t, *rest) for t, *rest in self._search_go(go) if self.items)
                 at, go, held = i + 1, [], 0
         return out
 
     def _search_go(self, go: list[str]):
+        if not self.items:
+            return
         codes = _codes("\n".join(go))  # no item has a line feed, so no q-gram across texts is shared
-        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in go])))
         hashes = gram_hashes(codes)
         at = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
         gram = np.searchsorted(self.grams, hashes[at])
         real = self.grams[np.minimum(gram, len(self.grams) - 1)] == hashes[at]
         at, gram = at[real], gram[real]
-        if not len(at):
+        total = int(self.n[gram].sum())
+        if total <= MOST_HITS:
+            yield from self._matches(go, codes, at, gram, 0, len(self.items))
+        elif len(go) > 1:
+            half = len(go) // 2
+            yield from self._search_go(go[:half])
+            for t, *rest in self._search_go(go[half:]):
+                yield half + t, *rest
+        elif len(go[0]) > SEGMENT + OVERLAP:
+            seen: set[int] = set()
+            for k in range(0, len(go[0]) - OVERLAP, SEGMENT):
+                for _, item, *rest in self._search_go([go[0][k : k + SEGMENT + OVERLAP]]):
+                    if item not in seen:
+                        seen.add(item)
+                        yield 0, item, *rest
+        else:
+            often = np.bincount(gram, minlength=len(self.grams))
+            hits = np.cumsum(np.bincount(self.item, np.repeat(often, self.n), len(self.items)))
+            cuts = np.unique(np.searchsorted(hits, np.arange(MOST_HITS, hits[-1], MOST_HITS)) + 1)
+            for a, b in zip([0, *cuts], [*cuts, len(self.items)], strict=True):
+                yield from self._matches(go, codes, at, gram, int(a), int(b))
+
+    def _matches(self, go: list[str], codes: np.ndarray, at: np.ndarray, gram: np.ndarray, low: int, high: int):
+        """Matches of the items from ``low`` up to ``high``."""
+        n_items = max(1, len(self.items))
+        begin, end = np.searchsorted(self.posting, gram * n_items + low), np.searchsorted(self.posting, gram * n_items + high)
+        n = end - begin
+        if not n.sum():
             return
-        n = self.n[gram]
-        posting = np.repeat(self.first[gram] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in go])))
+        posting = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
         item, place, at = self.item[posting], self.place[posting], np.repeat(at, n)
-        diagonal = at - place + WINDOW  # over all texts of the go, not below 0
+        diagonal = at - place + WINDOW  # over all texts of the go, not below 0 within a window
         width = self.edits[item] + 1
         text = np.searchsorted(starts, at, "right") - 1
-        bands = diagonal // width
-        span = len(codes) + 2 * WINDOW + 2
+        # items longer than a window have q-grams farther to the left
+        shift = max(len(c) for _, c in self.items) + WINDOW
+        bands = (diagonal + shift) // width
+        span = len(codes) + 2 * shift + 2 * WINDOW + 2
         # a q-gram counts in the band that starts below its diagonal and in the one before
         code = np.concatenate(((item * len(go) + text) * span + bands, (item * len(go) + text) * span + bands - 1))
         hit = np.concatenate((np.arange(len(at)), np.arange(len(at))))
@@ -152,45 +201,39 @@ class Index:
         code, hit = code[order], hit[order]
         first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         count = np.diff(np.append(first, len(code)))
-        size = np.array([min(len(c), WINDOW) for _, c in self.items])
-        bound = size + 1 - Q * (self.edits + 1)
+        bound = self.size + 1 - Q * (self.edits + 1)
         done = set()
         for k in np.flatnonzero(count >= np.maximum(1, bound[item[hit[first]]])):
             hits = hit[first[k] : first[k] + count[k]]
             t, it = int(text[hits[0]]), int(item[hits[0]])
             if (t, it) in done:
                 continue
-            e, need = int(self.edits[it]), max(1, int(bound[it]))
+            e, need, size = int(self.edits[it]), max(1, int(bound[it])), int(self.size[it])
             places = np.unique(place[hits])
-            band = int(code[first[k]] % span) * (e + 1) - WINDOW
+            band = int(code[first[k]] % span) * (e + 1) - shift - WINDOW
             lo, hi = int(starts[t]), int(starts[t + 1]) - 1
             w = np.array(self.windows(it))
             least = 0
-            for w in w[np.searchsorted(places, w + size[it] - Q, "right") - np.searchsorted(places, w) >= need].tolist():
+            for w in w[np.searchsorted(places, w + size - Q, "right") - np.searchsorted(places, w) >= need].tolist():
                 if w < least:
                     continue
-                begin, end = w + band - e, w + int(size[it]) + band + 3 * e + 2
-                cost = aligned(self.items[it][1][w : w + size[it]], part(codes, begin, end, lo, hi), e, 3 * e + 1, e)
+                begin_at, end_at = w + band - e, w + size + band + 3 * e + 2
+                cost = aligned(self.items[it][1][w : w + size], part(codes, begin_at, end_at, lo, hi), e, 3 * e + 1, e)
                 if cost <= e:
                     done.add((t, it))
                     yield t, self.items[it][0], w, cost
                     break
                 least = w + cost - e
-_BUILT: dict[int, tuple[list, Index]] = {}
 
 
 def _index(items: list[tuple[int, str]]) -> Index:
     """The index of ``items``; a worker keeps the last one it built."""
-    key = hash(tuple(items))
-    if key not in _BUILT or _BUILT[key][0] != items:
-        _BUILT.clear()
-        _BUILT[key] = (items, Index(items))
-    return _BUILT[key][1]
+    return held(("benchmark", hash(tuple(items)), len(items)), lambda: Index(items))
 
 
 def _find_partition(batches, items):
     index = _index(items)
-    for batch in batches:
+    for batch in slices(batches, "text"):
         ids = batch.column("doc_id").to_pylist()
         found = index.search(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
@@ -206,7 +249,7 @@ def _find_partition(batches, items):
 
 def _clean_partition(batches, items, column):
     index = _index(items)
-    for batch in batches:
+    for batch in slices(batches, column):
         leaky = {t for t, *_ in index.search(batch.column(column).to_pylist())}
         yield batch.filter(pa.array([i not in leaky for i in range(batch.num_rows)], pa.bool_())) if leaky else batch
 
@@ -224,8 +267,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_at, edits: one row for each document and item of which it holds a
     window, ``item_at`` being that window's first character in the item's compared form.
 
-    Null and empty texts hold nothing. Items with fewer than ``LEAST_CHARS`` compared characters
-    are not searched. Documents that repeat give repeated rows. Other columns are not read.
+    Null and empty texts hold nothing, and items without a letter or digit are held by none.
+    Items of under 20 compared characters are held as whole words, those of under 8 by texts that
+    are nothing else. Items with the same text are each reported. Documents that repeat give
+    repeated rows. An empty benchmark or table gives no rows. Other columns are not read. The
+    benchmark is collected on the driver: it is a fixed set that doesn't grow with the documents.
     """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, item_at long, edits int"

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import held, slices
+
 #: Hashed trigrams; their number bounds the model's size.
 BUCKETS = 1 << 16
 SMOOTHING = 0.2
@@ -53,6 +55,7 @@ def trigram_types(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_partition(batches):
+    held(("language",), lambda: None)
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
@@ -139,8 +142,9 @@ def held_out(fold: int = 5):
 
 
 def _predict_partition(batches, langs, likelihood):
+    held(("language",), lambda: None)
     model = LanguageModel(langs, likelihood)
-    for batch in batches:
+    for batch in slices(batches, "text"):
         said = [model.predict(t.as_py()) for t in batch.column("text")]
         keep = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
         yield pa.RecordBatch.from_arrays(
@@ -165,8 +169,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def _keep_partition(batches, langs, likelihood, least):
+    held(("language",), lambda: None)
     model = LanguageModel(langs, likelihood)
-    for batch in batches:
+    for batch in slices(batches, "text"):
         said = [model.predict(t.as_py()) for t in batch.column("text")]
         yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in said], pa.bool_()))
 

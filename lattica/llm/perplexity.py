@@ -40,7 +40,7 @@ LEAST_POOR = 10
 ACCURACY = 10_000
 #: Labels that are broadcast to find the trusted documents; beyond that they are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
-GO_CHARS = 1 << 20
+GO_CHARS = 1 << 18
 #: Of so many folds of the trusted documents one sets the thresholds; the others train the model.
 FOLDS = 5
 NO_LANGUAGE = "und"

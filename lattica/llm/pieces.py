@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import held, slices
+
 SPACE = "▁"
 #: Words kept in each of the two generations of a worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: Texts of up to so many characters have their agenda scanned instead of heaped.
 SCAN_SYMBOLS = 48
 #: New words that are checked against the library in one call.
-CHECK_WORDS = 50_000
+CHECK_WORDS = 10_000
 
 
 class PieceModel:
@@ -136,7 +138,8 @@ class PieceModel:
 
 
 class _Words(dict):
-    """Start of a line, or a word with the marks before it -> (ids joined by commas, surface)."""
+    """Start of a line, or a word with the marks before it -> ids joined by commas; with the
+    surface, where that isn't the word itself with spaces for marks."""
 
     def __init__(self, model: PieceModel, size: int):
         super().__init__()
@@ -146,8 +149,11 @@ class _Words(dict):
         found = self.old.get(word)
         if found is None:
             ids = self.model.merge(word)
-            found = (",".join(map(str, ids)), self.model.surface(ids))
-            self.fresh.append((word, ids, found[1]))
+            surface = self.model.surface(ids)
+            found = ",".join(map(str, ids))
+            self.fresh.append((word, ids, surface))
+            if surface != word.replace(SPACE, " "):
+                found = (found, surface)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -193,34 +199,28 @@ def _words(model: PieceModel, text: str) -> list[list[str]]:
 _CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-#: By model file; a worker process keeps them from task to task.
-_LOADED: dict[str, _Words] = {}
-
-
 def encode_partition(batches, model_file: str):
-    words = _LOADED.get(model_file)
-    if words is None:
-        words = _LOADED[model_file] = _Words(PieceModel(model_file), CACHE_WORDS)
+    words = held(("pieces", model_file), lambda: _Words(PieceModel(model_file), CACHE_WORDS))
     model = words.model
     feed = ",".join(map(str, model.merge("\n")))
-    for batch in batches:
+    for batch in slices(batches, "text"):
         ids_out, n_out, ids_sha, text_sha = [], [], [], []
         for value in batch.column("text"):
             text = value.as_py() or ""
-            if not text:
-                joined, surface = "", ""
-            else:
-                ids_parts, text_parts = [], []
-                for k, line in enumerate(_words(model, text)):
-                    if k:
-                        ids_parts.append(feed)
-                        text_parts.append("\n")
-                    if line:
-                        ids, parts = zip(*map(words.__getitem__, line), strict=True)
-                        ids_parts.extend(ids)
-                        text_parts.extend(parts)
-                joined = ",".join(ids_parts)
-                surface = "".join(text_parts).removeprefix(" ")
+            ids_parts, text_parts = [], []
+            for k, line in enumerate(_words(model, text)) if text else ():
+                if k:
+                    ids_parts.append(feed)
+                    text_parts.append("\n")
+                if line:
+                    found = list(map(words.__getitem__, line))
+                    try:
+                        ids_parts.append(",".join(found))
+                        text_parts.extend(line)
+                    except TypeError:  # some surface is another than its word
+                        ids_parts.append(",".join(x if isinstance(x, str) else x[0] for x in found))
+                        text_parts.extend(w if isinstance(x, str) else x[1] for w, x in zip(line, found, strict=True))
+            joined, surface = ",".join(ids_parts), "".join(text_parts).replace(SPACE, " ").removeprefix(" ")
             n_out.append(joined.count(",") + 1 if joined else 0)
             ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
             text_sha.append(hashlib.sha256(surface.encode()).hexdigest())

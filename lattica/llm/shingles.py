@@ -6,7 +6,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text that are hashed in one go (a longer text is one go of its own).
-GO_BYTES = 1 << 20
+GO_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -162,6 +162,50 @@ def test_passages_are_found_at_every_offset():
     assert not index.search([f"{noise(100)} {item[w : w + 60]} {noise(100)}" for w in range(0, 300, 11)])
 
 
+def brute_leaks(items, texts):
+    """(text, item) for each pair of which some window of the item is in the text within its budget."""
+    out = set()
+    for k, item in items:
+        item = decontaminate.normalise(item)
+        if not item:
+            continue
+        e, size = decontaminate.edits_allowed(len(item)), min(len(item), decontaminate.WINDOW)
+        for t, text in enumerate(texts):
+            text = decontaminate.normalise(text)
+            if not e:
+                here = f" {item} " in f" {text} " if len(item) + 2 >= decontaminate.Q else item == text
+            else:
+                here = any(levenshtein(item[w : w + size], text) <= e for w in range(len(item) - size + 1))
+            if here:
+                out.add((t, k))
+    return out
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 300])
+def test_search_is_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "MOST_HITS", hits)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 150)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, prose(n)) for k, n in enumerate([2, 3, 4, 5, 6, 7, 9, 12, 15, 20, 28])] + [(90, "Paris"), (91, "?!"), (92, "abcd " * 12), (93, "")]
+    texts = ["paris", "Paris is", "", None, "abcd " * 60, "abc"]
+    for n in range(90):
+        k, item = items[rng.randrange(11)]
+        item = decontaminate.normalise(item)
+        size = min(len(item), decontaminate.WINDOW)
+        w = rng.randrange(len(item) - size + 1)
+        part = list(item[w : w + size])
+        for _ in range(rng.randrange(decontaminate.edits_allowed(len(item)) + 3)):
+            at = rng.randrange(len(part))
+            part[at] = rng.choice(["", "e", part[at] + "e"])
+        texts.append(f"{prose(rng.randrange(12))} {''.join(part)} {prose(rng.randrange(12))}" if n % 5 else "".join(part))
+    found = decontaminate.Index(items).search(texts)
+    got = {(t, k) for t, k, *_ in found}
+    want = brute_leaks(items, texts)
+    assert got == want and len(found) == len(got) and len(want) > 40
+
+
 @pytest.mark.parametrize("blocks", [16_384, 16])
 def test_top_k_against_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks)
