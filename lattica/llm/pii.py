@@ -1,13 +1,19 @@
 """Personal data: regular base spans, and further candidates that boosted trees decide on.
 
 Base spans are what fixed patterns and checks accept. High-recall generators propose further,
-overlapping candidates: addresses written with "at" and "dot", and runs of digits in any layout.
-A candidate is described by its format and its surroundings, as a vector of small whole numbers;
-equal vectors are counted together, so that the table the trees learn from grows with the number
-of different vectors and not with the corpus. Candidates that overlap a base span are positive.
-Trees are fitted on four fifths of the documents; on the rest, for each generator, the lowest
-score is found from which on precision reaches ``PRECISION``. Vectors above that threshold are
-selected, and their candidates that overlap no base span are added.
+overlapping candidates: addresses written with "at" and "dot", runs of digits in any layout, and
+long runs of letters and digits, which may be secrets. A candidate is described by its format and
+its surroundings, as a vector of small whole numbers; equal vectors are counted together, so that
+the table the trees learn from grows with the number of different vectors and not with the corpus.
+
+What the patterns catch teaches what they miss: every base span is written in the other ways that
+people write such data ("at" for "@", a phone number without its "+", a card with dots), in its own
+surroundings, and these copies are the positive examples; runs behind an assignment to a word such
+as "token" are those of the secrets. All candidates that overlap no base span are unlabelled. Trees
+are fitted on four fifths of the documents. On the rest each generator's threshold is calibrated:
+with c the score that ``RECALL`` of the positives reach, an unlabelled candidate of a score s below
+c is taken for a positive with the chance (1 - c) / c * s / (1 - s), and the threshold is the lowest
+score from which on the mean of these chances is ``PRECISION``. Candidates above it are added.
 
 Data that stand next to each other make one match that fails its check as a whole. Of such a match
 the parts are proposed: every sequence of digit groups as long as a card, and the run behind a "+"
@@ -41,8 +47,9 @@ PATTERNS = {
 }
 GENERATORS = {
     "address": r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++\x20?(?:[\[({<]\x20?at\x20?[\])}>]|\x20at\x20|@)\x20?[a-z0-9-]++"
-    r"(?:\x20?(?:[\[({<]\x20?dot\x20?[\])}>]|\x20dot\x20|\.)\x20?[a-z0-9-]++)++",
-    "digits": r"(?:\G|(?<![0-9A-Za-z]))[+(]?[0-9](?:[\x20()./-]{0,2}+[0-9])++",
+    r"(?:(?:\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?|\x20dot\x20|\.)[a-z0-9-]++)++",
+    "digits": r"(?:\G|(?<![0-9A-Za-z]))[+(]?[0-9](?:(?:\[\.\]|[\x20()./-]{0,2}+)[0-9])++",
+    "token": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}+",
 }
 #: Whether a text is worth a pattern's pass.
 GUARDS = {
@@ -51,7 +58,8 @@ GUARDS = {
     "card": lambda t: t.rlike(r"[0-9]"),
     "phone": lambda t: F.contains(t, F.lit("+")),
     "address": lambda t: F.contains(t, F.lit("@")) | t.rlike(r"(?i)[\[({<]\x20?at\x20?[\])}>]|\x20at\x20[a-z0-9-]+\x20?(?:[\[({<]|dot|\.[a-z])"),
-    "digits": lambda t: t.rlike(r"[0-9][\x20()./-]{0,2}[0-9]"),
+    "digits": lambda t: t.rlike(r"[0-9](?:\[\.\]|[\x20()./-]{0,2})[0-9]"),
+    "token": lambda t: t.rlike(r"[0-9]") & t.rlike(r"[A-Za-z0-9_+/-]{20}"),
 }
 #: Digits that a candidate of the second generator has at least and at most; longer runs are proposed in parts.
 DIGITS = (7, 19)
@@ -68,6 +76,10 @@ PHONE_STARTS = [
     r"^\+(?:[0-9][\x20().-]*+){7,14}[0-9](?=\x20|$)",
     r"^\+(?:[0-9][\x20().-]*+){7,14}[0-9](?![0-9])",
 ]
+#: Kinds of spans that may be added: the last has no base pattern.
+ADDED = (*KINDS, "secret")
+#: What stands before a run that is a secret.
+ASSIGNED = r"(?i)(?:token|key|secret|passw(?:or)?d|pwd|auth|bearer|credentials?)[\"']?\s?(?:[=:]|=>)\s?[\"']?$"
 CONTEXT = 24
 CUES = {
     1: r"(?i)mail|write|contact|kontakt|correo|courriel",
@@ -75,17 +87,24 @@ CUES = {
     3: r"(?i)card|visa|karte|carte|tarjeta|payment|credit",
     4: r"(?i)phone|tel|call|fax|mobil|whatsapp|sms|number",
 }
-FEATURES = ("generator", "n_digits", "n_groups", "plus", "paren", "dots", "dashes", "spaces", "slashes", "lead", "cue", "before_class", "after_class", "even_groups")
+FEATURES = (
+    "generator", "n_digits", "n_groups", "first_group", "last_group", "plus", "bracket", "dots", "dashes", "spaces", "slashes", "words", "lead", "luhn", "upper", "hex", "cue", "before_class",
+    "after_class", "even_groups",
+)
 TREES, DEPTH, STEP, SEED = 12, 3, 0.3, 7
-PRECISION = 0.98
+PRECISION, RECALL = 0.98, 0.95
+#: Least score of an added candidate.
+LEAST_SCORE = 0.5
+#: A generator learns from so many written copies at least.
+LEAST_COPIES = 20
 
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
 _DOC = ["dk", "th"]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds dk and th: what tells documents apart, null doc_ids included."""
-    return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _keys() -> list[Column]:
+    """dk and th: what tells documents apart, null doc_ids included."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("dk"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th")]
 
 
 def _marked(text: Column, pattern: str, guard: Column) -> Column:
@@ -113,7 +132,7 @@ def _pieces(name: str, cut: Column) -> Column:
 def matches(docs: DataFrame) -> DataFrame:
     """dk, th, of, match, start, end, before, after: every match of every pattern."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = keyed(docs).select(*_DOC, text.alias("t"))
+    base = docs.select(*_keys(), text.alias("t"))
     every = PATTERNS | GENERATORS
     cut = base.select(*_DOC, *[_marked(F.col("t"), p, GUARDS[k](F.col("t"))).alias(k) for k, p in every.items()])
     lists = F.array(*[F.coalesce(_pieces(k, F.col(k)), F.array()) for k in every])
@@ -127,10 +146,14 @@ def matches(docs: DataFrame) -> DataFrame:
     )
 
 
-def _digits(c: str = "match") -> Column:
+def _digits_of(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def _digits(c: str = "match") -> Column:
+    return _digits_of(F.col(c))
+
+
 def is_base() -> Column:
     """Whether a base pattern's match passes its check."""
     digits = F.length(_digits())
@@ -154,47 +177,80 @@ def _features() -> list[Column]:
     count = lambda chars: F.least(F.length(m) - F.length(F.translate(m, chars, "")), F.lit(4))
     cue = reduce(lambda out, k: F.when(F.col("before").rlike(CUES[k]), k).otherwise(out), reversed(CUES), F.lit(0))
     groups = F.split(F.trim(F.regexp_replace(m, "[^0-9]+", " ")), " ")
+    token, flag = F.col("of") == "token", lambda c: F.coalesce(c, F.lit(False)).cast("int")
     values = (
-        F.when(F.col("of") == "address", 0).otherwise(1),
-        F.length(digits).cast("int"),
+        F.when(F.col("of") == "address", 0).when(token, 2).otherwise(1),
+        F.when(token, F.floor(F.length(digits) * 10 / F.length(m))).otherwise(F.length(digits)),
         F.least(F.size(groups), F.lit(6)),
-        F.startswith(m, F.lit("+")).cast("int"),
-        F.contains(m, F.lit("(")).cast("int"),
+        F.least(F.length(groups[0]), F.lit(9)),
+        F.least(F.length(F.element_at(groups, -1)), F.lit(9)),
+        flag(F.startswith(m, F.lit("+"))),
+        count("([{<"),
         count("."),
         count("-"),
         count(" "),
         count("/"),
+        F.least(F.size(F.split(m, r"(?i)(?<![a-z])(?:at|dot)(?![a-z])")) - 1, F.lit(4)),
         F.coalesce(F.left(digits, F.lit(1)).try_cast("int"), F.lit(0)),
-        cue,
-        _class(F.right("before", F.lit(1))),
-        _class(F.left("after", F.lit(1))),
-        (F.size(F.array_distinct(F.transform(groups, F.length))) == 1).cast("int"),
+        flag(F.when(F.length(digits).between(2, 19), F.call_function("luhn_check", digits))),
+        flag(m.rlike("[A-Z]")),
+        flag(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
+        F.when(token, 0).otherwise(cue),
+        F.when(token, 0).otherwise(_class(F.right("before", F.lit(1)))),
+        F.when(token, 0).otherwise(_class(F.left("after", F.lit(1)))),
+        flag(F.size(F.array_distinct(F.transform(groups, F.length))) == 1),
     )
-    return [F.when(F.col("of") == "address", F.least(v, F.lit(6))).otherwise(v).cast("int").alias(n) for n, v in zip(FEATURES, values, strict=True)]
+    # where digits are no more than a part, their layout is told roughly
+    rough = F.col("of").isin("address", "token")
+    return [F.when(rough, F.least(v, F.lit(6))).otherwise(v).cast("int").alias(n) for n, v in zip(FEATURES, values, strict=True)]
+
+
+def _copies(base: DataFrame) -> DataFrame:
+    """The base spans ``base`` (dk, th, of, match, start, before, after) as rows of the generators,
+    each in one of the other ways to write it, by a hash of its place."""
+    m, digits = F.col("match"), _digits()
+    said = lambda at, dot: F.concat(F.substring_index(m, "@", 1), F.lit(at), F.replace(F.substring_index(m, "@", -1), F.lit("."), F.lit(dot)))
+    local = F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20-]+", "")
+    local = F.when(F.length(_digits_of(local)) >= 7, local).otherwise(F.substring(m, 2, 2**31 - 1))
+    fours = lambda by: F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{by}")
+    ways = {
+        "email": [said(" at ", " dot "), said(" [at] ", " [dot] "), said("(at)", "."), said(" at ", "."), said("[at]", "[dot]"), said(" (at) ", " dot ")],
+        "ip": [F.replace(m, F.lit("."), F.lit("[.]")), F.replace(m, F.lit("."), F.lit("-"))],
+        "card": [fours("."), fours("/"), fours("  ")],
+        "phone": [F.substring(m, 2, 2**31 - 1), local, F.translate(local, "()", ""), F.trim(F.regexp_replace(local, "[^0-9]+", " ")), F.regexp_replace(F.trim(F.regexp_replace(local, "[^0-9]+", " ")), " ", "."), F.concat(F.lit("00"), F.substring(m, 2, 2**31 - 1))],
+    }
+    way = lambda kind: F.element_at(F.array(*ways[kind]), (F.pmod(F.xxhash64(*_DOC, "start"), F.lit(len(ways[kind]))) + 1).cast("int"))
+    text = reduce(lambda out, k: F.when(F.col("of") == k, way(k)).otherwise(out), ways, F.lit(None).cast("string"))
+    return base.select(*_DOC, F.when(F.col("of") == "email", "address").otherwise("digits").alias("of"), text.alias("match"), "before", "after").where("match is not null")
 
 
 def _selected(vectors: DataFrame) -> DataFrame | None:
     """Vectors whose score passes their generator's threshold; None where nothing can be learnt."""
-    have = vectors.agg(F.sum("fit_yes"), F.sum("fit_no"), F.sum("test_yes")).first()
-    if not all(have):
+    enough = vectors.groupBy("generator").agg(F.sum("fit_yes").alias("a"), F.sum("fit_no").alias("b"), F.sum("test_yes").alias("c")).collect()  # one row for each generator
+    able = [r["generator"] for r in enough if r["a"] >= LEAST_COPIES and r["c"]]
+    if not able or not sum(r["b"] for r in enough):
         return None
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(vectors)
     fit = assembled.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("fit_yes").cast("double").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("fit_no").cast("double").alias("weight")))).alias("x"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, weightCol="weight", cacheNodeIds=False).fit(fit.select("features", "x.label", "x.weight").where("weight > 0"))
     scored = model.transform(assembled).select(*FEATURES, "test_yes", "test_no", F.round(vector_to_array("probability")[1], 9).alias("score"))
     scored = durable(scored)
-    steps = scored.groupBy("generator", "score").agg(F.sum("test_yes").alias("yes"), F.sum("test_no").alias("no"))
     down = Window.partitionBy("generator").orderBy(F.desc("score"))
-    steps = steps.withColumn("yes", F.sum("yes").over(down)).withColumn("no", F.sum("no").over(down))
-    least = steps.where((F.col("yes") > 0) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no")))).groupBy("generator").agg(F.min("score").alias("least"))
-    return scored.join(least, "generator").where((F.col("score") >= F.col("least")) & (F.col("score") >= 0.5)).select(*FEATURES)
+    steps = scored.groupBy("generator", "score").agg(F.sum("test_yes").alias("copies"), F.sum("test_no").alias("n"))
+    steps = steps.withColumn("upto", F.sum("copies").over(down)).withColumn("copies", F.sum("copies").over(Window.partitionBy("generator")))
+    usual = F.max(F.when(F.col("upto") >= RECALL * F.col("copies"), F.col("score"))).over(Window.partitionBy("generator"))
+    steps = steps.withColumn("c", usual)
+    odds = F.when(F.col("score") >= F.col("c"), 1.0).otherwise((1 - F.col("c")) / F.col("c") * F.col("score") / (1 - F.col("score")))
+    steps = steps.withColumn("all", F.sum("n").over(down)).withColumn("yes", F.sum(F.col("n") * F.least(odds, F.lit(1.0))).over(down))
+    least = steps.where((F.col("yes") >= PRECISION * F.col("all")) & (F.col("score") >= LEAST_SCORE)).groupBy("generator").agg(F.min("score").alias("least"))
+    return scored.where(F.col("generator").isin(able)).join(least, "generator").where(F.col("score") >= F.col("least")).select(*FEATURES)
 
 
 def _kind() -> Column:
     digits = F.length(_digits())
-    ip = F.col("match").rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    ip = F.col("match").rlike(r"^[0-9]{1,3}(?:(?:\[\.\]|[.-])[0-9]{1,3}){3}$")
     number = F.when(ip, 1).when(digits.between(13, 19) & ~F.startswith(F.col("match"), F.lit("+")), 2).otherwise(3)
-    return F.when(F.col("of") == "address", 0).otherwise(number)
+    return F.when(F.col("of") == "address", 0).when(F.col("of") == "token", len(KINDS)).otherwise(number)
 
 
 def _overlapping(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -252,8 +308,9 @@ def _phone_parts(found: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """dk, th, kind (place in ``KINDS``), start, end, base: base spans, checked parts of longer
-    matches, and selected candidates."""
+    """dk, th, kind (place in ``ADDED``), start, end, base: base spans, checked parts of longer
+    matches, and selected candidates. Of candidates that overlap the one that starts first stays,
+    of these the longest."""
     found = durable(matches(docs))
     base = found.where(F.col("of").isin(*KINDS) & is_base()).select(
         *_DOC, F.array_position(F.array(*map(F.lit, KINDS)), F.col("of")).cast("int").alias("kind"), "start", "end", F.lit(True).alias("base")
@@ -262,20 +319,21 @@ def spans(docs: DataFrame) -> DataFrame:
     cards = durable(_card_parts(found, base))
     parts = cards.unionByName(_phone_parts(found, base.select(*_DOC, "start", "end").unionByName(cards.select(*_DOC, "start", "end"))))
     base = durable(base.unionByName(parts.withColumn("base", F.lit(False))))
-    enough = (F.col("of") == "address") | F.length(_digits()).between(*DIGITS)
-    proposed = found.where(F.col("of").isin(*GENERATORS) & enough).select(*_DOC, "start", "end", _kind().cast("int").alias("kind"), *_features())
-    candidates = durable(_overlapping(proposed, base))
+    enough = F.col("of").isin("address", "token") | F.length(_digits()).between(*DIGITS)
+    proposed = found.where(F.col("of").isin(*GENERATORS) & enough).select(*_DOC, "start", "end", _kind().cast("int").alias("kind"), ((F.col("of") == "token") & F.col("before").rlike(ASSIGNED)).alias("copy"), *_features())
+    candidates = durable(_overlapping(proposed, base).where("not hit").drop("hit"))
+    written = _copies(found.where(F.col("of").isin(*KINDS) & is_base())).select(*_DOC, F.lit(True).alias("copy"), *_features())
     test = F.pmod(F.xxhash64("th", F.lit(5)), F.lit(5)) == 0
     counted = lambda c: F.count_if(c).alias
     vectors = durable(
-        candidates.groupBy(*FEATURES).agg(
-            counted(~test & F.col("hit"))("fit_yes"), counted(~test & ~F.col("hit"))("fit_no"), counted(test & F.col("hit"))("test_yes"), counted(test & ~F.col("hit"))("test_no")
+        candidates.select(*_DOC, "copy", *FEATURES).unionByName(written).groupBy(*FEATURES).agg(
+            counted(~test & F.col("copy"))("fit_yes"), counted(~test & ~F.col("copy"))("fit_no"), counted(test & F.col("copy"))("test_yes"), counted(test & ~F.col("copy"))("test_no")
         )
     )
     selected = _selected(vectors)
     if selected is None:
         return base
-    added = candidates.where("not hit").join(selected, list(FEATURES))
+    added = candidates.join(selected, list(FEATURES))
     before = Window.partitionBy(*_DOC).orderBy("start", F.desc("end"), "kind")
     clear = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) <= F.col("start")
     added = added.withColumn("clear", clear).where("clear").select(*_DOC, "kind", "start", "end", F.lit(False).alias("base"))
@@ -287,14 +345,14 @@ def _of_kind(k: int):
 
 
 def _listed(spans_col: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ADDED))
     return F.array_join(F.transform(spans_col, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Counts and digest are of base spans, ``spans`` lists all. Places are code points from 0, ends
+    Counts and digest are of base spans, ``spans`` lists all, those of kind ``secret`` last. Places are code points from 0, ends
     exclusive. A null text counts as empty: no spans, and the digest of no bytes. Rows that
     repeat give equal rows; a null doc_id stays null. Other columns are not read.
     """
@@ -310,7 +368,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             _listed(F.col("all")).alias("spans"),
         )
     )
-    ids = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", *_DOC)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys())
     return ids.join(per_doc, _DOC, "left").select(
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -332,8 +390,9 @@ def redact(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("start", (-F.col("end")).alias("e"), "kind")).alias("head"), F.max("end").alias("end"))
     )
     cuts = islands.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct(F.col("head.start").alias("start"), "end", F.col("head.kind").alias("kind")))).alias("cuts"))
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text").cast("string")
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in ADDED])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")  # apart from the helpers' names
+    text = F.col("row.text").cast("string")
 
     def kept(x: Column, i: Column) -> Column:
         since = F.when(i > 0, F.element_at("cuts", F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
@@ -341,5 +400,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     last = F.element_at("cuts", -1)["end"]
     clean = F.concat(F.array_join(F.transform("cuts", kept), ""), F.substring(text, (last + 1).cast("int"), F.lit(2**31 - 1)))
-    joined = keyed(docs).join(cuts, _DOC, "left")
-    return joined.select(*[F.when(F.col("cuts").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    joined = docs.select(row, *_keys()).join(cuts, _DOC, "left")
+    return joined.select(*[F.when(F.col("cuts").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

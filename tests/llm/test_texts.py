@@ -192,6 +192,56 @@ def test_neighbouring_data_are_found(spark):
     assert {r["n_card"] for r in pii.find_pii(frame).where("doc_id = 0").collect()} == {0}  # counts are of base spans
 
 
+def test_trees_add_what_patterns_miss(spark):
+    rng = random.Random(12)
+    words = ["house", "river", "at", "look", "dot", "under", "write", "me", "call", "or", "stone", "the"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda: next(x for x in iter(lambda: "4" + num(15), None) if luhn(x))
+    plain = [lambda: f"{name()}.{num(2)}@{name()}.com", lambda: f"+1 ({num(3)}) 555-{num(4)}", card, lambda: ".".join(str(rng.randrange(256)) for _ in range(4))]
+    missed = [lambda: f"{name()}.{num(2)} at {name()} dot com", lambda: f"{name()}.{num(2)} [at] {name()} [dot] com", lambda: f"({num(3)}) 555-{num(4)}", lambda: "[.]".join(str(rng.randrange(256)) for _ in range(4))]
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    usual = [lambda: f"20{num(2)}-0{rng.randrange(1, 10)}-1{num(1)}", lambda: f"{num(3)},{num(3)}", lambda: f"{rng.randrange(1, 13)}/{num(2)}/{num(4)}", lambda: f"{rng.randrange(9)}.{num(2)}", lambda: f"look at {name()}", lambda: "v" + num(1) + "_some_long_name_of_a_file_" + name()]
+    rows, want = [], set()
+    for d in range(1500):
+        text, odd = say(6), d % 12 == 0
+        for make in [rng.choice(usual), rng.choice(plain), rng.choice(usual), rng.choice(missed) if odd else rng.choice(usual)]:
+            text += " "
+            if odd and make in missed:
+                want.add((d, len(text)))
+            text += f"{make()} {say(3)}"
+        if d % 10 == 0:
+            text += " token = \""
+            want.add((d, len(text)))
+            text += f'{secret()}" {say(2)}'
+        rows.append((d, text))
+    added = set()
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        base = set(brute_spans(rows[r["doc_id"]][1]))
+        assert base <= set(r["spans"].split(",")) | {""}
+        added |= {(r["doc_id"], int(x.split(":")[1])) for x in r["spans"].split(",") if x and x not in base}
+    assert len(added & want) >= 0.8 * len(want) and len(added & want) >= 0.9 * len(added), (len(want), len(added), len(added & want))
+
+
+def test_copies_are_candidates(spark):
+    """Each way in which base spans are written anew is found by its generator as a whole."""
+    rows = [(i, f"x {t} y") for i, t in enumerate(["ab.c@d-e.co.uk", "10.2.3.44", "4111 1111 1111 1111", "+1 (830) 555-5433", "+49 30 1234567", "+33 1 23 45 67 89"] * 8)]
+    found = pii.matches(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [(r["dk"] * 100 + i, f"x {r['match']} y", r["of"]) for i, r in enumerate(pii._copies(found.where(found.of.isin(*pii.KINDS) & pii.is_base())).collect())]
+    again = pii.matches(spark.createDataFrame(texts, "doc_id long, text string, of string"))
+    whole = {(r["dk"], r["of"]) for r in again.collect() if (r["start"], r["end"]) == (2, len(dict((d, t) for d, t, _ in texts)[r["dk"]]) - 2)}
+    assert len(texts) >= 48 and {(d, of) for d, _, of in texts} <= whole
+
+
+def test_redaction_keeps_all_columns(spark):
+    names = ["dk", "th", "cuts", "row", "island", "kind", "end", "start"]
+    frame = spark.createDataFrame([(1, "to a@b.co", *[f"v{i}" for i in range(8)]), (2, None, *["w"] * 8)], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    out = pii.redact(frame)
+    assert out.columns == frame.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "to [EMAIL]", *[f"v{i}" for i in range(8)]), (2, None, *["w"] * 8)]
+
+
 def test_redaction(spark):
     rows = [(1, "🦜 mail a@b.co or +1 (830) 555-5433x 4111111111111111. end", 1), (2, "nothing", 1), (2, "nothing", 1), (None, None, 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, start int")
