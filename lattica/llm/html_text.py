@@ -1,12 +1,15 @@
 """Main text of web pages by tree scoring.
 
-A tolerant parser builds a tree from the whole page. Parts that are boilerplate by element, role
-or class name go. Each paragraph has points for its length and its commas; it passes them to its
-parent, and ever smaller shares to further ancestors. A container's score is the sum of what it
-got, plus a bonus for its kind, times one less its link density. Where the best container lies in
-an article (or else in a main element), that element is kept whole; else the best container. With it
-go those of its siblings that score well or are long prose; the text blocks below them, in page
-order, are the result.
+A tolerant parser builds a tree from the whole page. Boilerplate goes: by element, by role, and by
+class names that say so plainly. Each paragraph has points for its length and its commas; it passes
+them to its parent, and ever smaller shares to further ancestors. A container's score is the sum of
+what it got, plus a bonus for its kind, times one less its link density; what is merely named like
+boilerplate ("legal", "tags", "related") has no part in this. Where the best container lies in an
+article (or else in a main element), that element is kept; else the best container. With it
+go those of its siblings that score well or are long prose. Of what is kept everything stays but the
+plain boilerplate: lists of links, formulas and parts of any other name included. Only where the
+page has no container below its body are lists of links and parts with doubtful names left out. The
+text blocks, in page order, are the result.
 """
 
 from __future__ import annotations
@@ -27,21 +30,29 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset(
     "head script style noscript template nav header footer aside form iframe object embed button select option textarea input label fieldset "
-    "svg math canvas audio video dialog menu title xmp noembed noframes".split()
+    "svg canvas audio video dialog menu title xmp noembed noframes annotation annotation-xml".split()
 )
 #: A start tag ends an open element of these kinds, unless one of ``SCOPE`` stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table ul ol dl div article section main td th blockquote select aside header footer nav form".split())
-PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main".split())
+PARAGRAPH = frozenset("p pre td blockquote li dd details figcaption h1 h2 h3 h4 h5 h6 div section article main".split())
 CONTAINER_BONUS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 3.0, "blockquote": 1.0, "td": 1.0, "pre": 1.0}
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotion|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|"
-    r"comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion|remarks?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|sidebars?|rail|widgets?|"
-    r"headers?|masthead|topbar|footers?|colophon|copyright|legal|share|sharing|social|subscribe|subscription|newsletters?|signup|login|search|forms?|"
-    r"related|recommend(?:ed|ations?)?|popular|trending|skip|toolbar|tools|tags?|taboola|outbrain|shoutbox)(?:$|[\s_\d-])",
-    re.I,
+_WORD = r"(?:^|[\s_-])(?:%s)(?:$|[\s_\d-])"
+#: Class names of boilerplate wherever it stands.
+PLAIN = (
+    r"ads?|adverts?|advertisements?|advertising|adsense|sponsored|promos?|cookies?|consent|gdpr|notices?|popups?|modals?|overlays?|comments?|commentlist|respond|replies|disqus|"
+    r"menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|sidebars?|footers?|masthead|share|sharing|subscribe|newsletters?|signup|taboola|outbrain|shoutbox"
 )
+#: Names by which a part outside of the article is doubted.
+DOUBTED = (
+    r"sponsors?|promotion|banners?|alerts?|reply|discussion|remarks?|rail|widgets?|headers?|topbar|colophon|copyright|legal|social|subscription|login|search|forms?|"
+    r"related|recommend(?:ed|ations?)?|popular|trending|skip|toolbar|tools|tags?"
+)
+BOILERPLATE, UNLIKELY = re.compile(_WORD % PLAIN, re.I), re.compile(_WORD % f"{PLAIN}|{DOUBTED}", re.I)
+#: An id made up of such words alone.
+BOILERPLATE_ID = re.compile(rf"(?:(?:{PLAIN}|{DOUBTED}|thread|area|section|list|box|wrapper|container|site|page|main|top|bottom|left|right)(?:[\s_\d-]+|$))+", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?:$|[\s_\d-])", re.I)
 SHARES = (1.0, 0.5, 1 / 3, 1 / 6, 1 / 9)
 
@@ -51,10 +62,10 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(
 
 
 class Node:
-    __slots__ = ("gone", "link", "length", "names", "parent", "parts", "points", "tag")
+    __slots__ = ("doubted", "gone", "length", "link", "names", "parent", "parts", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, names: str = "", gone: bool = False):
-        self.tag, self.parent, self.names, self.gone = tag, parent, names, gone
+    def __init__(self, tag: str, parent: Node | None, names: str = "", gone: bool = False, doubted: bool = False):
+        self.tag, self.parent, self.names, self.gone, self.doubted = tag, parent, names, gone, doubted
         self.parts: list[Node | str] = []
         self.points, self.length, self.link = 0.0, 0, 0
 
@@ -63,14 +74,31 @@ def _attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _is_gone(tag: str, attrs: dict[str, str], names: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _above(node: Node | None, tags: frozenset[str]) -> bool:
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node is not None
+
+
+_ARTICLE, _QUOTE, _HEADER = frozenset(("article", "main")), frozenset(("blockquote",)), frozenset(("header",))
+
+
+def _is_gone(tag: str, attrs: dict[str, str], parent: Node) -> bool:
+    """Whether the element is boilerplate wherever it stands."""
     if tag in ("html", "body"):
         return False
+    if tag == "header" and _above(parent, _ARTICLE):
+        return False  # the article's own: its headings stay
+    if tag == "footer" and _above(parent, _QUOTE):
+        return False  # whom the quotation is from
+    if tag in DROPPED:
+        return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
-    return bool(names and UNLIKELY.search(names) and not (tag in ("article", "main") and LIKELY.search(names) and not re.search(r"comment|repl", names, re.I)))
+    names, name = attrs.get("class", ""), attrs.get("id", "")
+    if tag in _ARTICLE and LIKELY.search(names) and not re.search(r"comment|repl", names, re.I):
+        return False
+    return bool(names and BOILERPLATE.search(names) or name and tag not in HEADINGS and BOILERPLATE.search(name) and BOILERPLATE_ID.fullmatch(name))
 
 
 def parse(page: str) -> Node:
@@ -125,8 +153,14 @@ def parse(page: str) -> Node:
                     top = top.parent
         attrs = _attributes(m[3])
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        node = Node(tag, top, names, _is_gone(tag, attrs, names))
+        doubted = bool(names and tag not in ("body", "article", "main") and UNLIKELY.search(names) and not _above(top, _ARTICLE))
+        node = Node(tag, top, names, _is_gone(tag, attrs, top), doubted)
         top.parts.append(node)
+        if tag in _ARTICLE and not node.gone:
+            above = top  # what holds an article is no mere part
+            while above is not None:
+                above.doubted = False
+                above = above.parent
         if tag in RAW:
             lower = lower or page.lower()
             end = lower.find(f"</{tag}", at) if len(lower) == size else page.find(f"</{tag}", at)
@@ -141,12 +175,12 @@ def parse(page: str) -> Node:
 
 
 def _walk(root: Node) -> list[Node]:
-    """Nodes that are not gone, parents first."""
+    """Nodes that are neither gone nor doubted, parents first."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.gone)
+        todo.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.gone and not x.doubted)
     return out
 
 
@@ -211,8 +245,9 @@ def _article(node: Node) -> Node | None:
     return found.get("article") or found.get("main")
 
 
-def _blocks(node: Node, out: list[str], whole: bool = False) -> None:
-    """Adds the node's text blocks in page order; lists of links within only if it is ``whole``."""
+def _blocks(node: Node, out: list[str], whole: bool) -> None:
+    """Adds the node's text blocks in page order; those of lists of links and of doubted parts only
+    if it is ``whole``. Of a header no more than the headings count."""
     line: list[str] = []
 
     def close() -> None:
@@ -222,20 +257,22 @@ def _blocks(node: Node, out: list[str], whole: bool = False) -> None:
                 out.append(text)
             line.clear()
 
-    todo: list = [node]
+    todo: list = [(node, False)]
     while todo:
-        x = todo.pop()
+        x, bare = todo.pop()
         if x is None:
             close()
         elif isinstance(x, str):
-            line.append(x)
-        elif x is node or not x.gone and (whole or not _is_link_list(x)):
+            if not bare:
+                line.append(x)
+        elif x is node or not x.gone and (whole or not x.doubted and not _is_link_list(x)):
             if x.tag == "br":
                 line.append(" ")
             elif x.tag in BLOCK:
                 close()
-                todo.append(None)
-            todo.extend(reversed(x.parts))
+                todo.append((None, False))
+            bare = x.tag not in HEADINGS and (bare or x.tag == "header" and x is not node)
+            todo.extend((y, bare) for y in reversed(x.parts))
     close()
 
 
@@ -250,22 +287,24 @@ def main_text(page: str | None) -> str:
     best = max(inner, key=lambda x: (_value(x), -order[id(x)]))
     out: list[str] = []
     if not _value(best):
-        _blocks(nodes[0], out)
+        longest = max((x for x in nodes if x.tag in _ARTICLE), key=lambda x: x.length, default=nodes[0])
+        best = longest if longest.length else nodes[0]
+        _blocks(best, out, best is not nodes[0])
         return "\n".join(out)
-    value, article = _value(best), _article(best)
-    best = article or best
+    value = _value(best)
+    best = _article(best) or best
     above = best.parent
-    if above is None:
-        _blocks(best, out, article is not None)
+    if above is None or best.tag == "body":
+        _blocks(best, out, False)
         return "\n".join(out)
     for x in above.parts:
         if x is best:
-            _blocks(x, out, article is not None)
-        elif isinstance(x, Node) and not x.gone and x.tag in BLOCK and not _is_link_list(x):
+            _blocks(x, out, True)
+        elif isinstance(x, Node) and not x.gone and not x.doubted and x.tag in BLOCK and not _is_link_list(x):
             text = _own_text(x) if x.tag == "p" else ""
             same = x.tag == best.tag and x.names == best.names and x.tag == "article"
             if same or _value(x) >= max(30.0, 0.4 * value) or len(text) > 80 and _density(x) < 0.25:
-                _blocks(x, out, same)
+                _blocks(x, out, True)
     return "\n".join(out)
 
 
@@ -281,7 +320,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none), n_chars in code points.
 
     A null html counts as empty. Rows repeat as they do in ``pages``; other columns are not
-    carried. The whole page is parsed, whatever its length or depth.
+    carried. The whole page is parsed, whatever its length or depth. An empty table gives no rows.
     """
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(
         _extract_partition, "page_id long, url string, text string, n_chars long"

@@ -143,6 +143,48 @@ def test_an_article_is_kept_whole():
     assert html_text.main_text(page.replace("article>", "main>")).split("\n") == want
 
 
+def test_nothing_of_the_article_is_lost():
+    """Random articles among random boilerplate: exactly the article's blocks come out."""
+    rng = random.Random(21)
+    word = lambda: rng.choice(["tree", "river,", "über", "a", "stone.", "x &amp; y", "1 &lt; 2"])
+    plain = lambda t: t.replace("&amp;", "&").replace("&lt;", "<")
+    say = lambda n: " ".join(word() for _ in range(n))
+
+    def block():
+        t, u = say(rng.randrange(1, 40)), say(3)
+        odd = rng.choice(["legal", "tags", "tools", "discussion", "rail", "related-work", "remarks", "header-note", "popular"])
+        return rng.choice([
+            (f"<p>{t}</p>", [t]), (f"<p>{t}<br>{u}", [f"{t} {u}"]), (f"<h2 id=comments>{u}</h2><p>{t}</p>", [u, t]),
+            (f"<ul class=sources><li><a href=/a>{t}</a></li><li><a href=/b>{u}</a></li></ul>", [t, u]), (f"<section class={odd}><p>{t}</p></section>", [t]),
+            (f"<div id={odd}>{t}<div>{u}</div></div>", [t, u]), (f"<table><tr><td><a href=/c>{u}</a></td><td>{t}</td></tr></table>", [u, t]),
+            (f"<p>{u} <math><mi>E</mi><mo>=</mo><mn>3</mn></math> {t}</p>", [f"{u} E=3 {t}"]), (f"<blockquote><p>{t}</p><footer>{u}</footer></blockquote>", [t, u]),
+            (f"<header><h1>{u}</h1><div>by me</div></header>", [u]), (f"<pre>{t}\n{u}</pre>", [f"{t} {u}"]), (f"<figure><img src=x><figcaption>{u}</figcaption></figure>", [u]),
+            (f"<dl><dt>{u}<dd>{t}</dl>", [u, t]), (f"<details><summary>{u}</summary>{t}</details>", [u, t]),
+        ])
+
+    waste = [
+        "<nav><ul><li><a href=/>menu</a></ul></nav>", "<div class='ad'>buy, buy, buy</div>", "<aside>side, side</aside>", "<form><p>mail, mail</p><button>go</button></form>", "<script>var a='<p>no</p>'</script>",
+        "<style>p{}</style>", "<div class=cookie-notice><p>we use, well, cookies, many, many</p></div>", "<div class='share buttons'>tell</div>", "<div id=comments><p>first, first, first, a long comment, with, commas</p></div>",
+        "<!-- <p>no</p> -->", "<div hidden>no</div>", "<ul class=breadcrumbs><li>no</ul>", "<div class='newsletter-signup'>no, no</div>", "<footer>foot, foot</footer>", "<template><p>no</p></template>",
+    ]
+    for _ in range(300):
+        parts, want = [], []
+        for _ in range(rng.randrange(1, 12)):
+            html_part, texts = block()
+            parts.append(html_part + (rng.choice(waste) if rng.random() < 0.3 else ""))
+            want += texts
+        around = lambda: "".join(rng.sample(waste, rng.randrange(5)))
+        tag = rng.choice(["article", "main"])
+        page = f"<html><head><title>t</title></head><body>{around()}<div class='{rng.choice(['page', 'widget', 'rail'])}'><{tag}>{''.join(parts)}</{tag}></div>{around()}</body></html>"
+        assert html_text.main_text(page) == "\n".join(plain(" ".join(t.split())) for t in want), page
+
+
+def test_a_container_keeps_its_lists():
+    prose = "Some prose, that goes on, and on, with commas, for quite a while, as articles do. " * 3
+    page = f"<body><div class=menu><a href=/>home</a></div><div id=content><p>{prose}</p><ul><li><a href=/x>first source</a></ul><div class=legal>terms</div><p>{prose}</p></div><div class=related><a href=/y>more</a></div></body>"
+    assert html_text.main_text(page).split("\n") == [prose.strip(), "first source", "terms", prose.strip()]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
