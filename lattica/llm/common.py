@@ -91,7 +91,7 @@ def slices(batches, column: str, most_bytes: int = SLICE_BYTES):
 _HELD: list = [None, None]
 
 
-def held(key: tuple, build: Callable[[], object]):
+def worker_keeps(key: tuple, build: Callable[[], object]):
     """What ``build`` makes, kept by a worker process from task to task until it is asked for
     something else: a worker that goes on to another operator keeps nothing of the last one."""
     if _HELD[0] != key:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import held, slices
+from lattica.llm.common import slices, worker_keeps
 
 Q = 10
 WINDOW = 96
@@ -228,7 +228,7 @@ class Index:
 
 def _index(items: list[tuple[int, str]]) -> Index:
     """The index of ``items``; a worker keeps the last one it built."""
-    return held(("benchmark", hash(tuple(items)), len(items)), lambda: Index(items))
+    return worker_keeps(("benchmark", hash(tuple(items)), len(items)), lambda: Index(items))
 
 
 def _find_partition(batches, items):

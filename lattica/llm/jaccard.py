@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import durable, held, slices, with_totals
+from lattica.llm.common import durable, slices, with_totals, worker_keeps
 from lattica.llm.components import components
 from lattica.llm.shingles import MinHash, fingerprint, shingle_sets
 
@@ -71,7 +71,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketch_partition(batches):
-    held(("jaccard",), lambda: None)
+    worker_keeps(("jaccard",), lambda: None)
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column("text").to_pylist())
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -226,7 +226,7 @@ def _candidates(keys: np.ndarray, comp: np.ndarray):
 
 def _join_group(table: pa.Table) -> pa.Table:
     """Verified links within a bin, or between the two blocks of a large component."""
-    held(("jaccard",), lambda: None)
+    worker_keeps(("jaccard",), lambda: None)
     nodes, mult, block, comp = table.column("node").to_pylist(), table.column("mult").to_numpy(), table.column("block").to_numpy(), table.column("comp").to_numpy()
     sets = []
     for batch in slices(table.select(["text"]).combine_chunks().to_batches(), "text"):

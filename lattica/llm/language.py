@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import held, slices
+from lattica.llm.common import slices, worker_keeps
 
 #: Hashed trigrams; their number bounds the model's size.
 BUCKETS = 1 << 16
@@ -55,7 +55,7 @@ def trigram_types(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_partition(batches):
-    held(("language",), lambda: None)
+    worker_keeps(("language",), lambda: None)
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
@@ -142,7 +142,7 @@ def held_out(fold: int = 5):
 
 
 def _predict_partition(batches, langs, likelihood):
-    held(("language",), lambda: None)
+    worker_keeps(("language",), lambda: None)
     model = LanguageModel(langs, likelihood)
     for batch in slices(batches, "text"):
         said = [model.predict(t.as_py()) for t in batch.column("text")]
@@ -169,7 +169,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def _keep_partition(batches, langs, likelihood, least):
-    held(("language",), lambda: None)
+    worker_keeps(("language",), lambda: None)
     model = LanguageModel(langs, likelihood)
     for batch in slices(batches, "text"):
         said = [model.predict(t.as_py()) for t in batch.column("text")]

@@ -6,10 +6,13 @@ characters as they are, all others hashed into the upper half). A task counts it
 n-grams and emits each count once; Spark adds the counts up and works out continuation counts,
 discounts, backoff weights and interpolated probabilities of all orders by joins and aggregates.
 
-The model grows with the corpus, so it is never held as a whole. All n-grams by which a character
-is judged agree in the character before it: the tables are sharded by that, into shards of at
-most ``SHARD_ENTRIES`` entries, and each is broadcast for one pass over the documents that gives
-every document's partial sum of logarithms. The sums are added up by document. A document stays
+The model grows with the corpus, so it is never held as a whole. All longer n-grams by which a
+character is judged agree in the two characters before it: their tables are sharded by that, into
+as many shards as make ``SHARD_ENTRIES`` entries each; unigrams and bigrams (65,792 at most) are
+part of every shard. Shard by shard, the table is broadcast for one pass over the documents that
+gives every document's partial sum of logarithms, the sums are checkpointed and the broadcast is
+destroyed, so that the driver holds one shard at a time. Two characters can't have more than
+256**3 entries, whatever the size of the corpus. The sums are added up by document. A document stays
 when its perplexity is at most its language's threshold: that quantile of the perplexities of
 trusted documents that the model has not seen which best parts them from documents labelled as
 poor or toxic.
@@ -17,19 +20,20 @@ poor or toxic.
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import durable
+from lattica.llm.common import durable, slices, worker_keeps
 
 ORDER = 5
 CLASSES = 256
-#: Entries of the probability and backoff tables that are broadcast at once.
+#: Mean number of entries of the probability and backoff tables that are broadcast at once.
 SHARD_ENTRIES = 4_000_000
 #: The loosest quantile of trusted documents; in steps of ``STEP`` down to ``TIGHTEST`` others are tried.
 QUANTILE = 0.99
@@ -79,7 +83,8 @@ def _count_partition(batches):
             held, held_n = _merge([held, values], [held_n, n])
             go, size = [], 0
 
-    for batch in batches:
+    worker_keeps(("counts",), lambda: None)
+    for batch in slices(batches, "text"):
         for text in batch.column("text"):
             go.append(ngrams(text.as_py()))
             size += len(go[-1])
@@ -158,8 +163,9 @@ class _Table:
 
 
 class _Shard:
-    def __init__(self, p: list[tuple[np.ndarray, np.ndarray]], gamma: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray):
-        self.p, self.gamma, self.of = [_Table(*x) for x in p], [_Table(*x) for x in gamma], of
+    def __init__(self, p: list[tuple[np.ndarray, np.ndarray]], gamma: list[tuple[np.ndarray, np.ndarray]], number: int, shards: int):
+        self.p, self.gamma = [_Table(*x) for x in p], [_Table(*x) for x in gamma]
+        self.of = _shard_of(np.arange(CLASSES * CLASSES), shards) == number
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Logarithms of the probabilities of the n-grams' last characters, backing off as needed."""
@@ -178,22 +184,16 @@ class _Shard:
         return out
 
 
-_BUILT: dict[str, _Shard] = {}
-
-
-def _score_partition(batches, shard):
-    mine = _BUILT.get(shard.id)
-    if mine is None:
-        _BUILT.clear()
-        mine = _BUILT[shard.id] = _Shard(*shard.value)
-    for batch in batches:
+def _score_partition(batches, name, shard):
+    mine = worker_keeps(("shard", name), lambda: _Shard(*shard.value))
+    for batch in slices(batches, "text"):
         texts = batch.column("text")
         sums, n, go, rows, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [], [], 0
         for i, text in enumerate(texts):
             text = text.as_py()
             if text:
                 codes = ngrams(text)
-                codes = codes[mine.of[(codes >> 8) & 255]]
+                codes = codes[mine.of[(codes >> 8) & _MASKS[2]]]
                 go.append(codes)
                 rows.append(i)
                 n[i] = len(codes)
@@ -210,56 +210,35 @@ def _score_partition(batches, shard):
         )
 
 
-def _packed(sizes: dict[int, int]) -> list[list[int]]:
-    """Characters before, in groups whose tables have at most ``SHARD_ENTRIES`` entries together
-    (or hold one character)."""
-    out: list[list[int]] = []
-    room = 0
-    for c, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        if n > room or not out:
-            out.append([])
-            room = SHARD_ENTRIES
-        out[-1].append(c)
-        room -= n
-    return out
+def _shard_of(pair, shards: int):
+    """The shard of two characters (a number, or a column of numbers): a multiplicative hash."""
+    if isinstance(pair, Column):
+        return F.pmod(F.shiftright(pair * 40_503, 4).bitwiseAND(F.lit(0xFFFF).cast("long")), F.lit(shards))
+    return ((pair * 40_503 >> 4) & 0xFFFF) % shards
 
 
-def _collected(table: DataFrame, value: str, before, of: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    got = (table if of is None else table.where(before.isin(of))).select("code", value).toArrow()
+def _collected(table: DataFrame, value: str, pair: Column | None, number: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    got = (table if pair is None else table.where(_shard_of(pair, shards) == number)).select("code", value).toArrow()
     return got.column("code").to_numpy(), got.column(value).to_numpy()
 
 
 def log_sums(docs: DataFrame, probabilities: list[DataFrame], backoffs: list[DataFrame]) -> DataFrame:
     """doc_id, lang, text_hash, logs, n for each document and shard of the model."""
-    last_but_one, last = F.shiftright("code", 8).bitwiseAND(F.lit(255).cast("long")), F.col("code").bitwiseAND(F.lit(255).cast("long"))
-    sizes = {c: 0 for c in range(CLASSES)}
-    for k in range(ORDER):
-        for table, before, least in ((probabilities[k], last_but_one, 1), (backoffs[k], last, 1)):
-            if k >= least:
-                for r in table.groupBy(before.alias("c")).count().collect():
-                    sizes[r["c"]] += r["count"]
+    two = F.lit(_MASKS[2]).cast("long")
+    before, last = F.shiftright("code", 8).bitwiseAND(two), F.col("code").bitwiseAND(two)
+    total = sum(table.count() for table in probabilities[2:] + backoffs[2:])
+    shards = max(1, math.ceil(total / SHARD_ENTRIES))
     sc, out = docs.sparkSession.sparkContext, None
-    for group in _packed(sizes):
-        of = np.zeros(CLASSES, bool)
-        of[group] = True
-        p = [_collected(probabilities[k], "p", last_but_one, group if k else None) for k in range(ORDER)]
-        gamma = [_collected(backoffs[k], "gamma", last, group if k else None) for k in range(ORDER)]
-        part = docs.mapInArrow(partial(_score_partition, shard=_Broadcast(sc.broadcast((p, gamma, of)))), "doc_id long, lang string, text_hash long, logs double, n long")
+    for number in range(shards):
+        p = [_collected(probabilities[k], "p", before if k > 1 else None, number, shards) for k in range(ORDER)]
+        gamma = [_collected(backoffs[k], "gamma", last if k > 1 else None, number, shards) for k in range(ORDER)]
+        sent = sc.broadcast((p, gamma, number, shards))
+        part = durable(docs.mapInArrow(partial(_score_partition, name=uuid.uuid4().hex, shard=sent), "doc_id long, lang string, text_hash long, logs double, n long"))
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-class _Broadcast:
-    """A broadcast with a number by which a worker knows it again."""
-
-    def __init__(self, held):
-        self.held, self.id = held, uuid.uuid4().hex
-
-    @property
-    def value(self):
-        return self.held.value
-
-
 def _thresholds(known: DataFrame, keys: list[str], quantile: float) -> DataFrame:
     """keys, cut: of the quantiles of the good documents' perplexities the one that keeps the most
     of the good less what it keeps of the others (as shares); the loosest where several do."""

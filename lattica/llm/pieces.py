@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import held, slices
+from lattica.llm.common import slices, worker_keeps
 
 SPACE = "▁"
 #: Words kept in each of the two generations of a worker's cache.
@@ -200,7 +200,7 @@ _CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def encode_partition(batches, model_file: str):
-    words = held(("pieces", model_file), lambda: _Words(PieceModel(model_file), CACHE_WORDS))
+    words = worker_keeps(("pieces", model_file), lambda: _Words(PieceModel(model_file), CACHE_WORDS))
     model = words.model
     feed = ",".join(map(str, model.merge("\n")))
     for batch in slices(batches, "text"):
