@@ -40,6 +40,23 @@ def _text_of(variant: Column, path: str) -> Column:
     return F.try_variant_get(variant, path, "string")
 
 
+def _json_of(variant: Column, path: str) -> Column:
+    """What stands at the path, of any type, as canonical JSON; ``null`` if nothing does."""
+    return F.coalesce(F.to_json(F.try_variant_get(variant, path, "variant")), F.lit("null"))
+
+
+def _further(variant: Column, *known: str) -> Column:
+    """The object's other members as (key, JSON) structs."""
+    every = F.map_entries(F.coalesce(F.try_variant_get(variant, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    return F.transform(F.filter(every, lambda x: ~x["key"].isin("role", *known)), lambda x: F.struct(x["key"].alias("key"), F.coalesce(F.to_json(x["value"]), F.lit("null")).alias("value")))
+
+
+def _object(further: Column, **members: Column) -> Column:
+    """Canonical JSON of an object: ``members`` (as JSON) and ``further`` ones, sorted by key."""
+    named = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in members.items()])
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.concat(named, further)), lambda x: F.concat(_quoted(x["key"]), F.lit(":"), x["value"])), ","), F.lit("}"))
+
+
 def _type_of(arguments: Column, name: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(arguments, f"$['{name}']", "variant"))
 
@@ -93,7 +110,8 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, str]] = TO
 
     Sorting a conversation by the four ``at_`` columns, then turn, gives the topological order.
     ``message`` is canonical JSON with content and role (null where they are null), with
-    tool_calls (arguments, id, level, linked, name, valid) or tool_call_id. A call is linked with
+    tool_calls (arguments, id, level, linked, name, valid) or tool_call_id, and whatever other
+    members the text's object has; numbers are written as Spark's variants write them. A call is linked with
     the first later result of its id, a result with the last earlier call; a result without one
     is an orphan at its own turn. Text that is not such JSON is content as it stands, and
     so is all text of rows without a conv_id or turn. Rows that
@@ -113,7 +131,7 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, str]] = TO
     one = F.col("c")
     raw = F.coalesce(F.try_parse_json(_text_of(one, "$.function.arguments")), F.try_variant_get(one, "$.function.arguments", "variant"), F.try_variant_get(one, "$.arguments", "variant"))
     name = F.coalesce(_text_of(one, "$.function.name"), _text_of(one, "$.name"))
-    said = rows.where("calls is not null").select("conv_id", "turn", F.to_json("json").alias("said"), _text_of(F.col("json"), "$.content").alias("content"), "calls")
+    said = rows.where("calls is not null").select("conv_id", "turn", F.to_json("json").alias("said"), _json_of(F.col("json"), "$.content").alias("content"), _further(F.col("json"), "content", "tool_calls").alias("further"), "calls")
     calls = (
         said.select("conv_id", "turn", "said", F.posexplode("calls").alias("idx", "c"))
         .select("conv_id", "turn", "said", "idx", _text_of(one, "$.id").alias("call_id"), name.alias("name"), raw.alias("raw"))
@@ -121,7 +139,7 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, str]] = TO
         .withColumn("needs", F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(_REFERENCE), F.lit(1)))
     )
     calls = durable(calls.distinct())
-    results = durable(rows.where("answers is not null").select("conv_id", "turn", F.col("answers").alias("call_id"), _text_of(F.col("json"), "$.content").alias("content")))
+    results = durable(rows.where("answers is not null").select("conv_id", "turn", F.col("answers").alias("call_id"), _json_of(F.col("json"), "$.content").alias("content"), _further(F.col("json"), "content", "tool_call_id").alias("further")))
     late = results.select("conv_id", "call_id", F.col("turn").alias("result_turn")).distinct()
     linked = calls.join(late, ["conv_id", "call_id"]).where("result_turn > turn").groupBy("conv_id", "turn", "said", "idx").agg(F.min("result_turn").alias("result_turn"))
     levels = _levels(calls)
@@ -137,11 +155,11 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, str]] = TO
     )
     items = F.array_join(F.transform("items", lambda x: x["item"]), ",")
     asking = (
-        said.select("conv_id", "turn", "said", "content")
+        said.select("conv_id", "turn", "said", "content", "further")
         .join(listed, ["conv_id", "turn", "said"], "left")
         .select(
             "conv_id", "turn", F.lit("assistant").alias("role"), F.col("turn").alias("at_turn"), *[F.lit(0).alias(f"at_{x}") for x in ("part", "level", "idx")],
-            F.concat(F.lit('{"content":'), _quoted(F.col("content")), F.lit(',"role":"assistant","tool_calls":['), F.coalesce(items, F.lit("")), F.lit("]}")).alias("message"),
+            _object(F.col("further"), content=F.col("content"), role=F.lit('"assistant"'), tool_calls=F.concat(F.lit("["), F.coalesce(items, F.lit("")), F.lit("]"))).alias("message"),
             *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_calls", "n_linked", "n_invalid")], F.lit(False).alias("orphan"),
         )
     )
@@ -153,7 +171,7 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, str]] = TO
     answers = results.join(places, ["conv_id", "turn", "call_id"], "left").select(
         "conv_id", "turn", F.lit("tool").alias("role"), F.coalesce("p.call_turn", "turn").alias("at_turn"), F.when(F.col("p").isNotNull(), 1).otherwise(0).alias("at_part"),
         F.coalesce("p.level", F.lit(0)).alias("at_level"), F.coalesce("p.idx", F.lit(0)).alias("at_idx"),
-        F.concat(F.lit('{"content":'), _quoted(F.col("content")), F.lit(',"role":"tool","tool_call_id":'), _quoted(F.col("call_id")), F.lit("}")).alias("message"),
+        _object(F.col("further"), content=F.col("content"), role=F.lit('"tool"'), tool_call_id=_quoted(F.col("call_id"))).alias("message"),
         *[F.lit(0).cast("long").alias(f"n_{x}") for x in ("calls", "linked", "invalid")], F.col("p").isNull().alias("orphan"),
     )
     return plain.unionByName(asking).unionByName(answers)

@@ -311,3 +311,102 @@ def test_chats(spark):
         assert r["message"] == json.dumps(json.loads(r["message"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False).replace('"tool_calls":' + json.dumps([], separators=(",", ":")), '"tool_calls":[]') or r["conv_id"] == 1
     assert all(c["level"] == -1 for c in json.loads(out[-1]["message"])["tool_calls"])
     assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def brute_levels(calls):
+    """Level by (turn, idx) of one conversation's calls (turn, idx, id, needed ids); -1 in or behind a cycle."""
+    on = {}
+    for turn, idx, name, _ in sorted(calls):
+        on.setdefault(name, (turn, idx))
+    need = {(t, i): {on[x] for x in ids if x in on} for t, i, _, ids in calls}
+    level = {}
+    while ready := [k for k in need if k not in level and all(x in level for x in need[k])]:
+        level |= {k: max((level[x] + 1 for x in need[k]), default=0) for k in ready}
+    return {k: level.get(k, -1) for k in need}
+
+
+def test_random_chats_against_brute_force(spark):
+    rng = random.Random(31)
+    rows, levels, linked, orphans, valid = [], {}, {}, {}, {}
+    for conv in range(25):
+        calls, answers, turn = [], [], 0
+        for _ in range(rng.randrange(1, 5)):
+            said = []
+            for idx in range(rng.randrange(4)):
+                name, needs = f"c{rng.randrange(7)}", [f"c{rng.randrange(9)}" for _ in range(rng.choice([0, 0, 1, 2]))]
+                args = {"query": " ".join("${%s}" % x for x in needs)} | ({"limit": rng.choice([3, "3"])} if rng.random() < 0.5 else {}) | ({"more": 1} if rng.random() < 0.2 else {})
+                fits = set(args) <= {"query", "limit"} and isinstance(args.get("limit", 1), int)
+                said.append({"id": name, "type": "function", "function": {"name": rng.choice(["search", "search", "none"]), "arguments": rng.choice([json.dumps(args), args])}})
+                calls.append((turn, idx, name, needs))
+                valid[conv, turn, idx] = fits and said[-1]["function"]["name"] == "search"
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": said, "content": rng.choice([None, "é", ["a", {"b": 1}]]), "z": 1, "a": [True]})))
+            turn += 1
+            for _ in range(rng.randrange(4)):
+                name = f"c{rng.randrange(8)}"
+                answers.append((turn, name))
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": name, "content": "x", "name": "n"})))
+                turn += 1
+        levels |= {(conv, *k): v for k, v in brute_levels(calls).items()}
+        for t, i, name, _ in calls:
+            linked[conv, t, i] = any(a > t and n == name for a, n in answers)
+        for a, name in answers:
+            orphans[conv, a] = not any(t < a and n == name for t, _, n, _ in calls)
+    rng.shuffle(rows)
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == len(rows)
+    texts = {(c, t): json.loads(x) for c, t, _, x in rows}
+    for r in out:
+        message, source = json.loads(r["message"]), texts[r["conv_id"], r["turn"]]
+        assert r["message"] == json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert {k: v for k, v in message.items() if k not in ("tool_calls", "role")} == {k: v for k, v in source.items() if k != "tool_calls"} and message["role"] == r["role"]
+        if r["role"] == "tool":
+            assert r["orphan"] == orphans[r["conv_id"], r["turn"]]
+            continue
+        order = sorted((levels[r["conv_id"], r["turn"], i], i) for i in range(len(source["tool_calls"])))
+        assert r["n_calls"] == len(order) and len(message["tool_calls"]) == len(order)
+        for (level, i), got in zip(order, message["tool_calls"], strict=True):
+            raw = source["tool_calls"][i]
+            args = raw["function"]["arguments"]
+            key = (r["conv_id"], r["turn"], i)
+            want = {"arguments": json.loads(args) if isinstance(args, str) else args, "id": raw["id"], "level": level, "linked": linked[key], "name": raw["function"]["name"], "valid": valid[key]}
+            assert got == want
+
+
+def test_judge_against_brute_force(spark):
+    rng = random.Random(41)
+    words = {"aa": ["house", "river", "green"], "bb": ["haus", "fluss", "grün"]}
+    rows, labels = [], []
+    for d in range(260):
+        lang, odd = rng.choice(["aa", "bb"]), rng.random() < 0.3
+        rows.append((d, " ".join(rng.choice(words[lang]) + (rng.choice(["", "xq", "zz"]) if odd else "") for _ in range(rng.randrange(3, 15))), lang))
+        if rng.random() < 0.8:
+            labels.append((d, int(not odd or rng.random() < 0.1), int(rng.random() < 0.05)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    test = {r[0] for r in docs.selectExpr("doc_id").where(f"pmod(xxhash64(doc_id), {perplexity.FOLDS}) = 0").collect()}
+    good = {d: q == 1 and t != 1 for d, q, t in labels}
+    seen = brute_perplexity([t for d, t, _ in rows if good.get(d) and d not in test], [t for _, t, _ in rows])
+    value = {d: round(p, 6) for (d, _, _), p in zip(rows, seen, strict=True)}
+    cut = {}
+    for lang in words:
+        fine, poor = ([value[d] for d, _, x in rows if x == lang and d in test and good.get(d) is flag] for flag in (True, False))
+        tried = []
+        for k in range(50, 100):
+            at = sorted(fine)[max(0, math.ceil(k / 100 * len(fine) - 1e-9) - 1)]
+            tried.append((sum(v <= at for v in fine) / len(fine) - sum(v <= at for v in poor) / max(len(poor), perplexity.LEAST_POOR), at))
+        cut[lang] = max(tried)[1]
+    got = perplexity.judge(docs, marks).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["perplexity"] == pytest.approx(value[r["doc_id"]], abs=2e-6) and r["threshold"] == pytest.approx(cut[r["lang"]], abs=2e-6)
+        assert r["keep"] == (r["perplexity"] <= r["threshold"])
+
+
+def test_held_out_languages_of_the_tables(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    said = language.identify(docs).where("held_out and lang_pred <> 'und'").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").selectExpr("avg(int(lang = lang_pred)) a", "count(*) n").first()
+    assert said["n"] > 100 and said["a"] > 0.98
