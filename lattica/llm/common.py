@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker takes up at once.
 SLICE_BYTES = 2 << 20
-#: Parts into which the rows of one key are dealt.
-SALTS = 64
+#: Rows of a narrow table in one partition of a checkpoint.
+PARTITION_ROWS = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,18 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with an eager reliable checkpoint in the shared folder."""
-    _checkpoint_dir(df.sparkSession)
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut lineage with an eager reliable checkpoint in the shared folder.
+
+    Every partition becomes a file: where about so many ``rows`` of a narrow table are expected,
+    they are put into no more partitions than tasks run at once or ``PARTITION_ROWS`` asks for.
+    """
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    if rows is not None:
+        parts = max(spark.sparkContext.defaultParallelism, rows // PARTITION_ROWS + 1)
+        if parts < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(parts)
     return df.checkpoint(eager=True)
 
 
@@ -101,14 +110,15 @@ def worker_keeps(key: tuple, build: Callable[[], object]):
     return _HELD[1]
 
 
-def with_totals(rows: DataFrame, key: str, spread: str, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
-    """``rows`` with aggregates over ``key`` added.
+def with_totals(rows: DataFrame, key: str, spread: str, totals: dict[str, Column], having: Column | None = None) -> DataFrame:
+    """``rows`` with aggregates over ``key`` added; of the keys whose totals fit ``having``.
 
-    One key may have most of the rows: they are dealt into ``SALTS`` parts by a hash of
-    ``spread``. ``partial`` aggregates a part and ``final`` the parts' results; a key's totals
-    then go to each of its parts, so that no task gets all rows of a key.
+    One key may have most of the rows: they are dealt into 64 parts by a hash of ``spread``, and a
+    key's totals go to those of the parts that it has, so that no task gets all rows of a key.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    parts = salted.groupBy(key, "__salt").agg(*[c.alias(n) for n, c in partial.items()])
-    totals = parts.groupBy(key).agg(*[c.alias(n) for n, c in final.items()], F.collect_list("__salt").alias("__salts"))
-    return salted.join(totals.withColumn("__salt", F.explode("__salts")).drop("__salts"), [key, "__salt"]).drop("__salt")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(64)).cast("int"))
+    sums = salted.groupBy(key).agg(*[c.alias(n) for n, c in totals.items()], F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__salt"))).alias("__parts"))
+    if having is not None:
+        sums = sums.where(having)
+    there = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("__parts"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return salted.join(sums.withColumn("__salt", F.explode(there)).drop("__parts"), [key, "__salt"]).drop("__salt")

@@ -259,7 +259,7 @@ def _join_group(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(nodes, pa.int64()), pa.array([nodes[x] for x in to], pa.int64()), pa.array(links.astype(np.int64)), pa.array([split] * len(nodes))], schema=_FOUND)
 
 
-def _members(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+def _members(nodes: DataFrame, comps: DataFrame, rows: int) -> DataFrame:
     """doc_id, text_hash, node, mult, comp, bin, blocks, block: where the text of each node of a
     component is to go.
 
@@ -267,8 +267,7 @@ def _members(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     smaller ones share bins of about that size.
     """
     placed = comps.join(nodes.select("node", "mult", "first.*"), "node").withColumnRenamed("root", "comp")
-    size = {"size": F.count("*"), "bytes": F.sum("n_bytes")}
-    placed = durable(with_totals(placed, "comp", "node", size, {k: F.sum(k) for k in size}))
+    placed = durable(with_totals(placed, "comp", "node", {"size": F.count("*"), "bytes": F.sum("n_bytes")}), rows)
     wanted = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)))
     placed = placed.withColumn("blocks", wanted.cast("long"))
     total = placed.where("blocks = 1").agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
@@ -308,22 +307,24 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     sketches = durable(typed.mapInArrow(_sketch_partition, "doc_id long, text_hash long, node long, n_bytes long, keys array<long>"))
+    rows = sketches.count()
     nodes = durable(
         sketches.where("node is not null")
         .groupBy("node")
-        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_hash", "n_bytes")).alias("first"), F.count("*").alias("mult"), F.first("keys").alias("keys"))
+        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_hash", "n_bytes")).alias("first"), F.count("*").alias("mult"), F.first("keys").alias("keys")),
+        rows,
     )
     bands = nodes.select("node", F.explode("keys").alias("key"))
-    linked = with_totals(bands, "key", "node", {"hub": F.min("node"), "n": F.count("*")}, {"hub": F.min("hub"), "n": F.sum("n")})
-    comps = durable(components(linked.where("n > 1").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    linked = with_totals(bands, "key", "node", {"hub": F.min("node"), "n": F.count("*")}, F.col("n") > 1)
+    comps = durable(components(linked.select(F.col("node").alias("a"), F.col("hub").alias("b")), rows), rows)
     repeated = not sketches.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     sent = (
-        _texts(typed, _members(nodes, comps), repeated)
+        _texts(typed, _members(nodes, comps, rows), repeated)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("text", "node", "mult", "comp", "bin", "blocks", "block", (F.least("block", "other") * (1 << 31) + F.greatest("block", "other")).alias("pair"))
     )
     found = durable(sent.groupBy("bin", "blocks", "pair").applyInArrow(_join_group, "node long, `to` long, links long, split boolean"))
-    across = components(found.where("split and node <> `to`").select(F.col("node").alias("a"), F.col("to").alias("b")))
+    across = components(found.where("split and node <> `to`").select(F.col("node").alias("a"), F.col("to").alias("b")), rows)
     roots = found.where("not split").select("node", F.col("to").alias("root")).unionByName(across)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = (
@@ -332,16 +333,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .join(links, "node", "left")
         .select("node", "first", "mult", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     )
-    whole = with_totals(whole, "root", "node", {"class_first": F.min("first")}, {"class_first": F.min("class_first")})
-    whole = durable(whole.select("node", "class_first", "n_links", "mult"))
-    rows = sketches.select("doc_id", "text_hash", "node")
+    whole = with_totals(whole, "root", "node", {"class_first": F.min("first")})
+    whole = durable(whole.select("node", "class_first", "n_links", "mult"), rows)
+    known = sketches.select("doc_id", "text_hash", "node")
     # a node may have most of the rows: those of at most ``HOT_NODES`` nodes meet their class by broadcast
-    least = max(2, math.ceil(rows.count() / HOT_NODES))
+    least = max(2, math.ceil(rows / HOT_NODES))
     hot, rest = (whole.where(c).drop("mult") for c in (F.col("mult") >= least, F.col("mult") < least))
     classed = (
-        rows.join(F.broadcast(hot), "node")
-        .unionByName(rows.where("node is not null").join(F.broadcast(hot.select("node")), "node", "left_anti").join(rest, "node"))
-        .unionByName(rows.where("node is null"), allowMissingColumns=True)
+        known.join(F.broadcast(hot), "node")
+        .unionByName(known.where("node is not null").join(F.broadcast(hot.select("node")), "node", "left_anti").join(rest, "node"))
+        .unionByName(known.where("node is null"), allowMissingColumns=True)
     )
     same = (F.col("doc_id") == F.col("class_first.doc_id")) & (F.col("text_hash") == F.col("class_first.text_hash"))
     return classed.select(
@@ -358,7 +359,8 @@ def first_of_class(docs: DataFrame) -> DataFrame:
     with the smallest doc_id. Rows that repeat exactly in doc_id and text count as one. Rows
     without a doc_id stay."""
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    rows = durable(jaccard_classes(docs).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_or("is_first").alias("stays"), F.count("*").alias("n")))
+    classes = jaccard_classes(docs)
+    rows = durable(classes.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_or("is_first").alias("stays"), F.count("*").alias("n")))
     gone = rows.where("not stays").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
     kept = hashed.join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__text_hash") == F.col("__gone_hash")), "left_anti")
     if not rows.where("stays and n > 1").isEmpty():

@@ -234,7 +234,7 @@ def _selected(vectors: DataFrame) -> DataFrame | None:
     fit = assembled.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("fit_yes").cast("double").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("fit_no").cast("double").alias("weight")))).alias("x"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, weightCol="weight", cacheNodeIds=False).fit(fit.select("features", "x.label", "x.weight").where("weight > 0"))
     scored = model.transform(assembled).select(*FEATURES, "test_yes", "test_no", F.round(vector_to_array("probability")[1], 9).alias("score"))
-    scored = durable(scored)
+    scored = durable(scored, 0)
     down = Window.partitionBy("generator").orderBy(F.desc("score"))
     steps = scored.groupBy("generator", "score").agg(F.sum("test_yes").alias("copies"), F.sum("test_no").alias("n"))
     steps = steps.withColumn("upto", F.sum("copies").over(down)).withColumn("copies", F.sum("copies").over(Window.partitionBy("generator")))
@@ -312,23 +312,25 @@ def spans(docs: DataFrame) -> DataFrame:
     matches, and selected candidates. Of candidates that overlap the one that starts first stays,
     of these the longest."""
     found = durable(matches(docs))
+    rows = found.count()
     base = found.where(F.col("of").isin(*KINDS) & is_base()).select(
         *_DOC, F.array_position(F.array(*map(F.lit, KINDS)), F.col("of")).cast("int").alias("kind"), "start", "end", F.lit(True).alias("base")
     )
     base = base.withColumn("kind", F.col("kind") - 1)
-    cards = durable(_card_parts(found, base))
+    cards = durable(_card_parts(found, base), rows)
     parts = cards.unionByName(_phone_parts(found, base.select(*_DOC, "start", "end").unionByName(cards.select(*_DOC, "start", "end"))))
-    base = durable(base.unionByName(parts.withColumn("base", F.lit(False))))
+    base = durable(base.unionByName(parts.withColumn("base", F.lit(False))), rows)
     enough = F.col("of").isin("address", "token") | F.length(_digits()).between(*DIGITS)
     proposed = found.where(F.col("of").isin(*GENERATORS) & enough).select(*_DOC, "start", "end", _kind().cast("int").alias("kind"), ((F.col("of") == "token") & F.col("before").rlike(ASSIGNED)).alias("copy"), *_features())
-    candidates = durable(_overlapping(proposed, base).where("not hit").drop("hit"))
+    candidates = durable(_overlapping(proposed, base).where("not hit").drop("hit"), rows)
     written = _copies(found.where(F.col("of").isin(*KINDS) & is_base())).select(*_DOC, F.lit(True).alias("copy"), *_features())
     test = F.pmod(F.xxhash64("th", F.lit(5)), F.lit(5)) == 0
     counted = lambda c: F.count_if(c).alias
     vectors = durable(
         candidates.select(*_DOC, "copy", *FEATURES).unionByName(written).groupBy(*FEATURES).agg(
             counted(~test & F.col("copy"))("fit_yes"), counted(~test & ~F.col("copy"))("fit_no"), counted(test & F.col("copy"))("test_yes"), counted(test & ~F.col("copy"))("test_no")
-        )
+        ),
+        rows,
     )
     selected = _selected(vectors)
     if selected is None:

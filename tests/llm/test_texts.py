@@ -18,7 +18,7 @@ MODEL = tokenizers.path("piece_bpe_32k.model")
 def test_encoding_equals_the_library(spark):
     rng = random.Random(1)
     parts = ["ab", " ", "  ", "\n", "▁", "the", "étion", "🦜", "\x00", "<s>", "0", "'", "tion", "　"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)] + ["", None, " ", "\n", "a" * 3000, "x y " * 2000]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)] + ["", None, " ", "\n", "\n\na", "a\n", "a\n b", "a  b", " a", "a ", "▁a b", "a\nb c\n\nd", "\r\n a", "a" * 3000, "x y " * 2000]
     model = pieces.PieceModel(MODEL)
     frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     for r in pieces.encode_documents(frame, MODEL).collect():
@@ -29,12 +29,12 @@ def test_encoding_equals_the_library(spark):
         assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def test_scanned_and_heaped_agendas_agree():
+def test_agendas_in_rows_and_in_a_heap_agree():
     model, rng = pieces.PieceModel(MODEL), random.Random(2)
-    for _ in range(300):
-        text = "▁" + "".join(rng.choice("abcdetionr▁") for _ in range(rng.randrange(1, 60)))
-        assert model._scanned(text) == model._heaped(text)
-        assert model.encode("a b") == model.library.encode("a b")
+    words = ["".join(rng.choice(["▁", ""]) for _ in range(2)) + "".join(rng.choice("abcdetionrüé🦜") for _ in range(rng.randrange(0, 90))) for _ in range(2000)]
+    ids = [model.merge(w) for w in words]
+    assert model.rows is not None and model.work_out(words) == ([",".join(map(str, i)) for i in ids], [model.surface(i) for i in ids])
+    assert model.encode("a b") == model.library.encode("a b")
 
 
 def test_languages(spark):
