@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import ranks
+
 
 def entity_period_scores(rows: DataFrame, entity: str, period: Column, score: str, cluster: str) -> DataFrame:
     """entity, period, score (mean), cluster, n of each entity and period."""
@@ -19,9 +21,9 @@ def zscore_by_base(panel: DataFrame, base: int, score: str = "score", out: str =
 
 
 def percent_rank_extremity(panel: DataFrame, score: str = "score") -> DataFrame:
-    """Adds pct (percent rank within the period, ties equal) and extremity |pct - 0.5| * 2."""
-    pct = F.percent_rank().over(Window.partitionBy("period").orderBy(score))
-    return panel.withColumn("pct", pct).withColumn("extremity", F.abs(F.col("pct") - 0.5) * 2)
+    """Adds pct (percent rank within the period, ties equal) and extremity |pct - 0.5| * 2; rows
+    without a score are left out."""
+    return ranks.percent_ranked(panel, ["period"], score).withColumn("extremity", F.abs(F.col("pct") - 0.5) * 2)
 
 
 def minmax(panel: DataFrame, score: str = "score") -> DataFrame:

@@ -47,6 +47,7 @@ def average_rank(value: str, *by: str, descending: bool = False) -> Column:
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
+    # for groups that a window can sort, such as clusters; ranks.spearman_of_rows is for rows
     ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", average_rank(x, *by)).withColumn("__y", average_rank(y, *by))
     return ranked.groupBy(*by).agg(F.corr("__x", "__y").alias(out))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import contrib, panel, stats
+from lattica.operators import contrib, nulls, panel, ranks, stats
+from lattica.operators.components import cut
 from lattica.plans.registry import Tables, query, sql_query
 
 BASE, LAST = 1995, 2001
@@ -116,7 +117,7 @@ RANKED = "rank() OVER (PARTITION BY period ORDER BY {0}) + (count(*) OVER (PARTI
 
 @query(f"WITH {P1}, rk AS (SELECT period, {RANKED.format('n')} AS rx, {RANKED.format('score')} AS ry FROM p1) SELECT period, round(corr(rx, ry), 6) AS rho FROM rk GROUP BY period")
 def spearman_size_extremity(t):
-    return stats.spearman(p1(t), ["period"], "n", "score").select("period", r("rho").alias("rho"))
+    return ranks.spearman_of_rows(p1(t), ["period"], "n", "score").select("period", r("rho").alias("rho"))
 
 
 sql_query("pearson_corr", f"WITH {P1} SELECT period, round(corr(score, n), 6) AS r FROM p1 GROUP BY period")
@@ -179,13 +180,10 @@ sql_query("ungrouped_vs_weighted_rank", f"""WITH {P1}{CONTRIB} SELECT period, cl
 g AS (SELECT left_out, period, cluster, count(z) AS gn, avg(z) AS gm, var_pop(z) AS gv FROM x GROUP BY 1, 2, 3), gm AS (SELECT left_out, period, avg(z) AS mean FROM x GROUP BY 1, 2)
 SELECT g.left_out, g.period, round(sum(gn * (g.gm - mean) * (g.gm - mean)) / (sum(gn * (g.gm - mean) * (g.gm - mean)) + sum(gn * gv)), 6) AS eta2 FROM g JOIN gm ON g.left_out = gm.left_out AND g.period = gm.period GROUP BY 1, 2""")
 def leave_group_out_eta2(t):
-    groups = (
-        scored(t).where(F.col("period").isin(BASE, LAST)).groupBy("period", "cluster").agg(F.count("z").alias("gn"), F.sum("z").alias("gs"), F.sum(F.col("z") * F.col("z")).alias("gq"))
-    )
-    field = groups.withColumnsRenamed({"cluster": "left_out", "gn": "on", "gs": "os", "gq": "oq"})
-    rest = field.join(groups, "period").where("cluster <> left_out").groupBy("left_out", "period").agg(F.sum("gn").alias("n"), F.sum("gs").alias("s"), F.sum("gq").alias("q"), F.sum(F.col("gs") * F.col("gs") / F.col("gn")).alias("qb"))
-    middle = F.col("s") * F.col("s") / F.col("n")
-    return rest.select("left_out", "period", r((F.col("qb") - middle) / (F.col("q") - middle)).alias("eta2"))
+    z = scored(t)
+    sums = contrib.group_sums(z.where(F.col("period").isin(BASE, LAST)))
+    out = z.select("cluster").distinct().withColumn("left_out", F.col("cluster"))
+    return contrib.eta2_without(sums, out, ["left_out"]).where("n > 0").select("left_out", "period", r("eta2").alias("eta2"))
 
 
 BALANCED = "bal AS (SELECT entity FROM p1 GROUP BY entity HAVING count(DISTINCT period) = 7)"
@@ -200,7 +198,7 @@ def balanced_panel_contribution(t):
 rk AS (SELECT {RANKED.format('x')} AS rx, {RANKED.format('y')} AS ry FROM k) SELECT round(corr(rx, ry), 6) AS rho FROM rk""")
 def ceiling_effect(t):
     ends = scored(t).groupBy("entity").agg(F.max(F.when(F.col("period") == BASE, F.col("z"))).alias("a"), F.max(F.when(F.col("period") == LAST, F.col("z"))).alias("b"))
-    return stats.spearman(ends.select(F.lit(0).alias("one"), F.abs("a").alias("x"), (F.col("b") - F.col("a")).alias("y")), ["one"], "x", "y").select(r("rho").alias("rho"))
+    return ranks.spearman_of_rows(ends.select(F.lit(0).alias("one"), F.abs("a").alias("x"), (F.col("b") - F.col("a")).alias("y")), ["one"], "x", "y").select(r("rho").alias("rho"))
 
 
 @query(f"WITH {P1}, {BALANCED} SELECT entity FROM bal")
@@ -251,40 +249,81 @@ def full_outer_assembly(t):
     return at(1995).join(at(2001), "entity", "full")
 
 
-PERMUTE = """,
-k AS (SELECT entity, cluster, z, b.b, row_number() OVER (PARTITION BY b.b ORDER BY md5(concat(CAST(b.b AS VARCHAR(9)), '-', CAST(entity AS VARCHAR(20)), '-7')), entity) AS i, row_number() OVER (PARTITION BY b.b ORDER BY entity) AS j
-      FROM z CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20)) AS v(b)) b WHERE period = 2000),
-sh AS (SELECT x.b, x.cluster, y.z FROM k x JOIN k y ON x.b = y.b AND x.j = y.i)"""
+DEALT = f"""dr AS (SELECT * FROM (VALUES {", ".join(map(str, nulls.draws()))}) AS v(b, a, c))"""
+#: What every cluster gets in every draw, and the observed clusters as draw 0: sh (period, b, cluster, s, n); ms has their measures.
+PERMUTE = f""", {DEALT},
+ix AS (SELECT period, z, row_number() OVER (PARTITION BY period ORDER BY md5(concat(CAST(entity AS VARCHAR), '-7')), entity) - 1 AS i FROM z),
+pl AS (SELECT period, cluster, row_number() OVER (PARTITION BY period ORDER BY cluster, entity) - 1 AS p FROM z),
+nn AS (SELECT period, count(*) AS nz FROM z GROUP BY period),
+sh AS (SELECT ix.period, dr.b, pl.cluster, sum(ix.z) AS s, count(*) AS n FROM ix JOIN nn ON ix.period = nn.period CROSS JOIN dr JOIN pl ON pl.period = ix.period AND pl.p = (ix.i * (dr.a % nz) + dr.c) % nz GROUP BY 1, 2, 3
+       UNION ALL SELECT period, 0, cluster, sum(z), count(*) FROM z GROUP BY period, cluster),
+dd AS (SELECT period, b, s, n, round(abs(s / n), 12) AS d FROM sh),
+rr AS (SELECT *, rank() OVER (PARTITION BY period, b ORDER BY d) + (count(*) OVER (PARTITION BY period, b, d) - 1) / 2.0E0 AS rd, rank() OVER (PARTITION BY period, b ORDER BY n) + (count(*) OVER (PARTITION BY period, b, n) - 1) / 2.0E0 AS rn FROM dd),
+ms AS (SELECT period, b, count(*) AS k, sum(n) AS n, sum(s * s / n) / sum(n) - (sum(s) / sum(n)) * (sum(s) / sum(n)) AS v, avg(abs(s / n)) AS au, sum(abs(s)) / sum(n) AS aw, round(corr(rd, rn), 9) AS rho FROM rr GROUP BY period, b),
+nu AS (SELECT period, avg(v) AS v, avg(au) AS au, avg(aw) AS aw, avg(rho) AS rho FROM ms WHERE b > 0 GROUP BY period),
+nt AS (SELECT m.period, sum(CASE WHEN m.v >= o.v THEN 1 ELSE 0 END) AS nv, sum(CASE WHEN m.rho <= o.rho THEN 1 ELSE 0 END) AS nr, count(*) AS draws FROM ms m JOIN ms o ON m.period = o.period AND o.b = 0 WHERE m.b > 0 GROUP BY m.period)"""
+
+
+def _permuted(t: Tables) -> DataFrame:
+    """Observed measures of each period (o...), means of the draws (n...), tail counts and draws."""
+    z = cut(scored(t).select("entity", "period", "cluster", "z"))
+    groups = z.groupBy("period", "cluster").agg(F.sum("z").alias("s"), F.count("*").alias("n"))
+    places = nulls.shuffled_places(z, ["period"], F.concat(F.col("entity").cast("string"), F.lit("-7")), "entity")
+    sums = nulls.dealt(places, groups)
+    measures = cut(nulls.group_measures(sums.unionByName(groups.select("period", F.lit(0).cast("long").alias("b"), "cluster", "s", "n")), ["period", "b"]))
+    cols = ("k", "n", "v", "au", "aw", "rho")
+    observed = measures.where("b = 0").select("period", *[F.col(c).alias(f"o{c}") for c in cols])
+    drawn = measures.where("b > 0").join(F.broadcast(observed), "period")
+    return drawn.groupBy("period", *[f"o{c}" for c in cols]).agg(
+        *[F.avg(c).alias(f"n{c}") for c in cols[2:]], F.count_if(F.col("v") >= F.col("ov")).alias("above"), F.count_if(F.col("rho") <= F.col("orho")).alias("below"), F.count("*").alias("draws")
+    )
 
 
-@query(f"""WITH {P1}{PERMUTE}, gm AS (SELECT b, cluster, avg(z) AS m, count(*) AS n FROM sh GROUP BY 1, 2), tm AS (SELECT b, sum(n * m) / sum(n) AS mean FROM gm GROUP BY b), nv AS (SELECT gm.b, sum(n * (m - mean) * (m - mean)) / sum(n) AS v FROM gm JOIN tm ON gm.b = tm.b GROUP BY gm.b),
-og AS (SELECT cluster, avg(z) AS m, count(*) AS n FROM z WHERE period = 2000 GROUP BY cluster), om AS (SELECT sum(n * m) / sum(n) AS mean FROM og), obs AS (SELECT sum(n * (m - mean) * (m - mean)) / sum(n) AS v FROM og CROSS JOIN om)
-SELECT round(max(obs.v), 6) AS observed, round(avg(nv.v), 6) AS null_mean, round((count(*) FILTER (WHERE nv.v >= obs.v) + 1) / CAST(count(*) + 1 AS DOUBLE), 6) AS p FROM nv CROSS JOIN obs""")
+@query(f"""WITH {P1}{PERMUTE} SELECT o.period, o.k, CAST(o.n AS BIGINT) AS n, round(o.v, 6) AS var_observed, round(nu.v, 6) AS var_null, round(o.au, 6) AS abs_observed, round(nu.au, 6) AS abs_null, round(o.aw, 6) AS weighted_abs_observed, round(nu.aw, 6) AS weighted_abs_null,
+round(o.rho, 6) AS rho_observed, round(nu.rho, 6) AS rho_null, round((nr + 1) / CAST(draws + 1 AS DOUBLE), 6) AS rho_p, round((nv + 1) / CAST(draws + 1 AS DOUBLE), 6) AS var_p, round(o.rho - nu.rho, 6) AS excess_rho, round(o.aw / o.au - nu.aw / nu.au, 6) AS excess_ratio
+FROM ms o JOIN nu ON o.period = nu.period JOIN nt ON o.period = nt.period WHERE o.b = 0""")
 def permutation_null(t):
-    z = scored(t).where("period = 2000").select("entity", "cluster", "z")
-    draws = z.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    key = F.concat(F.col("b").cast("string"), F.lit("-"), F.col("entity").cast("string"), F.lit("-7"))
-    k = draws.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(F.md5(key), "entity"))).withColumn("j", F.row_number().over(Window.partitionBy("b").orderBy("entity")))
-    shuffled = k.select("b", "cluster", F.col("j").alias("i")).join(k.select("b", "i", "z"), ["b", "i"])
-    null = stats.variance_components(shuffled, ["b"], "cluster", "z").select((F.col("ssb") / F.col("n")).alias("v"))
-    obs = stats.variance_components(z, [], "cluster", "z").select((F.col("ssb") / F.col("n")).alias("o"))
-    ge = F.count_if(F.col("v") >= F.col("o"))
-    return null.crossJoin(F.broadcast(obs)).agg(r(F.max("o")).alias("observed"), r(F.avg("v")).alias("null_mean"), r((ge + 1) / (F.count("*") + 1)).alias("p"))
-
-
-@query(f"""WITH {P1}{PERMUTE}, gm AS (SELECT b, cluster, avg(z) AS m, count(*) AS n FROM sh GROUP BY 1, 2), tm AS (SELECT b, sum(n * m) / sum(n) AS mean FROM gm GROUP BY b), nv AS (SELECT gm.b, sum(n * (m - mean) * (m - mean)) / sum(n) AS v FROM gm JOIN tm ON gm.b = tm.b GROUP BY gm.b),
-tv AS (SELECT var_pop(z) AS v FROM z WHERE period = 2000) SELECT round(avg(nv.v) / max(tv.v), 6) AS eta2_null FROM nv CROSS JOIN tv""")
+    """Each period's measures against 999 permutations of the scores over the clusters."""
+    p = lambda c: r((F.col(c) + 1) / (F.col("draws") + 1))
+    shown = [("ov", "var_observed"), ("nv", "var_null"), ("oau", "abs_observed"), ("nau", "abs_null"), ("oaw", "weighted_abs_observed"), ("naw", "weighted_abs_null"), ("orho", "rho_observed"), ("nrho", "rho_null")]
+    return _permuted(t).select(
+        "period", F.col("ok").alias("k"), F.col("on").alias("n"), *[r(c).alias(a) for c, a in shown], p("below").alias("rho_p"), p("above").alias("var_p"),
+        r(F.col("orho") - F.col("nrho")).alias("excess_rho"), r(F.col("oaw") / F.col("oau") - F.col("naw") / F.col("nau")).alias("excess_ratio"),
+    )
+
+
+@query(f"""WITH {P1}{PERMUTE}, tv AS (SELECT period, var_pop(z) AS v FROM z GROUP BY period)
+SELECT o.period, round(o.v / tv.v, 6) AS eta2, round(nu.v / tv.v, 6) AS eta2_null, round(o.v / nu.v, 6) AS factor, round((nv + 1) / CAST(draws + 1 AS DOUBLE), 6) AS p, round((o.k - 1) / CAST(o.n - 1 AS DOUBLE), 6) AS bench FROM ms o JOIN nu ON o.period = nu.period JOIN nt ON o.period = nt.period JOIN tv ON o.period = tv.period WHERE o.b = 0""")
 def eta2_null_ratio(t):
-    z = scored(t).where("period = 2000").select("entity", "cluster", "z")
-    draws = z.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(20))))
-    key = F.concat(F.col("b").cast("string"), F.lit("-"), F.col("entity").cast("string"), F.lit("-7"))
-    k = draws.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(F.md5(key), "entity"))).withColumn("j", F.row_number().over(Window.partitionBy("b").orderBy("entity")))
-    shuffled = k.select("b", "cluster", F.col("j").alias("i")).join(k.select("b", "i", "z"), ["b", "i"])
-    return stats.variance_components(shuffled, ["b"], "cluster", "z").agg(r(F.avg(F.col("ssb") / F.col("sst"))).alias("eta2_null"))
+    total = scored(t).groupBy("period").agg(F.var_pop("z").alias("tv"))
+    return _permuted(t).join(total, "period").select(
+        "period", r(F.col("ov") / F.col("tv")).alias("eta2"), r(F.col("nv") / F.col("tv")).alias("eta2_null"), r(F.col("ov") / F.col("nv")).alias("factor"),
+        r((F.col("above") + 1) / (F.col("draws") + 1)).alias("p"), r((F.col("ok") - 1) / (F.col("on") - 1)).alias("bench"),
+    )
+
+
+@query(f"""WITH {P1}, {DEALT}, q AS (SELECT entity, period, cluster, percent_rank() OVER (PARTITION BY period ORDER BY score) AS pct FROM p1),
+pr AS (SELECT a.entity, b.pct - a.pct AS d FROM q a JOIN q b ON a.entity = b.entity WHERE a.period = 1995 AND b.period = 2001), ix AS (SELECT d, row_number() OVER (ORDER BY md5(concat(CAST(entity AS VARCHAR), '-11')), entity) - 1 AS i FROM pr),
+en AS (SELECT entity, max(cluster) AS cluster FROM p1 GROUP BY entity), pl AS (SELECT cluster, row_number() OVER (ORDER BY cluster, entity) - 1 AS p, count(*) OVER () AS nz FROM en), nz AS (SELECT max(nz) AS nz FROM pl),
+gd AS (SELECT b, cluster, abs(avg(d)) AS d FROM ix CROSS JOIN dr CROSS JOIN nz JOIN pl ON pl.p = (ix.i * (a % nz.nz) + c) % nz.nz GROUP BY 1, 2), nq AS (SELECT b, percentile_cont(0.9) WITHIN GROUP (ORDER BY d) AS q FROM gd GROUP BY b),
+ob AS (SELECT abs(avg(CASE WHEN period = 2001 THEN pct END) - avg(CASE WHEN period = 1995 THEN pct END)) AS d FROM q GROUP BY cluster), oq AS (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY d) AS q FROM ob WHERE d IS NOT NULL)
+SELECT round(max(oq.q), 6) AS observed, round(avg(nq.q), 6) AS null_mean, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY nq.q), 6) AS null_low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY nq.q), 6) AS null_high, count(*) AS n_draws FROM nq CROSS JOIN oq""")
+def pseudo_label_null(t):
+    """The 0.9 quantile over clusters of their mean shift in percent rank, against 999 draws of
+    labels for the entities there at both ends, out of a pool in the clusters' real sizes."""
+    q = cut(panel.percent_rank_extremity(p1(t)).select("entity", "period", "cluster", "pct"))
+    at = lambda p, c: F.max(F.when(F.col("period") == p, F.col(c)))
+    pairs = q.groupBy("entity").agg((at(LAST, "pct") - at(BASE, "pct")).alias("d")).where("d is not null").withColumn("all", F.lit(0))
+    pool = q.groupBy("entity").agg(F.max("cluster").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    places = nulls.shuffled_places(pairs, ["all"], F.concat(F.col("entity").cast("string"), F.lit("-11")), "entity")
+    shift = nulls.dealt(places, pool, by="all", value="d").withColumn("d", F.abs(F.col("s") / F.col("n")))
+    null = shift.groupBy("b").agg(F.percentile("d", 0.9).alias("q"))
+    mean = lambda p: F.avg(F.when(F.col("period") == p, F.col("pct")))
+    seen = q.groupBy("cluster").agg(F.abs(mean(LAST) - mean(BASE)).alias("d")).agg(F.percentile("d", 0.9).alias("o"))
+    out = null.agg(F.avg("q").alias("m"), F.percentile("q", [0.025, 0.975]).alias("e"), F.count("*").alias("n_draws")).crossJoin(F.broadcast(seen))
+    return out.select(r("o").alias("observed"), r("m").alias("null_mean"), r(F.col("e")[0]).alias("null_low"), r(F.col("e")[1]).alias("null_high"), "n_draws")
 
 
-sql_query("pseudo_label_null", f"""WITH {P1}, q AS (SELECT entity, period, percent_rank() OVER (PARTITION BY period ORDER BY score) AS pct FROM p1), d AS (SELECT a.entity, abs(b.pct - a.pct) AS delta, substr(md5(concat(CAST(a.entity AS VARCHAR(20)), '-11')), 1, 1) AS h FROM q a JOIN q b ON a.entity = b.entity WHERE a.period = 1995 AND b.period = 2000)
-SELECT h, count(*) AS n, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY delta), 6) AS q90 FROM d GROUP BY h""")
 sql_query("trend_table", f"""WITH {P1}{ANOVA}, m AS (SELECT 'eta2' AS measure, period, ssb / (ssb + ssw) AS v FROM av UNION ALL SELECT 'between', period, ssb / n FROM av UNION ALL SELECT 'k', period, CAST(k AS DOUBLE) FROM av), mm AS (SELECT measure, period, round(v, 9) AS v FROM m)
 SELECT a.measure, round(sum(sign(b.period - a.period) * sign(b.v - a.v)) / nullif(sqrt(CAST(count(*) FILTER (WHERE a.period <> b.period) AS DOUBLE) * count(*) FILTER (WHERE a.v <> b.v)), 0), 6) AS tau, round(max(CASE WHEN a.period = 1995 THEN a.v END), 6) AS start_value, round(max(CASE WHEN a.period = 2001 THEN a.v END), 6) AS end_value, count(DISTINCT a.period) AS n
 FROM mm a JOIN mm b ON a.measure = b.measure GROUP BY a.measure""")
@@ -348,7 +387,15 @@ def string_agg_reasons(t):
 
 
 sql_query("percent_keep", f"WITH {P1}, k AS (SELECT entity, score, row_number() OVER (ORDER BY score DESC, entity) AS i, count(*) OVER () AS n FROM p1 WHERE period = 1999) SELECT entity, round(score, 4) AS score FROM k WHERE i <= floor(n * 0.2)")
-sql_query("seeded_shuffle", f"WITH {P1} SELECT entity, CAST(row_number() OVER (ORDER BY md5(concat(CAST(entity AS VARCHAR(20)), '-42')), entity) AS INT) AS place FROM p1 WHERE period = 1997")
+
+
+@query(f"WITH {P1} SELECT entity, CAST(row_number() OVER (ORDER BY md5(concat(CAST(entity AS VARCHAR(20)), '-42')), entity) AS INT) AS place FROM p1 WHERE period = 1997")
+def seeded_shuffle(t):
+    rows = p1(t).where("period = 1997").select("entity", F.lit(0).alias("all"))
+    key = F.md5(F.concat(F.col("entity").cast("string"), F.lit("-42")))
+    return ranks.positions(rows, ["all"], [key, "entity"]).select("entity", (F.col("pos") + 1).cast("int").alias("place"))
+
+
 sql_query("partition_mean_attach", f"WITH {P1} SELECT entity, period, round(z - avg(z) OVER (PARTITION BY period), 6) AS dev, count(*) OVER (PARTITION BY period) AS n FROM z")
 sql_query("endpoint_change", f"WITH {P1} SELECT cluster, round(avg(CASE WHEN period = 2001 THEN z END) - avg(CASE WHEN period = 1995 THEN z END), 6) AS change FROM z GROUP BY cluster")
 sql_query("signed_format", f"WITH {P1} SELECT cluster, period, CASE WHEN avg(z) >= 0 THEN '+' ELSE '-' END AS sign, CAST(round(abs(avg(z)) * 100, 0) AS INT) AS hundredths FROM z GROUP BY cluster, period")
@@ -372,11 +419,46 @@ def hash_slice(t):
     return p1(t).where(F.pmod(F.xxhash64("entity"), F.lit(8)) == 3).select("entity", "period")
 
 
-@query()
+#: What is left out: the groups of one region. N_STEPS is its number of groups.
+REGION, N_STEPS = 0, 5
+_PICKS = "".join(
+    f""", f{k} AS (SELECT g.draw, g.cluster, g.n FROM {"(SELECT draw, cluster, n FROM gd CROSS JOIN po)" if not k else f"f{k - 1}"} g{f" LEFT JOIN k{k - 1} x ON g.draw = x.draw AND g.cluster = x.cluster WHERE x.cluster IS NULL" if k else ""}),
+k{k} AS (SELECT f.draw, f.cluster FROM (SELECT f{k}.*, row_number() OVER (PARTITION BY draw ORDER BY abs(f{k}.n - w.n), f{k}.cluster) AS i, least(10, count(*) OVER (PARTITION BY draw)) AS room FROM f{k} JOIN wa w ON w.step = {k}) f
+WHERE i = CAST(('0x' || substr(md5(concat(CAST(draw AS VARCHAR), '-{k}')), 1, 7)) AS BIGINT) % room + 1)"""
+    for k in range(N_STEPS)
+)
+
+
+@query(f"""WITH {P1}, lo AS (SELECT n_nationkey AS cluster FROM nation WHERE n_regionkey = {REGION}), en AS (SELECT entity, max(cluster) AS cluster FROM p1 GROUP BY entity), sz AS (SELECT cluster, count(*) AS n FROM en GROUP BY cluster),
+wa AS (SELECT sz.cluster, n, row_number() OVER (ORDER BY sz.cluster) - 1 AS step FROM sz JOIN lo ON sz.cluster = lo.cluster), po AS (SELECT sz.cluster, n FROM sz WHERE cluster NOT IN (SELECT cluster FROM lo)), gd AS (SELECT unnest(range(1, 1000)) AS draw){_PICKS},
+dp AS ({" UNION ALL ".join(f"SELECT draw, cluster FROM k{k}" for k in range(N_STEPS))} UNION ALL SELECT 0, cluster FROM wa), gs AS (SELECT period, cluster, count(z) AS n, sum(z) AS s, sum(z * z) AS q FROM z GROUP BY period, cluster),
+va AS (SELECT DISTINCT draw FROM dp UNION ALL SELECT -1), lf AS (SELECT draw, period, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS qb FROM (SELECT va.draw, gs.* FROM va CROSS JOIN gs LEFT JOIN dp ON dp.draw = va.draw AND dp.cluster = gs.cluster WHERE dp.cluster IS NULL) x GROUP BY 1, 2),
+et AS (SELECT draw, period, round((qb - s * s / n) / (q - s * s / n), 12) AS e FROM lf),
+ta AS (SELECT a.draw, sum(sign(b.period - a.period) * sign(b.e - a.e)) / sqrt(CAST(count(*) FILTER (WHERE a.period <> b.period) AS DOUBLE) * count(*) FILTER (WHERE a.e <> b.e)) AS tau FROM et a JOIN et b ON a.draw = b.draw GROUP BY a.draw),
+ch AS (SELECT draw, max(CASE WHEN period = 2001 THEN e END) - max(CASE WHEN period = 1995 THEN e END) AS d FROM et GROUP BY draw), nm AS (SELECT draw, sum(sz.n) AS n FROM dp JOIN sz ON sz.cluster = dp.cluster GROUP BY draw),
+rs AS (SELECT ch.draw, round(100 * ch.d / f.d, 9) AS rest, round(tau, 9) AS tau, nm.n FROM ch CROSS JOIN (SELECT d FROM ch WHERE draw = -1) f JOIN ta ON ta.draw = ch.draw JOIN nm ON nm.draw = ch.draw), o AS (SELECT * FROM rs WHERE draw = 0)
+SELECT round(max(o.rest), 4) AS rest_observed, round(median(rs.rest), 4) AS rest_median, round(avg(CASE WHEN rs.rest <= o.rest THEN 1.0E0 ELSE 0.0E0 END), 6) AS rest_p, round(max(o.tau), 6) AS tau_observed, round(median(rs.tau), 6) AS tau_median, round(avg(CASE WHEN rs.tau <= o.tau THEN 1.0E0 ELSE 0.0E0 END), 6) AS tau_p,
+CAST(max(o.n) AS BIGINT) AS n_observed, CAST(median(rs.n) AS DOUBLE) AS n_median, count(*) AS n_draws FROM rs CROSS JOIN o WHERE rs.draw > 0""")
 def size_matched_exclusion(t):
-    """Leave out each large group, and in its stead the group of the nearest size."""
-    sizes = contrib.contributions(scored(t)).where("period = 2001").select("cluster", "n", "b")
-    other = sizes.withColumnsRenamed({"cluster": "matched", "n": "matched_n", "b": "matched_b"})
-    near = sizes.join(other, F.col("cluster") != F.col("matched")).withColumn("gap", F.abs(F.col("n") - F.col("matched_n")))
-    i = F.row_number().over(Window.partitionBy("cluster").orderBy("gap", "matched"))
-    return near.withColumn("i", i).where("i <= 10").groupBy("cluster").agg(r(F.max("b"), 8).alias("b"), r(F.avg("matched_b"), 8).alias("null_b"), r(F.avg((F.col("matched_b") <= F.col("b")).cast("double"))).alias("p"))
+    """How much of the rise in eta2 is left without the groups of one region, and in 999 draws
+    without groups of like sizes."""
+    z = cut(scored(t).select("entity", "period", "cluster", "z"))
+    sizes = cut(z.groupBy("entity").agg(F.max("cluster").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n")))
+    region = t.nation.where(F.col("n_regionkey") == REGION).select(F.col("n_nationkey").alias("cluster"))
+    out = contrib.matched_draws(sizes, region, nulls.DRAWS).unionByName(sizes.join(region, "cluster", "left_semi").select(F.lit(0).cast("long").alias("draw"), "cluster"))
+    out = cut(out)
+    sums = contrib.group_sums(z)
+    nothing = t.spark.createDataFrame([(-1, None)], "draw long, cluster int")
+    series = cut(contrib.eta2_without(sums, out.withColumn("cluster", F.col("cluster").cast("int")).unionByName(nothing), ["draw"]).select("draw", "period", F.round("eta2", 12).alias("e")))
+    tau = stats.kendall(series, ["draw"], "period", "e").select("draw", F.round("tau", 9).alias("tau"))
+    at = lambda p: F.max(F.when(F.col("period") == p, F.col("e")))
+    change = series.groupBy("draw").agg((at(LAST) - at(BASE)).alias("d"))
+    full = change.where("draw = -1").select(F.col("d").alias("full"))
+    n = out.join(sizes, "cluster").groupBy("draw").agg(F.sum("n").alias("n"))
+    rest = cut(change.crossJoin(F.broadcast(full)).join(tau, "draw").join(n, "draw").select("draw", F.round(100 * F.col("d") / F.col("full"), 9).alias("rest"), "tau", "n"))
+    seen = rest.where("draw = 0").select(F.col("rest").alias("or"), F.col("tau").alias("ot"), F.col("n").alias("on"))
+    share = lambda a, b: r(F.avg((F.col(a) <= F.col(b)).cast("double")))
+    return rest.where("draw > 0").crossJoin(F.broadcast(seen)).agg(
+        r(F.max("or"), 4).alias("rest_observed"), r(F.median("rest"), 4).alias("rest_median"), share("rest", "or").alias("rest_p"), r(F.max("ot")).alias("tau_observed"), r(F.median("tau")).alias("tau_median"),
+        share("tau", "ot").alias("tau_p"), F.max("on").alias("n_observed"), F.median("n").alias("n_median"), F.count("*").alias("n_draws"),
+    )
