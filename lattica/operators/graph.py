@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.components import cut
+
 
 def simple_graph(neighbors: DataFrame) -> DataFrame:
     """Undirected simple graph of a neighbour table: each link once."""
@@ -31,15 +33,18 @@ def summary(degree: DataFrame) -> DataFrame:
     return degree.agg(n.alias("n"), e.cast("long").alias("n_edges"), F.count_if(F.col("degree") == 0).alias("n_isolated"), F.avg("degree").alias("mean_degree"), F.try_divide(2 * e, n * (n - 1)).alias("density"))
 
 
-def modularity(edges: DataFrame, modules: DataFrame, weight: str = "sim") -> DataFrame:
-    """q of the partition ``modules`` (id, module): sum over modules of inner weight less chance."""
+def modularity(edges: DataFrame, modules: DataFrame, weight: str = "sim", by: list[str] | None = None) -> DataFrame:
+    """by..., q of the partition ``modules`` (id, module): sum over modules of inner weight less chance."""
+    by = by or []
     m = modules.select("id", "module")
     e = edges.join(m.withColumnsRenamed({"id": "src", "module": "ms"}), "src").join(m.withColumnsRenamed({"id": "dst", "module": "md"}), "dst").withColumn("w", F.col(weight))
-    ends = e.select(F.col("ms").alias("module"), F.col("w"), (F.col("ms") == F.col("md")).alias("inner")).unionByName(e.select(F.col("md").alias("module"), F.col("w"), (F.col("ms") == F.col("md")).alias("inner")))
-    parts = ends.groupBy("module").agg(F.sum("w").alias("s"), (F.sum(F.when(F.col("inner"), F.col("w")).otherwise(0.0)) / 2).alias("inside"))
-    total = e.agg(F.sum("w").alias("total"))
+    inner = F.col("ms") == F.col("md")
+    ends = e.select(*by, "w", inner.alias("inner"), F.explode(F.array("ms", "md")).alias("module"))
+    parts = ends.groupBy(*by, "module").agg(F.sum("w").alias("s"), (F.sum(F.when(F.col("inner"), F.col("w")).otherwise(0.0)) / 2).alias("inside"))
+    total = e.groupBy(*by).agg(F.sum("w").alias("total"))
+    both = parts.join(total, by) if by else parts.crossJoin(F.broadcast(total))
     share = F.col("s") / (2 * F.col("total"))
-    return parts.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("total") - share * share).alias("q"))
+    return both.groupBy(*by).agg(F.sum(F.col("inside") / F.col("total") - share * share).alias("q"))
 
 
 def rosenbluth(sizes: DataFrame, size: str = "n") -> DataFrame:
@@ -81,13 +86,21 @@ def adjusted_mutual_information(cells: list[tuple[int, int, int]]) -> float:
     return 1.0 if norm == emi else (mi - emi) / (norm - emi)
 
 
-def label_spread(edges: DataFrame, vertices: DataFrame, steps: int) -> DataFrame:
-    """id, module: weighted label propagation, every vertex taking the label with the most weight
-    among its neighbours (ties to the smaller); a stand-in for walk-based communities."""
-    both = symmetric(edges).persist()
-    label = vertices.select("id", F.col("id").alias("module"))
-    for _ in range(steps):
+def label_steps(edges: DataFrame, vertices: DataFrame, steps: tuple[int, ...]) -> list[tuple[int, DataFrame]]:
+    """(steps, id and module) of weighted label propagation after each of ``steps`` rounds: every
+    vertex takes the label with the most weight among its neighbours (ties to the smaller). A
+    stand-in for walk-based communities."""
+    both = cut(symmetric(edges))
+    label, out = cut(vertices.select("id", F.col("id").alias("module"))), []
+    for step in range(1, max(steps) + 1):
         votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "module").agg(F.round(F.sum("sim"), 9).alias("w"))
         best = votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("module")).alias("m"))).alias("x")).select(F.col("src").alias("id"), (-F.col("x.m")).alias("new"))
-        label = label.join(best, "id", "left").select("id", F.coalesce("new", "module").alias("module"))
-    return label
+        label = cut(label.join(best, "id", "left").select("id", F.coalesce("new", "module").alias("module")))
+        if step in steps:
+            out.append((step, label))
+    return out
+
+
+def label_spread(edges: DataFrame, vertices: DataFrame, steps: int) -> DataFrame:
+    """id, module after so many rounds of ``label_steps``."""
+    return label_steps(edges, vertices, (steps,))[0][1]

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import ranks
+from lattica.operators.components import cut
+
 #: Vectors of one block: what a task holds of either side.
 BLOCK = 2048
 
@@ -78,7 +82,11 @@ def nearest(rows: DataFrame, k: int, queries: DataFrame | None = None) -> DataFr
         ids = c["id"].to_numpy()
         sims = _stack(q["e"]) @ _stack(c["e"]).T
         sims[q["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        if len(ids) > 4 * k:  # the k best and their ties, in order of id
+            least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+            order = np.array([np.flatnonzero(row >= x)[np.argsort(-row[row >= x], kind="stable")[:k]] for row, x in zip(sims, least[:, 0], strict=True)])
+        else:
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), order.shape[1]), "neighbor": ids[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
         return out[np.isfinite(out["sim"])]
 
@@ -151,16 +159,170 @@ def rotated(rows: DataFrame, q: np.ndarray, vec: str = "e") -> DataFrame:
     return rows.mapInPandas(turn, rows.schema)
 
 
-def suppress(anchors: pd.DataFrame, links: pd.DataFrame) -> list[int]:
-    """Best first, keep an anchor unless it is linked with one that is kept."""
-    near: dict[int, set[int]] = {}
-    for a, b in zip(links["src"], links["dst"], strict=True):
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    kept: list[int] = []
-    out: set[int] = set()
-    for i in anchors.sort_values(["score", "id"], ascending=[False, True])["id"]:
-        if i not in out:
-            kept.append(int(i))
-            out |= near.get(i, set())
+def suppress(anchors: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``anchors`` (id, score) that stay when, best first, an anchor stays unless it is
+    linked (a, b) with one that has stayed; of equal scores the smaller id comes first.
+
+    In each round those stay that no better anchor still open is linked with, and what is linked
+    with them goes: the same anchors as one by one, in as many rounds as the longest chain of ever
+    worse neighbours has links.
+    """
+    anchors = cut(anchors.select("id", "score"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    score = anchors.select(F.col("id").alias("b"), F.col("score").alias("other"))
+    better = (F.col("other") > F.col("score")) | ((F.col("other") == F.col("score")) & (F.col("b") < F.col("id")))
+    # from each anchor to those that come before it
+    above = cut(both.join(score, "b").join(anchors, F.col("a") == F.col("id")).where(better).select("id", "b"))
+    open_, kept = anchors, anchors.limit(0)
+    while not open_.isEmpty():
+        now = open_.join(above, "id", "left_anti")
+        kept = cut(kept.unionByName(now))
+        gone = above.join(now.select(F.col("id").alias("b")), "b", "left_semi").select("id").distinct()
+        open_ = cut(open_.join(now.select("id"), "id", "left_anti").join(gone, "id", "left_anti"))
+        above = cut(above.join(open_.select("id"), "id", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi").select("id", "b"))
     return kept
+
+
+def stability(pairs: DataFrame, near: DataFrame, sims: Column, ranked: bool = True) -> DataFrame:
+    """id, score of each anchor: the similarities ``sims`` of its neighbours (``near`` has id and
+    place from 0) summed up, discounted by log2(place + 2), or plainly where not ``ranked``."""
+    gain = F.col("__s") / F.log2(F.col("place") + 2) if ranked else F.col("__s")
+    return near.join(pairs, ["id", "neighbor"]).withColumn("__s", sims).where("__s > 0").groupBy("id").agg(F.sum(gain).alias("score"))
+
+
+def select_anchors(anchors: DataFrame, tolerance: float = 0.13) -> DataFrame:
+    """src, trg, score of ``anchors``: the best of each src, of these the best of each trg, scores
+    scaled to 0 to 1, and the best int(n (1 - tolerance)) of them. Ties go to the smaller src, then trg."""
+    first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "src", "trg"))
+    one = anchors.withColumn("__i", first("src")).where("__i = 1").withColumn("__i", first("trg")).where("__i = 1").drop("__i")
+    ends = one.agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"), F.count("*").alias("__n"))
+    placed = ranks.positions(one.withColumn("__all", F.lit(0)), ["__all"], [F.desc("score"), "src", "trg"], "__pos")
+    kept = placed.crossJoin(F.broadcast(ends)).where(F.col("__pos") < F.floor(F.col("__n") * (1 - tolerance)))
+    return kept.select("src", "trg", F.try_divide(F.col("score") - F.col("__lo"), F.col("__hi") - F.col("__lo")).alias("score"))
+
+
+def moments_by(rows: DataFrame, by: str, vec: str = "e") -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+    """For each value of ``by`` what ``second_moments`` gives: one d x d matrix a value and task."""
+
+    def partial(batches):
+        held: dict[int, list] = {}
+        for pdf in batches:
+            for k, part in pdf.groupby(by):
+                x = _stack(part[vec])
+                sums = held.setdefault(k, [0.0, 0.0, 0])
+                sums[0], sums[1], sums[2] = sums[0] + x.T @ x, sums[1] + x.sum(0), sums[2] + len(x)
+        for k, (m, s, n) in held.items():
+            values = np.concatenate((m.ravel(), s, [n]))
+            yield pd.DataFrame({by: np.full(len(values), k), "i": np.arange(len(values)), "x": values})
+
+    got = rows.select(F.col(by).cast("long").alias(by), vec).mapInPandas(partial, f"{by} long, i long, x double").groupBy(by, "i").agg(F.sum("x").alias("x")).toPandas()
+    out = {}
+    for k, part in got.sort_values("i").groupby(by):
+        x = part["x"].to_numpy()
+        d = (math.isqrt(4 * len(x) - 3) - 1) // 2
+        out[int(k)] = (x[: d * d].reshape(d, d), x[d * d : -1], int(x[-1]))
+    return out
+
+
+def _pair_sims(rows: DataFrame, give: Callable[[np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``give`` makes of the similarities of each pair of blocks of ``rows`` (id, e unit), every pair of vectors once."""
+    n = max(1, math.ceil(rows.count() / BLOCK))
+
+    def block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return give(np.zeros(0))
+        a, b = q["id"].to_numpy(), c["id"].to_numpy()
+        return give((_stack(q["e"]) @ _stack(c["e"]).T)[a[:, None] < b[None, :]])
+
+    left, right = _blocked(rows.select("id", "e"), "query", n), _blocked(rows.select("id", "e"), "candidate", n)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(block, schema)
+
+
+def pair_distribution(rows: DataFrame, shares: list[float], bins: int = 1 << 12, most: int = 1 << 17) -> tuple[int, float, float, list[float]]:
+    """Number of pairs, mean, sample deviation and exact quantiles (linear between neighbours) of
+    the similarities of all pairs of ``rows`` (id, e unit).
+
+    Every block counts its similarities in bins; only counts leave the task. A bin in which a
+    quantile lies is cut into bins again while it holds more than ``most`` values.
+    """
+
+    def inside(x: np.ndarray, path: list[tuple[float, float, int]]) -> np.ndarray:
+        for low, width, k in path:
+            x = x[np.clip(np.floor((x - low) / width), 0, bins - 1).astype(np.int64) == k]
+        return x
+
+    def histogram(path: list, low: float, width: float) -> dict[int, tuple]:
+        def give(x: np.ndarray) -> pd.DataFrame:
+            x = inside(x, path)
+            k = np.clip(np.floor((x - low) / width), 0, bins - 1).astype(np.int64)
+            n = np.bincount(k, minlength=1)
+            at = np.flatnonzero(n)
+            return pd.DataFrame({"k": at, "n": n[at], "s": np.bincount(k, x, len(n))[at] if len(k) else np.zeros(0), "q": np.bincount(k, x * x, len(n))[at] if len(k) else np.zeros(0)})
+
+        out = _pair_sims(rows, give, "k long, n long, s double, q double").groupBy("k").agg(F.sum("n"), F.sum("s"), F.sum("q"))
+        return {r[0]: tuple(r)[1:] for r in out.collect()}
+
+    top = (-1.0 - 1e-9, (2.0 + 2e-9) / bins)
+    first = histogram([], *top)
+    n = sum(x[0] for x in first.values())
+    if not n:
+        return 0, float("nan"), float("nan"), [float("nan")] * len(shares)
+    mean = sum(x[1] for x in first.values()) / n
+    square = sum(x[2] for x in first.values())
+    known: dict[tuple, tuple] = {(): (top, first)}
+    values: dict[tuple, np.ndarray] = {}
+
+    def at(place: int) -> float:
+        path: tuple = ()
+        while True:
+            (low, width), counts = known[path]
+            for k in sorted(counts):
+                if place < counts[k][0]:
+                    break
+                place -= counts[k][0]
+            path = (*path, (low, width, k))
+            if counts[k][0] <= most or width < 1e-15:
+                if path not in values:
+                    steps = list(path)
+                    got = _pair_sims(rows, lambda x: pd.DataFrame({"x": inside(x, steps)}), "x double").toPandas()
+                    values[path] = np.sort(got["x"].to_numpy())
+                return float(values[path][place])
+            if path not in known:
+                part = (low + k * width, width / bins)
+                known[path] = (part, histogram(list(path), *part))
+
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        x = at(math.floor(place))
+        out.append(x + (place - math.floor(place)) * (at(math.ceil(place)) - x))
+    return n, mean, math.sqrt(max(0.0, square - n * mean * mean) / (n - 1)) if n > 1 else float("nan"), out
+
+
+def sampled_pairs(rows: DataFrame, n_pairs: int) -> DataFrame:
+    """sim of ``n_pairs`` random pairs of ``rows`` (id, e unit), pairs of a row with itself left
+    out: places by md5 of the pair's number are drawn first, then vectors are joined."""
+    n = rows.count()
+    placed = ranks.positions(rows.select("id", "e").withColumn("__all", F.lit(0)), ["__all"], ["id"]).select("pos", "e")
+    drawn = lambda end: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{end}"))), 1, 12), 16, 10).cast("long") % max(1, n)
+    pairs = rows.sparkSession.range(n_pairs).select(drawn("a").alias("a"), drawn("b").alias("b")).where("a <> b")
+    left = pairs.join(placed.select(F.col("pos").alias("a"), "e"), "a")
+    return left.join(placed.select(F.col("pos").alias("b"), F.col("e").alias("f")), "b").select(dot("e", "f").alias("sim"))
+
+
+def component_checks(rows: DataFrame, x: str, top: int = 10, vec: str = "e", label: str | None = None) -> list[tuple]:
+    """(component from 1, share of the variance, |correlation with x|, |correlation with label|)
+    of the principal components with the ``top`` largest correlations with ``x``."""
+    extra = [F.col(c).cast("double") for c in (x, label) if c]
+    both = rows.where(F.col(x).isNotNull()).select(F.concat(F.array(*extra), F.col(vec)).alias("__v"))
+    m, s, n = second_moments(both, "__v")
+    cov = (m - np.outer(s, s) / n) / (n - 1)
+    k = len(extra)
+    values, axes = np.linalg.eigh(cov[k:, k:])
+    order = np.argsort(-values)
+    values, axes = values[order], axes[:, order]
+    spread = np.sqrt(np.maximum(values, 1e-300))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = [np.abs(axes.T @ cov[k:, j] / spread / math.sqrt(cov[j, j])) for j in range(k)]
+    best = np.argsort(-np.nan_to_num(seen[0]), kind="stable")[:top]
+    return [(int(p) + 1, float(values[p] / values.sum()), float(seen[0][p]), float(seen[1][p]) if label else None) for p in best]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import graph, stats, vectors
-from lattica.operators.components import connected_components
+from lattica.operators import density, graph, nulls, ranks, stats, vectors
+from lattica.operators.components import connected_components, cut
 from lattica.plans.registry import Tables, query, sql_query
 
 K = 15
@@ -121,16 +122,16 @@ def exact_knn(t):
     return knn(t).select("id", "neighbor", "rank", r("sim").alias("sim"))
 
 
-@query(f"WITH {V}{KNN} SELECT id, neighbor, rank FROM kn WHERE rank <= 10 AND id % 10 = 0")
+@query(f"WITH {V}{KNN} SELECT kn.id, neighbor, rank FROM kn JOIN u ON kn.id = u.id WHERE rank <= 10 AND label = 9")
 def knn_query_mode(t):
+    """Neighbours among all rows for the rows of one cohort."""
     u = units(t)
-    return vectors.nearest(u, 10, u.where("id % 10 = 0")).select("id", "neighbor", "rank")
+    return vectors.nearest(u, 10, u.where("label = 9")).select("id", "neighbor", "rank")
 
 
-@query(f"WITH {V}, sm AS (SELECT a.id, b.id AS neighbor, list_inner_product(a.e, b.e) AS sim FROM u a JOIN u b ON a.id <> b.id WHERE a.id % 25 = 0) SELECT id, neighbor, rank FROM (SELECT id, neighbor, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, neighbor) AS INT) AS rank FROM sm) x WHERE rank <= 200")
+@query(f"WITH {V}, sm AS (SELECT a.id, b.id AS neighbor, list_inner_product(a.e, b.e) AS sim FROM u a JOIN u b ON a.id <> b.id) SELECT id, neighbor, rank FROM (SELECT id, neighbor, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, neighbor) AS INT) AS rank FROM sm) x WHERE rank <= 200")
 def top200_similar(t):
-    u = units(t)
-    return vectors.nearest(u, 200, u.where("id % 25 = 0")).select("id", "neighbor", "rank")
+    return vectors.nearest(units(t), 200).select("id", "neighbor", "rank")
 
 
 @query(f"WITH {V}{KNN} SELECT kn.id, neighbor, round(b.e[1] - a.e[1], 6) AS d1, round(sqrt(greatest(2 - 2 * sim, 0)), 5) AS length FROM kn JOIN u a ON kn.id = a.id JOIN u b ON neighbor = b.id WHERE rank <= 10")
@@ -203,12 +204,67 @@ def relative_neighbor_sd(t):
     return sd.crossJoin(p.agg(F.stddev_samp("z").alias("b"))).select(r(F.col("a") / F.col("b")).alias("relative_sd"))
 
 
-@query(f"WITH {AX}{KNN}{MORAN}, q AS (SELECT id, c, row_number() OVER (ORDER BY md5(concat(CAST(id AS VARCHAR), '-5')), id) AS i, row_number() OVER (ORDER BY id) AS j FROM zc), sh AS (SELECT x.id, y.c FROM q x JOIN q y ON x.j = y.i) SELECT round(sum(a.c * b.c) / count(*) / (SELECT var_pop(z) FROM pr), 6) AS moran_i FROM kn JOIN sh a ON kn.id = a.id JOIN sh b ON neighbor = b.id WHERE rank <= 15")
+DEALT = f"""dr AS (SELECT * FROM (VALUES {", ".join(map(str, nulls.draws()))}) AS v(b, a, c))"""
+
+
+@query(f"""WITH {AX}{KNN}{MORAN}, {DEALT}, ix AS (SELECT id, c AS x, row_number() OVER (ORDER BY md5(concat(CAST(id AS VARCHAR), '-5')), id) - 1 AS i, count(*) OVER () AS n FROM zc), vp AS (SELECT var_pop(x) AS v FROM ix),
+lk AS (SELECT s.i, d.i AS j, s.n FROM kn JOIN ix s ON kn.id = s.id JOIN ix d ON neighbor = d.id WHERE rank <= 15), ob AS (SELECT sum(s.x * d.x) / count(*) / max(v) AS m FROM lk JOIN ix s ON lk.i = s.i JOIN ix d ON lk.j = d.i CROSS JOIN vp),
+sm2 AS (SELECT b, sum(p.x * q.x) / count(*) / max(v) AS m FROM lk CROSS JOIN dr CROSS JOIN vp JOIN ix p ON p.i = (lk.i * (a % lk.n) + c) % lk.n JOIN ix q ON q.i = (lk.j * (a % lk.n) + c) % lk.n GROUP BY b)
+SELECT round(max(ob.m), 6) AS moran_i, round(avg(sm2.m), 6) AS null_mean, round(stddev_samp(sm2.m), 6) AS null_sd, round((count(*) FILTER (WHERE sm2.m >= ob.m) + 1) / CAST(count(*) + 1 AS DOUBLE), 6) AS p, count(*) AS n_draws FROM sm2 CROSS JOIN ob""")
 def moran_permutation(t):
-    p = projected(t).select("id", "z")
-    q = p.withColumn("i", F.row_number().over(Window.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit("-5"))), "id"))).withColumn("j", F.row_number().over(Window.orderBy("id")))
-    shuffled = q.select("id", F.col("j").alias("i")).join(q.select("i", "z"), "i").select("id", "z")
-    return stats.moran(shuffled, links(knn(t))).select(r("moran_i").alias("moran_i"))
+    """Moran's I against 999 permutations of the scores over the nodes."""
+    l = cut(links(knn(t)))  # noqa: E741
+    p = cut(projected(t).select("id", "z").withColumn("all", F.lit(0)))
+    placed = nulls.shuffled_places(p, ["all"], F.concat(F.col("id").cast("string"), F.lit("-5")), "id").select("id", "i", "z")
+    seen = stats.moran(p.select("id", "z"), l).select(F.col("moran_i").alias("o"))
+    drawn = nulls.moran_draws(placed, l).crossJoin(F.broadcast(seen))
+    above = F.count_if(F.col("moran_i") >= F.col("o"))
+    return drawn.agg(r(F.max("o")).alias("moran_i"), r(F.avg("moran_i")).alias("null_mean"), r(F.stddev_samp("moran_i")).alias("null_sd"), r((above + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("n_draws"))
+
+
+def _tail(z: str) -> str:
+    """Upper tail of the standard normal in SQL, by the approximation of ``stats.upper_tail``."""
+    t = f"(1 / (1 + 0.2316419E0 * abs({z})))"
+    tail = f"exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530E0 + {t} * (-0.356563782E0 + {t} * (1.781477937E0 + {t} * (-1.821255978E0 + {t} * 1.330274429E0))))"
+    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - ({tail}) END"
+
+
+#: The test of Moran's I for the directed links lw (g, src, dst, w) and the centred values zc (id, c): mt (g, n, moran_i, e_i, sd_i).
+TEST = """,
+mo AS (SELECT sum(c * c) AS m2, sum(c * c * c * c) AS m4, count(*) AS al FROM zc), cr AS (SELECT g, sum(w * x.c * y.c) AS xs, sum(w) AS s0 FROM lw JOIN zc x ON src = x.id JOIN zc y ON dst = y.id GROUP BY g),
+pw AS (SELECT g, src AS a, dst AS b, w FROM lw UNION ALL SELECT g, dst, src, w FROM lw), s1 AS (SELECT g, sum(w * w) / 2 AS s1 FROM (SELECT g, a, b, sum(w) AS w FROM pw GROUP BY g, a, b) x GROUP BY g), s2 AS (SELECT g, sum(w * w) AS s2, CAST(count(*) AS DOUBLE) AS n FROM (SELECT g, a, sum(w) AS w FROM pw GROUP BY g, a) x GROUP BY g),
+mt AS (SELECT cr.g, n, n / s0 * xs / m2 AS moran_i, -1 / (n - 1) AS e_i, sqrt((n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - al * m4 / (m2 * m2) * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - 1 / ((n - 1) * (n - 1))) AS sd_i
+       FROM cr JOIN s1 ON cr.g = s1.g JOIN s2 ON cr.g = s2.g CROSS JOIN mo),
+mz AS (SELECT *, (moran_i - e_i) / sd_i AS zs FROM mt)"""
+TESTED = f"CAST(mz.n AS BIGINT) AS n, round(moran_i, 6) AS moran_i, round(e_i, 6) AS e_i, round(sd_i, 6) AS sd_i, round(zs, 4) AS z_score, round({_tail('zs')}, 6) AS p"
+
+
+def _tested(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*more, "n", r("moran_i").alias("moran_i"), r("e_i").alias("e_i"), r("sd_i").alias("sd_i"), r("z_score", 4).alias("z_score"), r("p").alias("p"))
+
+
+@query(f"WITH {AX}{KNN}{MORAN}, lw AS (SELECT 1 AS g, id AS src, neighbor AS dst, 1 / 15.0E0 AS w FROM kn WHERE rank <= 15){TEST} SELECT {TESTED} FROM mz")
+def moran_analytic(t):
+    """Moran's I on neighbours, tested under randomisation."""
+    l = cut(stats.row_standardised(links(knn(t))))  # noqa: E741
+    return _tested(stats.moran_test(projected(t).select("id", "z"), l))
+
+
+TAUS = (0.2, 0.25, 0.3)
+
+
+@query(f"""WITH {AX}{EDGE}{MORAN}, g AS (SELECT CAST(tau AS DOUBLE) AS g FROM (VALUES {", ".join(f"({x})" for x in TAUS)}) AS v(tau)), sy AS (SELECT g, src, dst FROM ge JOIN g ON sim > g UNION ALL SELECT g, dst, src FROM ge JOIN g ON sim > g), dg AS (SELECT g, src, count(*) AS d FROM sy GROUP BY g, src), lw AS (SELECT sy.g, sy.src, dst, 1 / CAST(d AS DOUBLE) AS w FROM sy JOIN dg ON sy.g = dg.g AND sy.src = dg.src){TEST},
+ec AS (SELECT g, count(*) / 2 AS e FROM sy GROUP BY g) SELECT mz.g AS tau, CAST(e AS BIGINT) AS n_edges, (SELECT count(*) FROM zc) - CAST(mz.n AS BIGINT) AS n_isolated, round(2 * e / CAST((SELECT count(*) FROM zc) AS DOUBLE), 6) AS mean_degree, {TESTED} FROM mz JOIN ec ON mz.g = ec.g""")
+def moran_threshold_sweep(t):
+    """Row-standardised Moran's I on threshold graphs, one pass over the pairs for all thresholds."""
+    grid = t.spark.createDataFrame([(x,) for x in TAUS], "tau double")
+    e = cut(edges(t, min(TAUS)).join(F.broadcast(grid), F.col("sim") > F.col("tau")).select("tau", "src", "dst"))
+    both = e.unionByName(e.select("tau", F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
+    p = cut(projected(t).select("id", "z"))
+    sizes = e.groupBy("tau").agg(F.count("*").alias("n_edges")).crossJoin(F.broadcast(p.agg(F.count("*").alias("all"))))
+    tested = stats.moran_test(p, stats.row_standardised(both, ["tau"]), ["tau"]).join(sizes, "tau")
+    tested = tested.withColumn("n_isolated", F.col("all") - F.col("n")).withColumn("mean_degree", r(2 * F.col("n_edges") / F.col("all")))
+    return _tested(tested, "tau", "n_edges", "n_isolated", "mean_degree")
 
 
 DEG = f"{V}{EDGE}, sy AS (SELECT src, dst, sim FROM ge UNION ALL SELECT dst, src, sim FROM ge), dg AS (SELECT u.id, count(sy.src) AS degree FROM u LEFT JOIN sy ON u.id = sy.src GROUP BY u.id)"
@@ -225,10 +281,17 @@ def threshold_graph_stats(t):
     return s.select("n", "n_edges", "n_isolated", r("mean_degree").alias("mean_degree"), r("density", 8).alias("density"))
 
 
-@query(f"WITH {V}{EDGE}, g AS (SELECT * FROM (VALUES (0.2), (0.25), (0.3)) AS v(tau)) SELECT CAST(tau AS DOUBLE) AS tau, count(*) AS n_edges FROM ge JOIN g ON sim > tau GROUP BY tau")
+@query(f"""WITH {V}{EDGE}, g AS (SELECT CAST(tau AS DOUBLE) AS tau FROM (VALUES (0.2), (0.25), (0.3)) AS v(tau)), e AS (SELECT tau, src, dst, sim AS w, a.label AS ms, b.label AS md FROM ge JOIN g ON sim > tau JOIN u a ON src = a.id JOIN u b ON dst = b.id), tw AS (SELECT tau, sum(w) AS total, count(*) AS n FROM e GROUP BY tau),
+en AS (SELECT tau, ms AS m, w, ms = md AS i FROM e UNION ALL SELECT tau, md, w, ms = md FROM e), pp AS (SELECT tau, m, sum(w) AS s, sum(CASE WHEN i THEN w ELSE 0 END) / 2 AS inside FROM en GROUP BY tau, m), no AS (SELECT tau, count(DISTINCT x) AS n FROM (SELECT tau, src AS x FROM e UNION ALL SELECT tau, dst FROM e) y GROUP BY tau)
+SELECT tw.tau, tw.n AS n_edges, round(2 * tw.n / CAST((SELECT count(*) FROM u) AS DOUBLE), 6) AS mean_degree, (SELECT count(*) FROM u) - no.n AS n_isolated, round((SELECT sum(inside / total - (s / (2 * total)) * (s / (2 * total))) FROM pp WHERE pp.tau = tw.tau), 6) AS q FROM tw JOIN no ON tw.tau = no.tau""")
 def threshold_sweep(t):
+    """Measures of the graph at each threshold, from one pass over the pairs at the lowest."""
     grid = t.spark.createDataFrame([(0.2,), (0.25,), (0.3,)], "tau double")
-    return edges(t).join(F.broadcast(grid), F.col("sim") > F.col("tau")).groupBy("tau").agg(F.count("*").alias("n_edges"))
+    e = cut(edges(t).join(F.broadcast(grid), F.col("sim") > F.col("tau")))
+    n = units(t).count()
+    there = e.select("tau", F.explode(F.array("src", "dst")).alias("x")).groupBy("tau").agg(F.count_distinct("x").alias("there"))
+    counts = e.groupBy("tau").agg(F.count("*").alias("n_edges")).join(there, "tau").join(graph.modularity(e, units(t).select("id", F.col("label").alias("module")), by=["tau"]), "tau")
+    return counts.select("tau", "n_edges", r(2 * F.col("n_edges") / n).alias("mean_degree"), (n - F.col("there")).alias("n_isolated"), r("q").alias("q"))
 
 
 @query(f"WITH {DEG} SELECT src AS id, count(*) AS n, min(dst) AS first_neighbor FROM sy GROUP BY src")
@@ -277,6 +340,23 @@ def knn_k_sweep(t):
     return e.groupBy("k").agg(F.count("*").alias("n_edges"))
 
 
+@query()
+def community_grid(t):
+    """Modules, modularity, shares of the largest modules and concentration for every number of
+    neighbours and of steps; the neighbours of the largest number are found once."""
+    near = cut(knn(t, 25))
+    vertices = cut(units(t).select("id"))
+    out = None
+    for k in (10, 15, 25):
+        g = cut(graph.simple_graph(near.where(F.col("rank") <= k)))
+        for steps, modules in graph.label_steps(g, vertices, (3, 4, 6, 8)):
+            sizes = modules.groupBy("module").agg(F.count("*").alias("n"))
+            row = sizes.agg(F.count("*").alias("n_modules"), F.max("n").alias("largest")).crossJoin(graph.modularity(g, modules)).crossJoin(graph.rosenbluth(sizes))
+            row = row.select(F.lit(k).alias("k"), F.lit(steps).alias("steps"), "n_modules", "largest", *[r(c).alias(c) for c in ("q", "top1", "top2", "rosenbluth")])
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(f"WITH RECURSIVE {V}, lk AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE list_inner_product(a.e, b.e) > 0.33), sym AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON reach.other = sym.a) SELECT node, min(other) AS component FROM reach GROUP BY node")
 def threshold_components(t):
     return connected_components(edges(t, 0.33).select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("node", "component")
@@ -284,27 +364,27 @@ def threshold_components(t):
 
 @query(f"WITH {V}, p AS (SELECT list_inner_product(a.e, b.e) AS sim FROM u a JOIN u b ON a.id < b.id) SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_samp(sim), 6) AS sd, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY sim), 6) AS q10, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY sim), 6) AS q50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY sim), 6) AS q90 FROM p")
 def all_pairs_distribution(t):
-    q = F.percentile("sim", [0.1, 0.5, 0.9])
-    p = vectors.close_pairs(units(t), -2.0).agg(F.count("*").alias("n"), F.avg("sim").alias("m"), F.stddev_samp("sim").alias("s"), q.alias("q"))
-    return p.select("n", r("m").alias("mean"), r("s").alias("sd"), *[r(F.col("q")[i]).alias(f"q{k}") for i, k in enumerate((10, 50, 90))])
+    n, mean, sd, q = vectors.pair_distribution(units(t), [0.1, 0.5, 0.9])
+    return t.spark.createDataFrame([(n, round(mean, 6), round(sd, 6), *(round(x, 6) for x in q))], "n long, mean double, sd double, q10 double, q50 double, q90 double")
 
 
-SAMPLED = f"{V}, pk AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.e, b.e) AS sim FROM u a JOIN u b ON a.id < b.id WHERE substr(md5(concat(CAST(a.id AS VARCHAR), '-', CAST(b.id AS VARCHAR))), 1, 1) = '7')"
-
-
-def _sampled(t: Tables) -> DataFrame:
-    key = F.md5(F.concat(F.col("src").cast("string"), F.lit("-"), F.col("dst").cast("string")))
-    return vectors.close_pairs(units(t), -2.0).where(F.left(key, F.lit(1)) == "7")
+#: Random pairs, and the mean degree for which the threshold is calibrated.
+N_PAIRS, TARGET_DEGREE = 300_000, 20
+_PLACE = "CAST(('0x' || substr(md5(concat(CAST(k AS VARCHAR), '-{0}')), 1, 12)) AS BIGINT) % (SELECT count(*) FROM u)"
+SAMPLED = f"{V}, po AS (SELECT e, row_number() OVER (ORDER BY id) - 1 AS p FROM u), dw AS (SELECT {_PLACE.format('a')} AS a, {_PLACE.format('b')} AS b FROM (SELECT unnest(range({N_PAIRS})) AS k) x), pk AS (SELECT list_inner_product(x.e, y.e) AS sim FROM dw JOIN po x ON x.p = a JOIN po y ON y.p = b WHERE a <> b)"
 
 
 @query(f"WITH {SAMPLED} SELECT count(*) AS n, round(avg(sim), 6) AS mean FROM pk")
 def sampled_pair_cosine(t):
-    return _sampled(t).agg(F.count("*").alias("n"), r(F.avg("sim")).alias("mean"))
+    return vectors.sampled_pairs(units(t), N_PAIRS).agg(F.count("*").alias("n"), r(F.avg("sim")).alias("mean"))
 
 
-@query(f"WITH {SAMPLED} SELECT round(percentile_cont(0.95) WITHIN GROUP (ORDER BY sim), 6) AS tau FROM pk")
+@query(f"WITH {SAMPLED}, s AS (SELECT list(sim ORDER BY sim) AS l FROM pk), f AS (SELECT (len(l) - 1) * (1 - {TARGET_DEGREE} / CAST((SELECT count(*) FROM u) - 1 AS DOUBLE)) AS x, l FROM s) SELECT round(l[CAST(floor(x) AS INT) + 1] + (x - floor(x)) * (l[CAST(ceil(x) AS INT) + 1] - l[CAST(floor(x) AS INT) + 1]), 6) AS tau FROM f")
 def threshold_calibration(t):
-    return _sampled(t).agg(r(F.percentile("sim", 0.95)).alias("tau"))
+    """The threshold that gives the mean degree wanted: a quantile of the similarity of random pairs."""
+    u = units(t)
+    share = 1 - TARGET_DEGREE / (u.count() - 1)
+    return vectors.sampled_pairs(u, N_PAIRS).agg(r(F.percentile("sim", share)).alias("tau"))
 
 
 @query(f"""WITH {V}, x AS (SELECT id, i, e[i] AS x FROM u, (SELECT unnest(range(1, 65)) AS i) d), m AS (SELECT i, avg(x) AS m FROM x GROUP BY i), c AS (SELECT id, x.i, x - m AS c FROM x JOIN m ON x.i = m.i),
@@ -342,14 +422,70 @@ def ami(t):
     return t.spark.createDataFrame([(round(graph.adjusted_mutual_information([tuple(x) for x in cells]), 6),)], "ami double")
 
 
-@query(f"WITH {AX}, hx AS (SELECT d, i, CAST(('0x' || substr(md5(concat(CAST(d AS VARCHAR), '-', CAST(i AS VARCHAR))), 1, 7)) AS BIGINT) AS h, CAST(('0x' || substr(md5(concat(CAST(d AS VARCHAR), '-', CAST(i AS VARCHAR))), 9, 7)) AS BIGINT) AS g FROM (SELECT unnest(range(1, 21)) AS d) a, (SELECT unnest(range(1, 65)) AS i) b), rd AS (SELECT d, list(sqrt(-2 * ln((h + 1) / 268435457.0E0)) * cos(2 * pi() * g / 268435456.0E0) ORDER BY i) AS w FROM hx GROUP BY d), sd AS (SELECT d, stddev_samp(list_inner_product(e, w) / sqrt(list_inner_product(w, w))) AS sd FROM u CROSS JOIN rd GROUP BY d) SELECT CAST(d AS INT) AS d, round(sd, 5) AS sd FROM sd")
+#: Random directions: for the spread, for the level, and blocks of them for the rise.
+N_SPREAD, N_LEVEL, N_RISE, N_BLOCKS = 200, 1000, 500, 5
+RANDOM = """hx AS (SELECT d, i, CAST(('0x' || substr(md5(concat(CAST(d AS VARCHAR), '-', CAST(i AS VARCHAR))), 1, 7)) AS BIGINT) AS h, CAST(('0x' || substr(md5(concat(CAST(d AS VARCHAR), '-', CAST(i AS VARCHAR))), 9, 7)) AS BIGINT) AS g FROM (SELECT unnest(range(1, {0} + 1)) AS d) a, (SELECT unnest(range(1, 65)) AS i) b),
+rv AS (SELECT d, list(sqrt(-2 * ln((h + 1) / 268435457.0E0)) * cos(2 * pi() * g / 268435456.0E0) ORDER BY i) AS w FROM hx GROUP BY d), rd AS (SELECT d, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS w FROM rv UNION ALL SELECT 0, w FROM ax)"""
+
+
+def _real_axis(t: Tables) -> np.ndarray:
+    return np.array(axis(units(t)).first()["w"])
+
+
+def _axis_eta2(t: Tables, axes: np.ndarray) -> dict[int, np.ndarray]:
+    """Period -> eta2 of the projections on each axis over the labels, from the labels' vector sums
+    and each period's second moments: no projection of a row is made."""
+    u = cut(units(t).withColumn("period", F.col("id") % 7))
+    moments = vectors.moments_by(u, "period")
+    groups = vectors.mean_vector(u, ["period", "label"]).join(u.groupBy("period", "label").agg(F.count("*").alias("n")), ["period", "label"]).collect()
+    out = {}
+    for p, (m, s, n) in moments.items():
+        total = np.einsum("ad,de,ae->a", axes, m - np.outer(s, s) / n, axes)
+        between = sum(g["n"] * (axes @ (np.array(g["e"]) - s / n)) ** 2 for g in groups if g["period"] == p)
+        out[p] = between / total
+    return out
+
+
+@query(f"""WITH {AX}, {RANDOM.format(N_SPREAD)}, sd AS (SELECT id % 7 AS period, d, count(*) AS n, stddev_samp(list_inner_product(e, w)) AS sd FROM u CROSS JOIN rd GROUP BY 1, 2)
+SELECT period, max(n) AS n, round(max(CASE WHEN d = 0 THEN sd END), 6) AS sd_axis, round(avg(CASE WHEN d > 0 THEN sd END), 6) AS sd_placebo, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY CASE WHEN d > 0 THEN sd END), 6) AS median, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY CASE WHEN d > 0 THEN sd END), 6) AS p05,
+round(percentile_cont(0.95) WITHIN GROUP (ORDER BY CASE WHEN d > 0 THEN sd END), 6) AS p95, round(max(CASE WHEN d = 0 THEN sd END) / avg(CASE WHEN d > 0 THEN sd END), 6) AS ratio FROM sd GROUP BY period""")
 def placebo_axes(t):
-    key = F.md5(F.concat(F.col("d").cast("string"), F.lit("-"), F.col("i").cast("string")))
-    hexed = lambda a: F.conv(F.substring("k", a, 7), 16, 10).cast("double")
-    grid = t.spark.range(1, 21).select(F.col("id").cast("int").alias("d")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(64)))).withColumn("k", key)
-    normal = F.sqrt(-2 * F.ln((hexed(1) + 1) / 268435457.0)) * F.cos(2 * F.pi() * hexed(9) / 268435456.0)
-    axes = grid.withColumn("x", normal).groupBy("d").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("w")).select("d", vectors.unit("w").alias("w"))
-    return units(t).crossJoin(F.broadcast(axes)).groupBy("d").agg(r(F.stddev_samp(vectors.dot("e", "w")), 5).alias("sd"))
+    """Spread of the projections on the real axis and on random ones, by period."""
+    axes, real = nulls.normal_axes(N_SPREAD, 64), _real_axis(t)
+    rows = []
+    for p, (m, s, n) in vectors.moments_by(units(t).withColumn("period", F.col("id") % 7), "period").items():
+        cov = (m - np.outer(s, s) / n) / (n - 1)
+        sd = np.sqrt(np.einsum("ad,de,ae->a", axes, cov, axes))
+        own = float(np.sqrt(real @ cov @ real))
+        rows.append((p, n, *(round(float(x), 6) for x in (own, sd.mean(), *np.quantile(sd, [0.5, 0.05, 0.95]), own / sd.mean()))))
+    return t.spark.createDataFrame(rows, "period long, n long, sd_axis double, sd_placebo double, median double, p05 double, p95 double, ratio double")
+
+
+ETA_AXES = """, pj AS (SELECT id % 7 AS period, label, d, list_inner_product(e, w) AS x FROM u CROSS JOIN rd), gp AS (SELECT period, label, d, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM pj GROUP BY 1, 2, 3),
+ea AS (SELECT period, d, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)) AS e FROM gp GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {AX}, {RANDOM.format(N_LEVEL)}{ETA_AXES}, k AS (SELECT a.e, b.e AS o FROM ea a JOIN ea b ON a.period = 0 AND b.period = 0 AND b.d = 0 WHERE a.d > 0)
+SELECT round(max(o), 6) AS eta2, round(median(e), 6) AS placebo_median, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY e), 6) AS placebo_p95, round(max(e), 6) AS placebo_max, round(avg(CASE WHEN e >= o THEN 1.0E0 ELSE 0.0E0 END), 6) AS p FROM k""")
+def placebo_level(t):
+    """Whether random axes part the groups of the first period as well as the real one."""
+    e = _axis_eta2(t, np.vstack((_real_axis(t), nulls.normal_axes(N_LEVEL, 64))))[0]
+    null = e[1:]
+    row = (e[0], np.median(null), np.quantile(null, 0.95), null.max(), (null >= e[0]).mean())
+    return t.spark.createDataFrame([tuple(round(float(x), 6) for x in row)], "eta2 double, placebo_median double, placebo_p95 double, placebo_max double, p double")
+
+
+@query(f"""WITH {AX}, {RANDOM.format(N_RISE * N_BLOCKS)}{ETA_AXES}, ch AS (SELECT d, max(CASE WHEN period = 6 THEN e END) - max(CASE WHEN period = 0 THEN e END) AS x FROM ea GROUP BY d), k AS (SELECT CAST((a.d - 1) // {N_RISE} + 1 AS INT) AS block, a.x, b.x AS o FROM ch a JOIN ch b ON b.d = 0 WHERE a.d > 0)
+SELECT block, round(max(o), 6) AS rise, round(median(x), 6) AS placebo_median, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY x), 6) AS placebo_p95, round(avg(CASE WHEN x >= o THEN 1.0E0 ELSE 0.0E0 END), 6) AS p FROM k GROUP BY block""")
+def placebo_rise(t):
+    """The rise of eta2 on the real axis against that on blocks of random axes."""
+    e = _axis_eta2(t, np.vstack((_real_axis(t), nulls.normal_axes(N_RISE * N_BLOCKS, 64))))
+    rise = e[6] - e[0]
+    rows = []
+    for b in range(N_BLOCKS):
+        null = rise[1 + b * N_RISE : 1 + (b + 1) * N_RISE]
+        rows.append((b + 1, *(round(float(x), 6) for x in (rise[0], np.median(null), np.quantile(null, 0.95), (null >= rise[0]).mean()))))
+    return t.spark.createDataFrame(rows, "block int, rise double, placebo_median double, placebo_p95 double, p double")
 
 
 SPACES = f"{V}, sp AS (SELECT id, e[1:32] AS p, e[33:64] AS q FROM u)"
@@ -362,7 +498,16 @@ def space_parity(t):
     return two.select((F.col("id") % 7).alias("period"), d.alias("d")).groupBy("period").agg(r(F.max("d")).alias("max_diff"), r(F.median("d")).alias("median_diff"))
 
 
-sql_query("space_selector", "SELECT CAST(vec_id % 2 AS INT) AS space, count(*) AS n FROM embeddings GROUP BY 1")
+SPACE_OF = {"native": ("p", 1), "aligned": ("q", 33)}
+
+
+@query(f"WITH {SPACES} SELECT id % 7 AS period, CASE WHEN id % 7 = 0 THEN 'native' ELSE 'aligned' END AS space, count(*) AS n, round(avg(CASE WHEN id % 7 = 0 THEN list_inner_product(p, p) ELSE list_inner_product(q, q) END), 6) AS mean_square FROM sp GROUP BY 1, 2")
+def space_selector(t):
+    """The native space for the base period, the aligned one for all others."""
+    two = units(t).select((F.col("id") % 7).alias("period"), *[F.slice("e", at, 32).alias(c) for c, at in SPACE_OF.values()])
+    space = F.when(F.col("period") == 0, "native").otherwise("aligned")
+    chosen = F.when(space == "native", F.col("p")).otherwise(F.col("q"))
+    return two.select("period", space.alias("space"), chosen.alias("v")).groupBy("period", "space").agg(F.count("*").alias("n"), r(F.avg(vectors.dot("v", "v"))).alias("mean_square"))
 
 
 @query(f"WITH {AX}, m2 AS (SELECT label, i, avg(e[i]) AS x FROM u, (SELECT unnest(range(1, 65)) AS i) d WHERE label IN (1, 8) GROUP BY 1, 2), d2 AS (SELECT list(b.x - a.x ORDER BY a.i) AS w FROM m2 a JOIN m2 b ON a.i = b.i WHERE a.label = 1 AND b.label = 8), s2 AS (SELECT id, score, list_inner_product(e, w) AS other FROM ps JOIN (SELECT id AS i2 FROM ps) k ON id = i2 CROSS JOIN d2), rk AS (SELECT rank() OVER (ORDER BY score) AS a, rank() OVER (ORDER BY other) AS b FROM s2) SELECT round(corr(a, b), 5) AS rho FROM rk")
@@ -371,7 +516,7 @@ def axis_agreement(t):
     means = vectors.mean_vector(units(t).where(F.col("label").isin(1, 8)), ["label"])
     other = means.agg(F.max(F.when(F.col("label") == 8, F.col("e"))).alias("b"), F.max(F.when(F.col("label") == 1, F.col("e"))).alias("a")).select(vectors.minus("b", "a").alias("v"))
     both = p.crossJoin(F.broadcast(other)).select(F.lit(0).alias("one"), "score", vectors.dot("e", "v").alias("o"))
-    return stats.spearman(both, ["one"], "score", "o").select(r("rho", 5).alias("rho"))
+    return ranks.spearman_of_rows(both, ["one"], "score", "o").select(r("rho", 5).alias("rho"))
 
 
 @query(f"WITH {V}, pairs AS (SELECT * FROM (VALUES (0, 1), (2, 3), (4, 999999)) AS v(l, r)) SELECT l, r, round(list_inner_product(a.e, b.e), 6) AS sim FROM pairs JOIN u a ON l = a.id JOIN u b ON r = b.id")
@@ -384,16 +529,18 @@ def seed_pair_lookup(t):
 
 @query()
 def axis_auto_expansion(t):
-    """Directions most like the first one, each with ends that were not used before."""
+    """The ten directions most like the first one, each with ends that were not used before."""
     u = units(t).select("id", "e")
     d = knn(t, 10).join(u, "id").join(u.select(F.col("id").alias("neighbor"), F.col("e").alias("f")), "neighbor").select("id", "neighbor", vectors.unit(vectors.minus("f", "e")).alias("d"))
     seed = d.orderBy("id", "neighbor").limit(1).select(F.col("d").alias("s"))
-    best = d.crossJoin(F.broadcast(seed)).select("id", "neighbor", F.round(vectors.dot("d", "s"), 9).alias("like")).orderBy(F.desc("like"), "id", "neighbor").limit(400)
-    used, kept = set(), []
-    for x in best.collect():
-        if len(kept) < 10 and x["id"] not in used and x["neighbor"] not in used:
-            kept.append((x["id"], x["neighbor"], x["like"]))
-            used |= {x["id"], x["neighbor"]}
+    left = cut(d.crossJoin(F.broadcast(seed)).select("id", "neighbor", F.round(vectors.dot("d", "s"), 9).alias("like")))
+    kept: list[tuple] = []
+    while len(kept) < 10:  # one pass for each direction that is taken
+        used = [x for pair in kept for x in pair[:2]]
+        best = left.where(~F.col("id").isin(used) & ~F.col("neighbor").isin(used)).agg(F.max_by(F.struct("id", "neighbor", "like"), F.struct("like", -F.col("id"), -F.col("neighbor"))).alias("x")).first()["x"]
+        if best is None:
+            break
+        kept.append(tuple(best))
     return t.spark.createDataFrame(kept, "id long, neighbor long, `like` double")
 
 
@@ -411,22 +558,62 @@ def procrustes_align(t):
     return turned.agg(F.count("*").alias("n"), r(F.max(vectors.norm(gap)), 6).alias("max_gap"))
 
 
-@query()
-def sndcg_anchors(t):
-    """Stability of each entity: similarity in the second space to its neighbours of the first."""
+def _stability(t: Tables, ranked: bool = True) -> DataFrame:
     both = _two_spaces(t)
     near = vectors.nearest(both.select("id", "e"), 35).select("id", "neighbor", (F.col("rank") - 1).alias("place"))
     f = both.select("id", "f")
-    j = near.join(f, "id").join(f.select(F.col("id").alias("neighbor"), F.col("f").alias("g")), "neighbor").select("id", "place", vectors.dot("f", "g").alias("s")).where("s > 0")
-    return j.groupBy("id").agg(r(F.sum(F.col("s") / F.log2(F.col("place") + 2))).alias("score"))
+    pairs = near.select("id", "neighbor").join(f, "id").join(f.select(F.col("id").alias("neighbor"), F.col("f").alias("g")), "neighbor")
+    return vectors.stability(pairs, near, vectors.dot("f", "g"), ranked)
+
+
+STABLE = f"""{V}{KNN.replace("rank <= 25", "rank <= 35")}, tw AS (SELECT id, e[2:64] || e[1:1] AS f FROM u), sc AS (SELECT kn.id, rank - 1 AS place, list_inner_product(a.f, b.f) AS s FROM kn JOIN tw a ON a.id = kn.id JOIN tw b ON b.id = neighbor)"""
+
+
+@query(f"WITH {STABLE} SELECT id, round(sum(s / log2(place + 2)), 6) AS score FROM sc WHERE s > 0 GROUP BY id")
+def sndcg_anchors(t):
+    """Stability of each entity: similarity in the second space to its neighbours of the first."""
+    return _stability(t).select("id", r("score").alias("score"))
+
+
+@query(f"WITH {STABLE} SELECT id, round(sum(s), 6) AS score FROM sc WHERE s > 0 GROUP BY id")
+def plain_anchor_scores(t):
+    """The simplified score: the plain sum, without a discount by rank."""
+    return _stability(t, ranked=False).select("id", r("score").alias("score"))
+
+
+@query(f"""WITH {STABLE}, an AS (SELECT id // 2 AS src, id // 3 AS trg, round(sum(s / log2(place + 2)), 9) AS score FROM sc WHERE s > 0 GROUP BY id), a1 AS (SELECT src, trg, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, src, trg) AS i FROM an) x WHERE i = 1),
+a2 AS (SELECT src, trg, score FROM (SELECT *, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src, trg) AS i FROM a1) x WHERE i = 1), a3 AS (SELECT *, row_number() OVER (ORDER BY score DESC, src, trg) - 1 AS p, min(score) OVER () AS lo, max(score) OVER () AS hi, count(*) OVER () AS n FROM a2)
+SELECT CAST(src AS BIGINT) AS src, CAST(trg AS BIGINT) AS trg, round((score - lo) / (hi - lo), 6) AS score FROM a3 WHERE p < floor(n * (1 - 0.13E0))""")
+def selected_anchors(t):
+    """Anchors without repeated ends, scaled, less the worst; pairs of entities that share ends stand for candidates."""
+    found = _stability(t).select(F.floor(F.col("id") / 2).cast("long").alias("src"), F.floor(F.col("id") / 3).cast("long").alias("trg"), F.round("score", 9).alias("score"))
+    return vectors.select_anchors(found).select("src", "trg", r("score").alias("score"))
 
 
 @query()
 def dispersion_nms(t):
-    score = sndcg_anchors(t)
-    limit = knn(t, 1).select(F.avg("sim")).first()[0] or 1.0
-    kept = vectors.suppress(score.toPandas(), vectors.close_pairs(units(t), limit).toPandas())
-    return t.spark.createDataFrame([(i,) for i in kept], "id long")
+    """Stable anchors, none of which lies as close to a better one as neighbours do on average
+    (the mean of the similarities to the first neighbour between their 5 % and 95 % quantiles)."""
+    first = cut(knn(t, 1).select("sim"))
+    low, high = first.agg(F.percentile_approx("sim", [0.05, 0.95], 10_000)).first()[0] or (0.0, 0.0)
+    limit = first.where(F.col("sim").between(low, high)).agg(F.avg("sim")).first()[0]
+    close = vectors.close_pairs(units(t), 1.0 if limit is None else limit).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return vectors.suppress(_stability(t), close).select("id")
+
+
+@query()
+def component_diagnostics(t):
+    """Principal components most correlated with the logarithm of the vectors' norm, and with a label."""
+    v = vectors.doubles("embedding")
+    rows = t.embeddings.select(F.ln(vectors.norm(v) + F.col("vec_id") % 3).alias("x"), (F.col("label") == 9).cast("double").alias("y"), vectors.unit(v).alias("e"))
+    found = [(p, round(a, 6), round(b, 6), round(c, 6)) for p, a, b, c in vectors.component_checks(rows, "x", 10, label="y")]
+    return t.spark.createDataFrame(found, "component int, share double, x_correlation double, y_correlation double")
+
+
+@query()
+def density_clusters(t):
+    """Clusters of rows that lie close to many others; the rest is noise (-1)."""
+    return density.density_clusters(units(t), 10, 30)
 
 
 @query()
