@@ -3,7 +3,8 @@
 A group's rows have places 0 to n - 1 in an order that is as good as random (by a hash of their
 key), and so have the labels, sorted. Draw b gives the row at place i the label at place
 (a_b i + c_b) mod n, with a prime a_b above n: each draw is a permutation, worked out for each row
-by itself. A task adds up what every label gets in every draw, and only these sums are shuffled.
+by itself. These are not all permutations: n places have n phi(n) of them, so that groups of a few
+dozen rows get fewer different draws than shuffles would give. A task adds up what every label gets in every draw, and only these sums are shuffled.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.components import cut
+
 TOKEN = r"[\p{L}]+"
 
 
@@ -27,26 +29,26 @@ def document_frequency(counts: DataFrame, doc: str, period: str) -> DataFrame:
 
 
 def tf_idf(counts: DataFrame, doc: str, period: str) -> DataFrame:
-    """doc, period, token, tfidf = n / total * ln(N / df), with N and df by period."""
-    total = Window.partitionBy(period, doc)
-    counts = counts.withColumn("total", F.sum("n").over(total))
-    sizes = counts.groupBy(period).agg(F.count_distinct(doc).alias("docs"))
-    df = document_frequency(counts, doc, period)
-    return counts.join(df, [period, "token"]).join(sizes, period).select(doc, period, "token", (F.col("n") / F.col("total") * F.ln(F.col("docs") / F.col("df"))).alias("tfidf"))
+    """doc, period, token, tfidf = n / total * ln(N / df), with N and df by period.
+
+    The counts are written down once: totals, document frequencies and N all come from them."""
+    counts = cut(counts.select(doc, period, "token", "n"))
+    totals = counts.groupBy(period, doc).agg(F.sum("n").alias("total"))
+    sizes = totals.groupBy(period).agg(F.count("*").alias("docs"))
+    df = counts.groupBy(period, "token").agg(F.count("*").alias("df"))  # a row for each document and token
+    rows = counts.join(totals.join(sizes, period), [period, doc]).join(df, [period, "token"])
+    return rows.select(doc, period, "token", (F.col("n") / F.col("total") * F.ln(F.col("docs") / F.col("df"))).alias("tfidf"))
 
 
 def class_tf_idf(counts: DataFrame, cluster: str, period: str) -> DataFrame:
     """cluster, period, token, ctfidf = n / total * ln(1 + A / f): f is the token's count over
-    clusters, A the mean total of the period's clusters."""
+    clusters, A the mean total of the period's clusters. The counts are written down once."""
+    counts = cut(counts.select(cluster, period, "token", "n"))
     totals = counts.groupBy(period, cluster).agg(F.sum("n").alias("total"))
     mean = totals.groupBy(period).agg(F.avg("total").alias("a"))
     f = counts.groupBy(period, "token").agg(F.sum("n").alias("f"))
-    return (
-        counts.join(totals, [period, cluster])
-        .join(f, [period, "token"])
-        .join(mean, period)
-        .select(cluster, period, "token", (F.col("n") / F.col("total") * F.ln(1 + F.col("a") / F.col("f"))).alias("ctfidf"))
-    )
+    rows = counts.join(totals.join(mean, period), [period, cluster]).join(f, [period, "token"])
+    return rows.select(cluster, period, "token", (F.col("n") / F.col("total") * F.ln(1 + F.col("a") / F.col("f"))).alias("ctfidf"))
 
 
 def top(rows: DataFrame, by: list[str], value: str, k: int, *ties: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import lineage, panel
-from lattica.operators.components import connected_components
+from lattica.operators import contrib, lineage, panel, stats
+from lattica.operators.components import connected_components, cut
 from lattica.plans.registry import Tables, query, sql_query
 
 FIRST, LAST = 1995, 2001
@@ -35,7 +35,7 @@ def edges(t: Tables) -> DataFrame:
 
 
 def _lines(t: Tables) -> DataFrame:
-    rows = edges(t).persist()
+    rows = cut(edges(t))
     ends = rows.agg(F.min("period"), F.max("period")).first()
     return lineage.chains(lineage.best_successors(rows), ends[0], ends[1] + 1) if ends[0] is not None else lineage.chains(rows, 0, 0)
 
@@ -79,23 +79,75 @@ def chain_intact(t):
     return lineage.intact(_lines(t), 0.12).select("line", "period", "intact")
 
 
-@query(f"WITH RECURSIVE {CHAIN}, sz AS (SELECT period, cluster, count(*) AS n FROM mem GROUP BY 1, 2), tt AS (SELECT period, count(*) AS total FROM mem GROUP BY 1) SELECT ch.line, CAST(ch.period AS INT) AS period, round(n / CAST(total AS DOUBLE), 6) AS w FROM ch JOIN sz ON ch.period = sz.period AND ch.cluster = sz.cluster JOIN tt ON ch.period = tt.period")
+#: Standardised scores of the members, and what each cluster of a period contributes: cs (period, cluster, n, m, w, d, b).
+SCORED = """,
+sc AS (SELECT l_partkey AS entity, CAST(year(l_shipdate) AS INT) AS period, avg(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2), sb AS (SELECT avg(score) AS mean, stddev_samp(score) AS sd FROM sc WHERE period = 1995),
+mz AS (SELECT mem.entity, mem.period, cluster, (score - mean) / sd AS z FROM mem JOIN sc ON mem.entity = sc.entity AND mem.period = sc.period CROSS JOIN sb), fz AS (SELECT period, avg(z) AS fm, count(*) AS fn FROM mz GROUP BY period),
+cs AS (SELECT mz.period, cluster, count(*) AS n, avg(z) AS m, count(*) / CAST(max(fn) AS DOUBLE) AS w, avg(z) - max(fm) AS d FROM mz JOIN fz ON mz.period = fz.period GROUP BY 1, 2),
+en AS (SELECT a.line, a.cluster AS cluster_first, b.cluster AS cluster_last, a.period AS p0, b.period AS p1 FROM ch a JOIN ch b ON a.line = b.line WHERE a.period = (SELECT min(period) FROM ch) AND b.period = (SELECT max(period) FROM ch)),
+ld AS (SELECT line, cluster_first, cluster_last, p0, p1, x.m AS m0, y.m AS m1, x.w AS w0, y.w AS w1, x.d AS d0, y.d AS d1 FROM en JOIN cs x ON x.period = p0 AND x.cluster = cluster_first JOIN cs y ON y.period = p1 AND y.cluster = cluster_last)"""
+
+
+def _scored(t: Tables) -> DataFrame:
+    """Members with their standardised score: entity, period, cluster, z."""
+    score = t.lineitem.groupBy(F.col("l_partkey").alias("entity"), F.year("l_shipdate").alias("period")).agg(F.avg("l_extendedprice").alias("score"))
+    return panel.zscore_by_base(membership(t).join(score, ["entity", "period"]), FIRST).select("entity", "period", "cluster", "z")
+
+
+def _line_ends(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """Lines that last from the first to the last period, with what their clusters contribute at both ends."""
+    span = lines.agg(F.min("period").alias("p0"), F.max("period").alias("p1"))
+    rows = lines.join(parts, ["period", "cluster"]).crossJoin(F.broadcast(span))
+    at = lambda c, p: F.max(F.when(F.col("period") == F.col(p), F.col(c)))
+    ends = rows.groupBy("line").agg(at("cluster", "p0").alias("cluster_first"), at("cluster", "p1").alias("cluster_last"), *[at(c, p).alias(f"{c}{p[1]}") for c in ("m", "w", "d") for p in ("p0", "p1")])
+    return ends.where("cluster_first is not null and cluster_last is not null")
+
+
+@query(f"""WITH RECURSIVE {CHAIN}{SCORED} SELECT line, cluster_first, cluster_last, round(w0, 6) AS w_first, round(w1, 6) AS w_last, round(d0, 6) AS d_first, round(d1, 6) AS d_last, round(w1 * d1 * d1 - w0 * d0 * d0, 8) AS change,
+round((w0 + w1) / 2 * (d1 * d1 - d0 * d0), 8) AS by_position, round((w1 - w0) * (d0 * d0 + d1 * d1) / 2, 8) AS by_share FROM ld""")
 def lineage_decomposition(t):
-    sizes = membership(t).groupBy("period", "cluster").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("period")))
-    return _lines(t).join(sizes, ["period", "cluster"]).select("line", "period", F.round(F.col("n") / F.col("total"), 6).alias("w"))
+    """What each line that lasts contributes to the between variance at both ends, and whether the
+    change comes from its position or its share."""
+    e = _line_ends(cut(_lines(t)), contrib.contributions(_scored(t)))
+    q0, q1 = F.col("d0") * F.col("d0"), F.col("d1") * F.col("d1")
+    return e.select(
+        "line", "cluster_first", "cluster_last", *[F.round(c, 6).alias(n) for c, n in (("w0", "w_first"), ("w1", "w_last"), ("d0", "d_first"), ("d1", "d_last"))], F.round(F.col("w1") * q1 - F.col("w0") * q0, 8).alias("change"),
+        F.round((F.col("w0") + F.col("w1")) / 2 * (q1 - q0), 8).alias("by_position"), F.round((F.col("w1") - F.col("w0")) * (q0 + q1) / 2, 8).alias("by_share"),
+    )
+
+
+SWEEP = (0.0, 0.1, 0.12, 0.15)
 
 
-@query(f"WITH RECURSIVE {CHAIN}, th AS (SELECT * FROM (VALUES (0.1), (0.12), (0.15), (0.2)) AS v(tau)), i AS (SELECT CAST(tau AS DOUBLE) AS tau, line, min(CASE WHEN link IS NULL OR link >= tau THEN 1 ELSE 0 END) AS ok FROM ch CROSS JOIN th GROUP BY 1, 2) SELECT tau, count(*) FILTER (WHERE ok = 1) AS n_intact FROM i GROUP BY tau")
+@query(f"""WITH RECURSIVE {CHAIN}{SCORED}, th AS (SELECT CAST(tau AS DOUBLE) AS tau FROM (VALUES {", ".join(f"({x})" for x in SWEEP)}) AS v(tau)), ok AS (SELECT tau, line, min(CASE WHEN link IS NULL OR link >= tau THEN 1 ELSE 0 END) AS ok FROM ch CROSS JOIN th GROUP BY 1, 2),
+fx AS (SELECT s.cluster AS line, avg(CASE WHEN mz.period = p1 THEN z END) - avg(CASE WHEN mz.period = p0 THEN z END) AS fixed FROM mem s JOIN (SELECT min(period) AS p0, max(period) AS p1 FROM ch) e ON s.period = p0 JOIN mz ON mz.entity = s.entity GROUP BY s.cluster),
+mv AS (SELECT tau, ld.line, round(m1 - m0, 9) AS moved, round(fixed, 9) AS fixed FROM ok JOIN ld ON ok.line = ld.line AND ok = 1 JOIN fx ON fx.line = ld.line),
+rk AS (SELECT tau, rank() OVER (PARTITION BY tau ORDER BY moved) + (count(*) OVER (PARTITION BY tau, moved) - 1) / 2.0E0 AS a, rank() OVER (PARTITION BY tau ORDER BY fixed) + (count(*) OVER (PARTITION BY tau, fixed) - 1) / 2.0E0 AS b, sign(moved) = sign(fixed) AS same FROM mv),
+nk AS (SELECT tau, count(*) FILTER (WHERE ok = 1) AS n_intact FROM ok GROUP BY tau), ag AS (SELECT tau, count(*) AS n_compared, count(*) FILTER (WHERE same) AS n_same_direction, CASE WHEN count(*) > 1 THEN round(corr(a, b), 6) END AS rho FROM rk GROUP BY tau)
+SELECT nk.tau, n_intact, coalesce(n_compared, 0) AS n_compared, coalesce(n_same_direction, 0) AS n_same_direction, rho FROM nk LEFT JOIN ag ON nk.tau = ag.tau""")
 def lineage_param_sweep(t):
-    grid = t.spark.createDataFrame([(0.1,), (0.12,), (0.15,), (0.2,)], "tau double")
-    ok = F.min(F.when(F.col("link").isNull() | (F.col("link") >= F.col("tau")), 1).otherwise(0))
-    return _lines(t).crossJoin(F.broadcast(grid)).groupBy("tau", "line").agg(ok.alias("ok")).groupBy("tau").agg(F.count_if(F.col("ok") == 1).alias("n_intact"))
+    """For each least link: lines that stay intact, and how their movement agrees with that of the
+    members they started with."""
+    lines, members = cut(_lines(t)), cut(_scored(t))
+    grid = t.spark.createDataFrame([(x,) for x in SWEEP], "tau double")
+    held = F.min(F.when(F.col("link").isNull() | (F.col("link") >= F.col("tau")), 1).otherwise(0))
+    ok = lines.crossJoin(F.broadcast(grid)).groupBy("tau", "line").agg(held.alias("ok"))
+    span = lines.agg(F.min("period").alias("p0"), F.max("period").alias("p1"))
+    start = members.crossJoin(F.broadcast(span)).where(F.col("period") == F.col("p0")).select("entity", F.col("cluster").alias("line"), "p0", "p1")
+    mean = lambda p: F.avg(F.when(F.col("period") == F.col(p), F.col("z")))
+    fixed = start.join(members.select("entity", "period", "z"), "entity").groupBy("line").agg((mean("p1") - mean("p0")).alias("fixed"))
+    moved = _line_ends(lines, contrib.contributions(members)).select("line", F.round(F.col("m1") - F.col("m0"), 9).alias("moved"))
+    both = ok.where("ok = 1").join(moved, "line").join(fixed, "line").withColumn("fixed", F.round("fixed", 9))
+    rho = stats.spearman(both, ["tau"], "moved", "fixed")
+    n = both.groupBy("tau").agg(F.count("*").alias("n_compared"), F.count_if(F.signum("moved") == F.signum("fixed")).alias("n_same_direction")).join(rho, "tau", "left")
+    intact = ok.groupBy("tau").agg(F.count_if(F.col("ok") == 1).alias("n_intact"))
+    return intact.join(n, "tau", "left").select("tau", "n_intact", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_compared", "n_same_direction")], F.when(F.col("n_compared") > 1, F.round("rho", 6)).alias("rho"))
 
 
 @query(f"WITH RECURSIVE {CHAIN}, e AS (SELECT line, cluster FROM ch WHERE period = (SELECT max(period) FROM ch)), q AS (SELECT line, min(link) AS min_link FROM ch GROUP BY line), m AS (SELECT line, count(*) OVER (PARTITION BY cluster) AS merge_n FROM e) SELECT q.line, round(min_link, 6) AS min_link, merge_n FROM q LEFT JOIN m ON q.line = m.line")
 def lineage_quality(t):
-    lines = _lines(t)
-    last = lines.where(F.col("period") == lines.agg(F.max("period")).first()[0]).select("line", F.count("*").over(Window.partitionBy("cluster")).alias("merge_n"))
+    lines = cut(_lines(t))
+    last = lines.join(F.broadcast(lines.agg(F.max("period").alias("period"))), "period").select("line", F.count("*").over(Window.partitionBy("cluster")).alias("merge_n"))
     return lines.groupBy("line").agg(F.round(F.min("link"), 6).alias("min_link")).join(last, "line", "left")
 
 
@@ -170,6 +222,26 @@ def flippers(t):
     return c.select("entity", (F.col("x") > 0).alias("flips_any"), (F.col("x") * 2 > F.col("n")).alias("flips_majority"), (F.col("final") != F.col("first")).alias("flips_end"))
 
 
+FLIP = f"{STATIC}, fp AS (SELECT lab.entity, count(*) FILTER (WHERE period > 1 AND lab.label <> st.label) AS n_other, count(*) FILTER (WHERE period > 1) AS n_later, max_by(lab.label, period) AS final, bool_or(st.label) AS first FROM lab JOIN st ON lab.entity = st.entity WHERE st.label IS NOT NULL GROUP BY lab.entity)"
+_KEPT = ("TRUE", "NOT (n_other > 0)", "NOT (n_other * 2 > n_later)", "NOT (final <> first)")
+
+
+@query(f"""{FLIP}, ud AS (SELECT user_id AS entity, CAST(day(ts) AS INT) AS period, avg(value) AS z FROM events GROUP BY 1, 2), pv AS (SELECT ud.entity, period, CAST(ud.entity % 10 AS INT) AS cluster, z, {", ".join(f"{c} AS k{i}" for i, c in enumerate(_KEPT))} FROM ud JOIN fp ON ud.entity = fp.entity),
+vs AS ({" UNION ALL ".join(f"SELECT {i} AS v, period, cluster, z FROM pv WHERE k{i}" for i in range(4))}), gs AS (SELECT v, period, cluster, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM vs GROUP BY 1, 2, 3),
+es AS (SELECT v, period, sum(n) AS n, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / nullif(sum(q) - sum(s) * sum(s) / sum(n), 0) AS e FROM gs GROUP BY 1, 2)
+SELECT period, CAST(max(CASE WHEN v = 0 THEN n END) AS BIGINT) AS n, CAST(coalesce(max(CASE WHEN v = 1 THEN n END), 0) AS BIGINT) AS n_without_any, {", ".join(f"round(max(CASE WHEN v = {i} AND n > 10 THEN e END), 6) AS {c}" for i, c in enumerate(("eta2", "eta2_without_any", "eta2_without_majority", "eta2_without_end")))} FROM es GROUP BY period""")
+def flipper_effect(t):
+    """Each period's eta2 of all labelled entities, and without those whose label flips by each rule."""
+    kinds = cut(flippers(t))
+    score = t.events.groupBy(F.col("user_id").alias("entity"), F.dayofmonth("ts").alias("period")).agg(F.avg("value").alias("z"))
+    rows = score.join(kinds, "entity").withColumn("cluster", (F.col("entity") % 10).cast("int"))
+    kept = F.explode(F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate([F.lit(True), ~F.col("flips_any"), ~F.col("flips_majority"), ~F.col("flips_end")])]), lambda x: x.isNotNull()))
+    e = stats.variance_components(rows.select("period", "cluster", "z", kept.alias("v")), ["v", "period"], "cluster", "z").withColumn("e", F.when(F.col("n") > 10, stats.eta2()))
+    at = lambda c, i: F.max(F.when(F.col("v") == i, F.col(c)))
+    names = ("eta2", "eta2_without_any", "eta2_without_majority", "eta2_without_end")
+    return e.groupBy("period").agg(at("n", 0).alias("n"), F.coalesce(at("n", 1), F.lit(0)).alias("n_without_any"), *[F.round(at("e", i), 6).alias(c) for i, c in enumerate(names)])
+
+
 sql_query("variance_by_category", "SELECT event_type, count(*) AS n, round(var_samp(value), 4) AS v FROM events GROUP BY event_type")
 sql_query("frequency_percent", "SELECT coalesce(event_type, 'none') AS event_type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM events GROUP BY 1")
 sql_query("rowwise_label_votes", f"WITH {LAB} SELECT entity, CAST(sum(CASE WHEN label THEN 1 ELSE 0 END) AS BIGINT) AS n_yes, CAST(sum(CASE WHEN label THEN 0 ELSE 1 END) AS BIGINT) AS n_no, max_by(label, period) AS last_label FROM lab GROUP BY entity")

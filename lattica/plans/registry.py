@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +38,23 @@ def query(oracle: str | None = None):
 
 
 def sql_query(name: str, sql: str) -> None:
-    """Register one SQL text that Catalyst plans over the Parquet tables and the oracle runs too."""
+    """Register one SQL text that Catalyst plans over the Parquet tables and the oracle runs too.
+
+    The tables are views of passing names while the text is analysed: the session keeps none."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables = Tables(spark, sf_dir)
+        tables, own, views = Tables(spark, sf_dir), sql, []
         for table in TABLES:
-            if re.search(rf"\b{table}\b", sql):
-                getattr(tables, table).createOrReplaceTempView(table)
-        return spark.sql(sql)
+            named = re.compile(rf"(?i)\b(FROM|JOIN)(\s+){table}\b")
+            if named.search(own):
+                views.append(f"__{table}_{uuid.uuid4().hex}")
+                getattr(tables, table).createOrReplaceTempView(views[-1])
+                own = named.sub(rf"\1\2{views[-1]}", own)
+        try:
+            return spark.sql(own)
+        finally:
+            for view in views:
+                spark.catalog.dropTempView(view)
 
     QUERIES[name] = run
     ORACLE[name] = sql

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import text
+from lattica.operators.components import cut
 from lattica.plans.registry import Tables, query, sql_query
 
 STOP = ["the", "of", "and", "to", "a", "in", "is", "it", "der", "die", "und", "das", "le", "la", "de", "et", "les", "el", "y", "que"]
@@ -33,7 +34,8 @@ def class_scores(t: Tables) -> DataFrame:
 
 
 def top_tokens(t: Tables, k: int = 50) -> DataFrame:
-    return text.top(class_scores(t).withColumn("__v", F.round("ctfidf", 10)), ["source", "lang"], "__v", k, "token").drop("__v")
+    """At most k rows for each class, written down, as several parts of a query read them."""
+    return cut(text.top(class_scores(t).withColumn("__v", F.round("ctfidf", 10)), ["source", "lang"], "__v", k, "token").drop("__v"))
 
 
 @query(f"WITH {CNT} SELECT lang, token, count(*) AS df FROM cn GROUP BY 1, 2")
@@ -82,7 +84,7 @@ ws AS (SELECT source, lang, token FROM tp WHERE token NOT IN (SELECT token FROM
 def _words(t: Tables) -> DataFrame:
     top = top_tokens(t)
     share = top.groupBy("token").agg(F.count_distinct("source").alias("k")).crossJoin(F.broadcast(top.agg(F.count_distinct("source").alias("all"))))
-    return top.join(share.where(F.col("k") > FILLER * F.col("all")), "token", "left_anti").select("source", "lang", "token")
+    return cut(top.join(share.where(F.col("k") > FILLER * F.col("all")), "token", "left_anti").select("source", "lang", "token"))
 
 
 @query(f"WITH {WORDS} SELECT token FROM fl")
