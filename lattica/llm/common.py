@@ -40,16 +40,17 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+def durable(df: DataFrame, rows: int | None = None, waves: int = 1) -> DataFrame:
     """Cut lineage with an eager reliable checkpoint in the shared folder.
 
     Every partition becomes a file: where about so many ``rows`` of a narrow table are expected,
-    they are put into no more partitions than tasks run at once or ``PARTITION_ROWS`` asks for.
+    they are put into no more partitions than tasks run at once (``waves`` times) or
+    ``PARTITION_ROWS`` asks for.
     """
     spark = df.sparkSession
     _checkpoint_dir(spark)
     if rows is not None:
-        parts = max(spark.sparkContext.defaultParallelism, rows // PARTITION_ROWS + 1)
+        parts = max(waves * spark.sparkContext.defaultParallelism, rows // PARTITION_ROWS + 1)
         if parts < int(spark.conf.get("spark.sql.shuffle.partitions")):
             df = df.coalesce(parts)
     return df.checkpoint(eager=True)

@@ -305,6 +305,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     doc_id stays null). Rows without a doc_id are compared and counted like all others. Only
     doc_id and text are read, so other columns' names can't clash. An empty table gives no rows.
     """
+    return _classes(docs)[0]
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``jaccard_classes``, and the number of its rows."""
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     sketches = durable(typed.mapInArrow(_sketch_partition, "doc_id long, text_hash long, node long, n_bytes long, keys array<long>"))
     rows = sketches.count()
@@ -323,7 +328,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("text", "node", "mult", "comp", "bin", "blocks", "block", (F.least("block", "other") * (1 << 31) + F.greatest("block", "other")).alias("pair"))
     )
-    found = durable(sent.groupBy("bin", "blocks", "pair").applyInArrow(_join_group, "node long, `to` long, links long, split boolean"))
+    found = durable(sent.groupBy("bin", "blocks", "pair").applyInArrow(_join_group, "node long, `to` long, links long, split boolean"), rows, waves=4)
     across = components(found.where("split and node <> `to`").select(F.col("node").alias("a"), F.col("to").alias("b")), rows)
     roots = found.where("not split").select("node", F.col("to").alias("root")).unionByName(across)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -345,25 +350,27 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .unionByName(known.where("node is null"), allowMissingColumns=True)
     )
     same = (F.col("doc_id") == F.col("class_first.doc_id")) & (F.col("text_hash") == F.col("class_first.text_hash"))
-    return classed.select(
+    out = classed.select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_first.doc_id", "doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "text_hash",
         F.coalesce(same, F.lit(True)).alias("is_first"),
     )
+    return out, rows
 
 
 def first_of_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one for each class stays: the one
     with the smallest doc_id. Rows that repeat exactly in doc_id and text count as one. Rows
     without a doc_id stay."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    classes = jaccard_classes(docs)
-    rows = durable(classes.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_or("is_first").alias("stays"), F.count("*").alias("n")))
-    gone = rows.where("not stays").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
-    kept = hashed.join(gone, (F.col("doc_id") == F.col("__gone_id")) & (F.col("__text_hash") == F.col("__gone_hash")), "left_anti")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")  # apart from the helpers' names
+    hashed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    classes, n = _classes(docs)
+    rows = durable(classes.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_or("is_first").alias("stays"), F.count("*").alias("n")), n)
+    gone = rows.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    kept = hashed.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
     if not rows.where("stays and n > 1").isEmpty():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__text_hash"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+        named = kept.where("id is not null").dropDuplicates(["id", "hash"])
+        kept = named.unionByName(kept.where("id is null"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

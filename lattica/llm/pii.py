@@ -311,7 +311,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """dk, th, kind (place in ``ADDED``), start, end, base: base spans, checked parts of longer
     matches, and selected candidates. Of candidates that overlap the one that starts first stays,
     of these the longest."""
-    found = durable(matches(docs))
+    found = durable(matches(docs), docs.select("doc_id").count(), waves=4)
     rows = found.count()
     base = found.where(F.col("of").isin(*KINDS) & is_base()).select(
         *_DOC, F.array_position(F.array(*map(F.lit, KINDS)), F.col("of")).cast("int").alias("kind"), "start", "end", F.lit(True).alias("base")

@@ -36,7 +36,7 @@ def words(rng, n, lang):
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     """Nulls, empty and long texts, copies, repeated rows and clashing columns: what run() gives is
     what a plain version of the stages gives."""
-    rng, extra = random.Random(5), ["dk", "th", "cuts", "row", "node", "text_hash", "island", "kind", "score", "keys"]
+    rng, extra = random.Random(5), ["dk", "th", "cuts", "row", "node", "text_hash", "island", "kind", "score", "keys", "id", "hash", "gone_id", "__text_hash", "vec"]
     texts = [words(rng, 60, rng.choice(["aa", "bb"])) for _ in range(60)]
     item = words(rng, 40, "aa")
     long, other = words(rng, 40_000, "bb"), words(rng, 60, "aa")
