@@ -79,6 +79,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def forget(stored_table: DataFrame) -> None:
+    """Delete the folder that ``stored`` wrote for this table, which nothing reads any more."""
+    spark = stored_table.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in stored_table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if path.getName().startswith("stored-"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches, column: str, most_bytes: int = SLICE_BYTES):
     """The batches' rows in batches of about ``most_bytes`` of the string ``column``, so that what
     a worker makes of them stays bounded; a longer value is a batch of its own. Batches without a
