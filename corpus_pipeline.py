@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import read_table, stored
+from lattica.llm.common import forget, read_table, stored
 from lattica.llm.decontaminate import without_leaks
 from lattica.llm.jaccard import first_of_class
 from lattica.llm.language import keep_identified
@@ -17,6 +17,12 @@ from lattica.llm.queries import piece_model
 LEAST_LANGUAGE_SHARE = 0.35
 
 
+def _as_many_files(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` in no more partitions than the files of ``docs`` are read in: a shuffle's many
+    partitions would make many small files."""
+    return out.coalesce(max(1, docs.rdd.getNumPartitions()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those of which no language has a fair share."""
     return keep_identified(docs, LEAST_LANGUAGE_SHARE)
@@ -24,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id stays."""
-    return first_of_class(docs)
+    return _as_many_files(first_of_class(docs), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the text are replaced by their kind; n_chars follows."""
-    clean = redact(docs)
+    clean = _as_many_files(redact(docs), docs)
     kind = docs.schema["n_chars"].dataType
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
 
@@ -57,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    docs, last = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, old = stored(stage(spark, docs, sf_dir)), last
+        last = docs
+        if old is not None:
+            forget(old)
     return STAGES[-1][1](spark, docs, sf_dir)
