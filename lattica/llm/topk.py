@@ -57,18 +57,19 @@ def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def _with_distances(batches, pivots: dict[int, np.ndarray]):
-    """Adds ``at``: distances to the pivots of the vector's dimension, as bytes of doubles."""
+def _with_distances(batches, pivots: dict[int, np.ndarray], kind: str):
+    """Adds ``raw``, the components as bytes of ``kind``, and ``at``, the distances to the pivots of
+    the vector's dimension as bytes of single floats."""
     for batch in batches:
         dims = batch.column("dim").to_numpy()
         vec = batch.column("vec")
-        values, ends = vec.flatten().to_numpy().astype(np.int64), np.cumsum(dims)
+        values, ends = vec.flatten().to_numpy().astype(kind), np.cumsum(dims)
         raw, at = [None] * len(dims), [None] * len(dims)
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
             points = values[(ends[rows] - dim)[:, None] + np.arange(dim)]
             near = _distances(points.astype(np.float64), pivots[int(dim)]) if dim and int(dim) in pivots else np.zeros((len(rows), 1))
-            for i, p, d in zip(rows, points, near, strict=True):
+            for i, p, d in zip(rows, points, near.astype(np.float32), strict=True):
                 raw[i], at[i] = p.tobytes(), d.tobytes()
         keep = [x for x in batch.schema.names if x not in ("vec", "dim")]
         yield pa.RecordBatch.from_arrays(
@@ -84,21 +85,22 @@ def _scores(points: np.ndarray, q: np.ndarray, exact_in_double: bool) -> np.ndar
     return (points.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if exact_in_double else points @ q
 
 
-def _search(k: int):
+def _search(k: int, kind: str):
     out_type = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found = defaultdict(list)
         if candidates.num_rows and queries.num_rows:
             dim = queries.column("dim")[0].as_py()
-            x, q = _matrix(candidates.column("raw"), np.int64, dim), _matrix(queries.column("raw"), np.int64, dim)
-            width = len(queries.column("at")[0].as_py()) // 8
-            dx, dq = _matrix(candidates.column("at"), np.float64, width), _matrix(queries.column("at"), np.float64, width)
+            x, q = (_matrix(side.column("raw"), kind, dim).astype(np.int64) for side in (candidates, queries))
+            width = len(queries.column("at")[0].as_py()) // 4
+            dx, dq = (_matrix(side.column("at"), np.float32, width) for side in (candidates, queries))
+            slack = 1e-6 * float(max(dx.max(), dq.max()))  # for the rounding of distances
             ids, names = candidates.column("ids").to_pylist(), queries.column("vec_id").to_pylist()
             xf, squares = x.astype(np.float64), (x.astype(np.float64) ** 2).sum(axis=1)
             exact = not dim or dim * float(np.abs(xf).max()) * float(np.abs(q).max()) < 2**52
             for i, name in enumerate(names):
-                lower = np.abs(dx - dq[i]).max(axis=1)
+                lower = np.maximum(0.0, np.abs(dx - dq[i]).max(axis=1).astype(np.float64) - slack)
                 upper = (squares + float((q[i].astype(np.float64) ** 2).sum()) - lower * lower) / 2
                 upper += 1e-9 * (1 + np.abs(upper) + squares)  # rounding must not lower a bound
                 order = np.argsort(-upper, kind="stable")
@@ -147,7 +149,10 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
     n_candidates = math.ceil(max(sizes.values(), default=1) / CANDIDATE_BLOCK)
     n_queries = math.ceil(max(1, asked.count()) / QUERY_BLOCK)
 
-    table = lambda batches: _with_distances(batches, pivots)
+    # whole numbers in as few bytes as hold the largest
+    most = distinct.where("dim > 0").agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x))))).first()[0] or 0
+    kind = next(t for t in ("int16", "int32", "int64") if most <= np.iinfo(t).max)
+    table = lambda batches: _with_distances(batches, pivots, kind)
     candidates = (
         distinct.select("ids", F.pmod("h1", F.lit(n_candidates)).cast("int").alias("cb"), "vec", "dim")
         .mapInArrow(table, "ids array<long>, cb int, dim int, raw binary, at binary")
@@ -158,7 +163,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
         .mapInArrow(table, "vec_id long, qb int, dim int, raw binary, at binary")
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
     )
-    best = candidates.groupBy("dim", "cb", "qb").cogroup(queries.groupBy("dim", "cb", "qb")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    best = candidates.groupBy("dim", "cb", "qb").cogroup(queries.groupBy("dim", "cb", "qb")).applyInArrow(_search(k, kind), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -220,6 +220,13 @@ def test_top_k_against_brute_force(spark, monkeypatch, blocks):
         want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"))
     assert {tuple(r) for r in got.collect()} == want
+    large = [(i, [1000.0 * x for x in v], 0) if v else (i, v, 0) for i, v, _ in rows if v and None not in v]  # beyond two bytes
+    ints = {i: [int(256 * x // 1) for x in v] for i, v, _ in large if i is not None and len(v) == 4 and float("inf") not in v}
+    want = set()
+    for q in (i for i in ints if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in topk.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>, rank int")).collect()} == want
     assert topk.top_k(got.sparkSession.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
