@@ -7,7 +7,8 @@ a penalty for each language (half the logarithm of the number of trigrams, and `
 
 Counts cover every training document: a task counts the trigrams of its documents and emits
 each count once, and Spark adds them up. The table that comes to the driver has at most
-``BUCKETS`` rows for each language, whatever the size of the corpus.
+``BUCKETS`` rows for each language, and no more than ``MOST_LANGUAGES`` are learnt, whatever the
+size of the corpus and however many values the column has.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lattica.llm.common import slices, worker_keeps
 
 #: Hashed trigrams; their number bounds the model's size.
 BUCKETS = 1 << 16
+#: Languages that are learnt at most: those with the most texts.
+MOST_LANGUAGES = 256
 SMOOTHING = 0.2
 EM_STEPS = 12
 #: Nats that a further language must gain beyond half the logarithm of the document's length.
@@ -78,11 +81,14 @@ class LanguageModel:
 
     @classmethod
     def learn(cls, docs: DataFrame) -> LanguageModel:
-        """From the columns text and lang of ``docs``; rows where either is null are left out."""
+        """From the columns text and lang of ``docs``; rows where either is null are left out, and
+        so are languages beyond the ``MOST_LANGUAGES`` with the most texts (ties by name)."""
+        known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+        most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+        if len(most) > MOST_LANGUAGES:
+            known = known.where(F.col("lang").isin([r["lang"] for r in most[:MOST_LANGUAGES]]))
         rows = (
-            docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-            .where("text is not null and lang is not null")
-            .mapInArrow(_count_partition, "lang string, bucket int, n long")
+            known.mapInArrow(_count_partition, "lang string, bucket int, n long")
             .groupBy("lang", "bucket")
             .agg(F.sum("n").alias("n"))
             .toArrow()

@@ -151,7 +151,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int | None = None
     quota, extra = divmod(total, shards)
     share = [quota + (s < extra) for s in range(shards)]
     lanes = max(LEAST_LANES, total // LANE_ROWS)
-    base = base.withColumn("lane", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(lanes)))
+    # the rows are written down, so their numbers stay: they tell rows without doc_id apart
+    told = F.coalesce("doc_id", F.monotonically_increasing_id())
+    base = base.withColumn("lane", F.pmod(F.xxhash64(told, F.lit(7)), F.lit(lanes)))
 
     by_lane = base.where("link is not null").groupBy(*GROUP, "lane").agg(F.count("*").alias("n"))
     by_lane = by_lane.withColumn("members", F.sum("n").over(Window.partitionBy(*GROUP))).where("members > 1")
