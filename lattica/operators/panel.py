@@ -67,3 +67,18 @@ def attrition(panel: DataFrame, population: DataFrame, periods: list[int]) -> Da
     grid = population.sparkSession.createDataFrame([(p,) for p in periods], "period int")
     here = population.crossJoin(F.broadcast(grid)).join(panel.select("entity", "period").distinct().withColumn("here", F.lit(True)), ["entity", "period"], "left")
     return here.groupBy("period").agg(F.count("*").alias("n_population"), F.count_if("here").alias("n_present"), F.count_if(F.col("here").isNull()).alias("n_absent"))
+
+
+def label_status(labels: DataFrame, base: int) -> DataFrame:
+    """entity, status: where the static label comes from. A, B: the base period's verdict is no or
+    yes; C, D: it is filled in from later periods, no or yes; E: there is none."""
+    there = labels.groupBy("entity").agg(F.bool_or((F.col("period") == base) & F.col("label").isNotNull()).alias("__base"))
+    label = F.col("label")
+    status = F.when(F.col("__base") & ~label, "A base no").when(F.col("__base") & label, "B base yes").when(~label, "C later no").when(label, "D later yes").otherwise("E open")
+    return static_label(labels, base).join(there, "entity").select("entity", status.alias("status"))
+
+
+def provenance(populations: DataFrame, status: DataFrame) -> DataFrame:
+    """basis, status, n, percent of ``populations`` (basis, entity); F: an entity without any label."""
+    known = populations.join(status, "entity", "left").groupBy("basis", F.coalesce("status", F.lit("F no entry")).alias("status")).agg(F.count("*").alias("n"))
+    return known.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("basis")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,14 +205,19 @@ def static_label(t):
     return panel.static_label(user_days(t), 1)
 
 
-@query(f"""{STATIC}, k AS (SELECT st.entity, CASE WHEN max(CASE WHEN period = 1 THEN 1 ELSE 0 END) = 1 THEN 'A base' WHEN st.label IS NOT NULL THEN 'B later' ELSE 'C open' END AS status FROM st JOIN lab ON st.entity = lab.entity GROUP BY st.entity, st.label)
-SELECT status, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM k GROUP BY status""")
+@query(f"""{STATIC}, bs AS (SELECT entity, max(CASE WHEN period = 1 AND label IS NOT NULL THEN 1 ELSE 0 END) AS base FROM lab GROUP BY entity),
+ss AS (SELECT st.entity, CASE WHEN base = 1 AND NOT label THEN 'A base no' WHEN base = 1 AND label THEN 'B base yes' WHEN NOT label THEN 'C later no' WHEN label THEN 'D later yes' ELSE 'E open' END AS status FROM st JOIN bs ON st.entity = bs.entity),
+od AS (SELECT DISTINCT o_custkey AS entity, year(o_orderdate) AS period FROM orders), pp AS (SELECT DISTINCT 'all periods' AS basis, entity FROM od UNION ALL SELECT 'first period', entity FROM od WHERE period = 1995 UNION ALL SELECT 'last period', entity FROM od WHERE period = 2001
+UNION ALL SELECT 'fixed partition', entity FROM od JOIN customer ON entity = c_custkey WHERE period = 1995 AND c_nationkey <> 0), kk AS (SELECT basis, coalesce(status, 'F no entry') AS status, count(*) AS n FROM pp LEFT JOIN ss ON pp.entity = ss.entity GROUP BY 1, 2)
+SELECT basis, status, n, round(100.0E0 * n / sum(n) OVER (PARTITION BY basis), 4) AS percent FROM kk""")
 def label_provenance(t):
-    days = user_days(t)
-    base = days.groupBy("entity").agg(F.bool_or(F.col("period") == 1).alias("b"))
-    status = F.when(F.col("b"), "A base").when(F.col("label").isNotNull(), "B later").otherwise("C open")
-    n = panel.static_label(days, 1).join(base, "entity").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4))
+    """Where the labels of four populations come from."""
+    orders = cut(t.orders.select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("period")).distinct())
+    fixed = t.customer.where("c_nationkey <> 0").select(F.col("c_custkey").alias("entity"))
+    first = orders.where(F.col("period") == FIRST)
+    parts = {"all periods": orders.select("entity").distinct(), "first period": first, "last period": orders.where(F.col("period") == LAST), "fixed partition": first.join(fixed, "entity", "left_semi")}
+    populations = reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("basis"), "entity") for name, rows in parts.items()])
+    return panel.provenance(populations, panel.label_status(user_days(t), 1)).withColumn("percent", F.round("percent", 4))
 
 
 @query(f"{STATIC}, c AS (SELECT lab.entity, count(*) FILTER (WHERE period > 1 AND lab.label <> st.label) AS n_other, count(*) FILTER (WHERE period > 1) AS n_later, max_by(lab.label, period) AS final FROM lab JOIN st ON lab.entity = st.entity WHERE st.label IS NOT NULL GROUP BY lab.entity, st.label) SELECT c.entity, n_other > 0 AS flips_any, n_other * 2 > n_later AS flips_majority, final <> st.label AS flips_end FROM c JOIN st ON c.entity = st.entity")
