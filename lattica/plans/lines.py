@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import contrib, lineage, panel, stats
+from lattica.operators import contrib, lineage, panel, stats, tables
 from lattica.operators.components import connected_components, cut
 from lattica.plans.registry import Tables, query, sql_query
 
@@ -68,7 +68,9 @@ def split_merge(t):
     return splits.join(merges, "period")
 
 
-sql_query("branch_counts", f"WITH {FLOW}, k AS (SELECT period, old, count(*) AS n FROM ed GROUP BY period, old) SELECT period, n, count(*) AS n_clusters FROM k GROUP BY period, n")
+@query(f"WITH {FLOW}, k AS (SELECT period, old, count(*) AS n FROM ed GROUP BY period, old) SELECT period, n, count(*) AS n_clusters FROM k GROUP BY period, n")
+def branch_counts(t):
+    return edges(t).groupBy("period", "old").agg(F.count("*").alias("n")).groupBy("period", "n").agg(F.count("*").alias("n_clusters"))
 
 
 @query(f"WITH RECURSIVE {CHAIN} SELECT line, CAST(period AS INT) AS period, cluster, round(link, 6) AS link FROM ch")
@@ -184,9 +186,21 @@ def line_label_backfill(t):
 
 
 sql_query("labeling_pool", f"WITH {P2} SELECT period, cluster, count(*) AS n_members, min(entity) AS example, count(*) FILTER (WHERE entity % 5 = 0) AS n_labelled FROM mem GROUP BY period, cluster")
-sql_query("containment_shares", f"WITH {FLOW} SELECT period, old, new, round(inter / CAST(n_old AS DOUBLE), 6) AS in_old, round(inter / CAST(n_new AS DOUBLE), 6) AS in_new FROM ed")
+
+
+@query(f"WITH {FLOW} SELECT period, old, new, round(inter / CAST(n_old AS DOUBLE), 6) AS in_old, round(inter / CAST(n_new AS DOUBLE), 6) AS in_new FROM ed")
+def containment_shares(t):
+    return edges(t).select("period", "old", "new", F.round("share_old", 6).alias("in_old"), F.round("share_new", 6).alias("in_new"))
+
+
 sql_query("shared_member_pairs", f"WITH {P2} SELECT a.period AS period_a, a.cluster AS cluster_a, b.period AS period_b, b.cluster AS cluster_b, count(*) AS shared FROM mem a JOIN mem b ON a.entity = b.entity AND a.period < b.period GROUP BY a.period, a.cluster, b.period, b.cluster")
-sql_query("index_lookup_join", f"WITH {P2} SELECT entity, period, p_brand FROM mem JOIN part ON entity = p_partkey WHERE period = 2000")
+
+
+@query(f"WITH {P2} SELECT entity, period, p_brand FROM mem JOIN part ON entity = p_partkey WHERE period = 2000")
+def index_lookup_join(t):
+    return membership(t).where("period = 2000").join(t.part.select(F.col("p_partkey").alias("entity"), "p_brand"), "entity").select("entity", "period", "p_brand")
+
+
 sql_query("dedupe_first", "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS i FROM lineitem) x WHERE i = 1")
 
 #: Labels in SQL: each user's day has the label whether there was a purchase.
@@ -249,9 +263,22 @@ def flipper_effect(t):
     return e.groupBy("period").agg(at("n", 0).alias("n"), F.coalesce(at("n", 1), F.lit(0)).alias("n_without_any"), *[F.round(at("e", i), 6).alias(c) for i, c in enumerate(names)])
 
 
-sql_query("variance_by_category", "SELECT event_type, count(*) AS n, round(var_samp(value), 4) AS v FROM events GROUP BY event_type")
-sql_query("frequency_percent", "SELECT coalesce(event_type, 'none') AS event_type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM events GROUP BY 1")
-sql_query("rowwise_label_votes", f"WITH {LAB} SELECT entity, CAST(sum(CASE WHEN label THEN 1 ELSE 0 END) AS BIGINT) AS n_yes, CAST(sum(CASE WHEN label THEN 0 ELSE 1 END) AS BIGINT) AS n_no, max_by(label, period) AS last_label FROM lab GROUP BY entity")
+@query("SELECT event_type, count(*) AS n, round(var_samp(value), 4) AS v FROM events GROUP BY event_type")
+def variance_by_category(t):
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.var_samp("value"), 4).alias("v"))
+
+
+@query("SELECT coalesce(event_type, 'none') AS event_type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM events GROUP BY 1")
+def frequency_percent(t):
+    kinds = t.events.select(F.coalesce("event_type", F.lit("none")).alias("event_type"))
+    return tables.percentages(kinds, ["event_type"]).withColumn("percent", F.round("percent", 4))
+
+
+@query(f"WITH {LAB} SELECT entity, CAST(sum(CASE WHEN label THEN 1 ELSE 0 END) AS BIGINT) AS n_yes, CAST(sum(CASE WHEN label THEN 0 ELSE 1 END) AS BIGINT) AS n_no, max_by(label, period) AS last_label FROM lab GROUP BY entity")
+def rowwise_label_votes(t):
+    days = user_days(t)
+    last = days.groupBy("entity").agg(F.max_by("label", "period").alias("last_label"))
+    return tables.counts_if(days, ["entity"], n_yes=F.col("label"), n_no=~F.col("label")).join(last, "entity")
 
 
 @query("SELECT DISTINCT event_type, user_id AS entity FROM events WHERE day(ts) = 3")
@@ -260,7 +287,12 @@ def explode_entities(t):
 
 
 sql_query("noise_guard", "SELECT count(*) FILTER (WHERE event_type IS NULL) AS n_null, count(*) FILTER (WHERE value < 0) AS n_negative FROM events")
-sql_query("table_profile", "SELECT count(*) AS n, round(min(value), 4) AS lo, round(max(value), 4) AS hi, count(*) - count(value) AS n_null, count(DISTINCT user_id) AS n_users FROM events")
+
+
+@query("SELECT count(*) AS n, round(min(value), 4) AS lo, round(max(value), 4) AS hi, count(*) - count(value) AS n_null, count(DISTINCT user_id) AS n_users FROM events")
+def table_profile(t):
+    p = tables.profile(t.events, "value", "user_id")
+    return p.select("n", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n_null", F.col("n_keys").alias("n_users"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

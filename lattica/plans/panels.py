@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import contrib, nulls, panel, ranks, stats
+from lattica.operators import contrib, nulls, panel, ranks, stats, tables
 from lattica.operators.components import cut
 from lattica.plans.registry import Tables, query, sql_query
 
@@ -120,7 +120,9 @@ def spearman_size_extremity(t):
     return ranks.spearman_of_rows(p1(t), ["period"], "n", "score").select("period", r("rho").alias("rho"))
 
 
-sql_query("pearson_corr", f"WITH {P1} SELECT period, round(corr(score, n), 6) AS r FROM p1 GROUP BY period")
+@query(f"WITH {P1} SELECT period, round(corr(score, n), 6) AS r FROM p1 GROUP BY period")
+def pearson_corr(t):
+    return p1(t).groupBy("period").agg(r(F.corr("score", "n")).alias("r"))
 
 
 @query(f"WITH {P1}, q AS (SELECT entity, period, percent_rank() OVER (PARTITION BY period ORDER BY score) AS pct FROM p1) SELECT entity, period, round(pct, 6) AS pct, round(abs(pct - 0.5) * 2, 6) AS extremity FROM q")
@@ -213,7 +215,9 @@ def attrition(t):
     return panel.attrition(rows, rows.where(F.col("period") == BASE).select("entity"), list(range(BASE, LAST + 1)))
 
 
-sql_query("completeness", f"WITH {P1}, k AS (SELECT entity, count(DISTINCT period) AS n_periods FROM p1 GROUP BY entity) SELECT n_periods, count(*) AS n_entities FROM k GROUP BY n_periods")
+@query(f"WITH {P1}, k AS (SELECT entity, count(DISTINCT period) AS n_periods FROM p1 GROUP BY entity) SELECT n_periods, count(*) AS n_entities FROM k GROUP BY n_periods")
+def completeness(t):
+    return p1(t).groupBy("entity").agg(F.count_distinct("period").alias("n_periods")).groupBy("n_periods").agg(F.count("*").alias("n_entities"))
 
 
 @query(f"WITH {P1}, e AS (SELECT entity, min(period) AS entry FROM p1 GROUP BY entity) SELECT entry, count(*) AS n FROM e GROUP BY entry")
@@ -233,7 +237,12 @@ def native_vs_fixed_eta2(t):
     return stats.variance_components(scored(t).join(best, ["entity", "period"]), ["period"], "native", "z").select("period", r(stats.eta2()).alias("eta2_native"))
 
 
-sql_query("sample_overview", f"WITH {P1} SELECT period, count(*) AS n, count(DISTINCT cluster) AS k, count(*) FILTER (WHERE z > 1) AS n_high, count(*) FILTER (WHERE z < -1) AS n_low FROM z GROUP BY period")
+@query(f"WITH {P1} SELECT period, count(*) AS n, count(DISTINCT cluster) AS k, count(*) FILTER (WHERE z > 1) AS n_high, count(*) FILTER (WHERE z < -1) AS n_low FROM z GROUP BY period")
+def sample_overview(t):
+    n = scored(t).groupBy("period").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("k"))
+    return n.join(tables.counts_if(scored(t), ["period"], n_high=F.col("z") > 1, n_low=F.col("z") < -1), "period")
+
+
 sql_query("unpivot_scores", f"WITH {P1}, w AS (SELECT cluster, avg(CASE WHEN period = 1995 THEN z END) AS s1995, avg(CASE WHEN period = 1996 THEN z END) AS s1996 FROM z GROUP BY cluster) SELECT cluster, CAST(1995 AS INT) AS period, round(s1995, 6) AS score FROM w UNION ALL SELECT cluster, CAST(1996 AS INT), round(s1996, 6) FROM w")
 
 
@@ -324,20 +333,70 @@ def pseudo_label_null(t):
     return out.select(r("o").alias("observed"), r("m").alias("null_mean"), r(F.col("e")[0]).alias("null_low"), r(F.col("e")[1]).alias("null_high"), "n_draws")
 
 
-sql_query("trend_table", f"""WITH {P1}{ANOVA}, m AS (SELECT 'eta2' AS measure, period, ssb / (ssb + ssw) AS v FROM av UNION ALL SELECT 'between', period, ssb / n FROM av UNION ALL SELECT 'k', period, CAST(k AS DOUBLE) FROM av), mm AS (SELECT measure, period, round(v, 9) AS v FROM m)
+@query(f"""WITH {P1}{ANOVA}, m AS (SELECT 'eta2' AS measure, period, ssb / (ssb + ssw) AS v FROM av UNION ALL SELECT 'between', period, ssb / n FROM av UNION ALL SELECT 'k', period, CAST(k AS DOUBLE) FROM av), mm AS (SELECT measure, period, round(v, 9) AS v FROM m)
 SELECT a.measure, round(sum(sign(b.period - a.period) * sign(b.v - a.v)) / nullif(sqrt(CAST(count(*) FILTER (WHERE a.period <> b.period) AS DOUBLE) * count(*) FILTER (WHERE a.v <> b.v)), 0), 6) AS tau, round(max(CASE WHEN a.period = 1995 THEN a.v END), 6) AS start_value, round(max(CASE WHEN a.period = 2001 THEN a.v END), 6) AS end_value, count(DISTINCT a.period) AS n
 FROM mm a JOIN mm b ON a.measure = b.measure GROUP BY a.measure""")
-sql_query("decomposition_crosscheck", f"WITH {P1}{ANOVA}, tv AS (SELECT period, var_pop(z) AS v FROM z GROUP BY period) SELECT round(max(abs((ssb + ssw) / n - v)), 6) AS max_diff, count(*) AS n FROM av JOIN tv ON av.period = tv.period")
-sql_query("series_long", f"WITH {P1}{ANOVA} SELECT period, 'eta2_percent' AS measure, round(100 * ssb / (ssb + ssw), 4) AS v FROM av UNION ALL SELECT period, 'between', round(ssb / n, 4) FROM av")
-sql_query("robust_movers", f"WITH {P1}{CONTRIB}{SPLIT}, k AS (SELECT s.cluster, change, rank() OVER (ORDER BY round(change, 10) DESC) AS up, rank() OVER (ORDER BY round(change, 10)) AS down FROM s JOIN b ON s.cluster = b.cluster WHERE b.period = 2001 AND b.n >= 2) SELECT cluster, round(change, 8) AS change, CASE WHEN up <= 3 THEN 'up' ELSE 'down' END AS side FROM k WHERE up <= 3 OR down <= 3")
+def trend_table(t):
+    av = cut(_anova(t))
+    series = tables.long_series(av, ["period"], {"eta2": F.round(stats.eta2(), 9), "between": F.round(F.col("ssb") / F.col("n"), 9), "k": F.col("k").cast("double")})
+    out = tables.trend(series, stats.kendall, BASE, LAST)
+    return out.select("measure", r("tau").alias("tau"), r("start_value").alias("start_value"), r("end_value").alias("end_value"), "n")
+
+
+@query(f"WITH {P1}{ANOVA}, tv AS (SELECT period, var_pop(z) AS v FROM z GROUP BY period) SELECT round(max(abs((ssb + ssw) / n - v)), 6) AS max_diff, count(*) AS n FROM av JOIN tv ON av.period = tv.period")
+def decomposition_crosscheck(t):
+    total = scored(t).groupBy("period").agg(F.var_pop("z").alias("v"))
+    off = F.abs(F.col("sst") / F.col("n") - F.col("v"))
+    return _anova(t).join(total, "period").agg(r(F.max(off)).alias("max_diff"), F.count("*").alias("n"))
+
+
+@query(f"WITH {P1}{ANOVA} SELECT period, 'eta2_percent' AS measure, round(100 * ssb / (ssb + ssw), 4) AS v FROM av UNION ALL SELECT period, 'between', round(ssb / n, 4) FROM av")
+def series_long(t):
+    return tables.long_series(_anova(t), ["period"], {"eta2_percent": F.round(100 * stats.eta2(), 4), "between": F.round(F.col("ssb") / F.col("n"), 4)})
+
+
+@query(f"WITH {P1}{CONTRIB}{SPLIT}, k AS (SELECT s.cluster, change, rank() OVER (ORDER BY round(change, 10) DESC) AS up, rank() OVER (ORDER BY round(change, 10)) AS down FROM s JOIN b ON s.cluster = b.cluster WHERE b.period = 2001 AND b.n >= 2) SELECT cluster, round(change, 8) AS change, CASE WHEN up <= 3 THEN 'up' ELSE 'down' END AS side FROM k WHERE up <= 3 OR down <= 3")
+def robust_movers(t):
+    large = contrib.contributions(scored(t)).where((F.col("period") == LAST) & (F.col("n") >= 2)).select("cluster")
+    return tables.movers(_changes(t).join(large, "cluster", "left_semi"), "change", 3).select("cluster", r("change", 8).alias("change"), "side")
+
+
+@query(f"WITH {P1} SELECT period, cluster, count(*) AS n, round(avg(z), 6) AS m, round(var_samp(z), 6) AS v FROM z GROUP BY period, cluster")
+def cluster_period_means(t):
+    return scored(t).groupBy("period", "cluster").agg(F.count("*").alias("n"), r(F.avg("z")).alias("m"), r(F.var_samp("z")).alias("v"))
+
+
+@query(f"WITH {P1} SELECT cluster, count(*) FILTER (WHERE z > 0) AS n_pos, CAST(sum(CASE WHEN z < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg, round(sqrt(avg(z * z)), 6) AS rms FROM z WHERE cluster <> 0 GROUP BY cluster")
+def group_conditional_counts(t):
+    rows = scored(t).where("cluster <> 0")
+    n = tables.counts_if(rows, ["cluster"], n_pos=F.col("z") > 0, n_neg=F.col("z") < 0)
+    return n.join(rows.groupBy("cluster").agg(r(F.sqrt(F.avg(F.col("z") * F.col("z")))).alias("rms")), "cluster")
+
+
+@query(f"WITH {P1} SELECT period, count(DISTINCT entity) AS n, count(DISTINCT CASE WHEN z > 0 THEN entity END) AS n_pos FROM z GROUP BY period")
+def distinct_entities(t):
+    return tables.distinct_if(scored(t), ["period"], "entity", n_pos=F.col("z") > 0)
 
-sql_query("cluster_period_means", f"WITH {P1} SELECT period, cluster, count(*) AS n, round(avg(z), 6) AS m, round(var_samp(z), 6) AS v FROM z GROUP BY period, cluster")
-sql_query("group_conditional_counts", f"WITH {P1} SELECT cluster, count(*) FILTER (WHERE z > 0) AS n_pos, CAST(sum(CASE WHEN z < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg, round(sqrt(avg(z * z)), 6) AS rms FROM z WHERE cluster <> 0 GROUP BY cluster")
-sql_query("distinct_entities", f"WITH {P1} SELECT period, count(DISTINCT entity) AS n, count(DISTINCT CASE WHEN z > 0 THEN entity END) AS n_pos FROM z GROUP BY period")
-sql_query("value_at_first_last", f"WITH {P1} SELECT entity, round(min_by(score, period), 4) AS first_value, round(max_by(score, period), 4) AS last_value FROM p1 GROUP BY entity")
-sql_query("group_quantiles", f"WITH {P1} SELECT period, round(median(z), 6) AS med, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY z), 6) AS q10, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY z), 6) AS q90 FROM z GROUP BY period")
-sql_query("running_share", f"WITH {P1}{CONTRIB} SELECT period, cluster, round(sum(w) OVER (PARTITION BY period ORDER BY w DESC, cluster ROWS UNBOUNDED PRECEDING), 6) AS share FROM b")
-sql_query("sample_sd_skewness", f"WITH {P1}, s AS (SELECT period, avg(z) AS m, stddev_samp(z) AS sd FROM z GROUP BY period) SELECT z.period, round(avg((z - m) * (z - m) * (z - m)) / max(sd * sd * sd), 6) AS skew, round(avg(CASE WHEN abs(z) > 2 THEN 1.0E0 ELSE 0.0E0 END), 6) AS beyond FROM z JOIN s ON z.period = s.period GROUP BY z.period")
+
+@query(f"WITH {P1} SELECT entity, round(min_by(score, period), 4) AS first_value, round(max_by(score, period), 4) AS last_value FROM p1 GROUP BY entity")
+def value_at_first_last(t):
+    return tables.first_and_last(p1(t), ["entity"], "score", "period").select("entity", r("first_value", 4).alias("first_value"), r("last_value", 4).alias("last_value"))
+
+
+@query(f"WITH {P1} SELECT period, round(median(z), 6) AS med, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY z), 6) AS q10, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY z), 6) AS q90 FROM z GROUP BY period")
+def group_quantiles(t):
+    q = tables.group_quantiles(scored(t), ["period"], "z", med=0.5, q10=0.1, q90=0.9)
+    return q.select("period", *[r(c).alias(c) for c in ("med", "q10", "q90")])
+
+
+@query(f"WITH {P1}{CONTRIB} SELECT period, cluster, round(sum(w) OVER (PARTITION BY period ORDER BY w DESC, cluster ROWS UNBOUNDED PRECEDING), 6) AS share FROM b")
+def running_share(t):
+    return tables.running_share(contrib.contributions(scored(t)), ["period"], "w", "cluster").select("period", "cluster", r("share").alias("share"))
+
+
+@query(f"WITH {P1}, s AS (SELECT period, avg(z) AS m, stddev_samp(z) AS sd FROM z GROUP BY period) SELECT z.period, round(avg((z - m) * (z - m) * (z - m)) / max(sd * sd * sd), 6) AS skew, round(avg(CASE WHEN abs(z) > 2 THEN 1.0E0 ELSE 0.0E0 END), 6) AS beyond FROM z JOIN s ON z.period = s.period GROUP BY z.period")
+def sample_sd_skewness(t):
+    return tables.skewness(scored(t), ["period"], "z", 2.0).select("period", r("skew").alias("skew"), r("beyond").alias("beyond"))
 
 
 @query(f"WITH {P1} SELECT period, round(sum(score), 2) AS score, round(avg(z), 2) AS z FROM z GROUP BY period")
@@ -353,22 +412,89 @@ def significant_digits(t):
     return s.select("cluster", (F.round(F.col("x") / unit, 0) * unit).alias("x3"))
 
 
-sql_query("percent_change_vs_neighbors", f"WITH {P1}, s AS (SELECT cluster, avg(CASE WHEN period = 1999 THEN score END) AS mid, avg(CASE WHEN period IN (1998, 2000) THEN score END) AS side FROM p1 GROUP BY cluster) SELECT cluster, round(100 * (mid - side) / nullif(side, 0), 4) AS change FROM s")
-sql_query("member_flags", f"WITH {P1}, e AS (SELECT DISTINCT entity FROM p1 WHERE period = 2001) SELECT p1.entity, period, e.entity IS NOT NULL AS stays FROM p1 LEFT JOIN e ON p1.entity = e.entity")
+@query(f"WITH {P1}, s AS (SELECT cluster, avg(CASE WHEN period = 1999 THEN score END) AS mid, avg(CASE WHEN period IN (1998, 2000) THEN score END) AS side FROM p1 GROUP BY cluster) SELECT cluster, round(100 * (mid - side) / nullif(side, 0), 4) AS change FROM s")
+def percent_change_vs_neighbors(t):
+    return tables.change_at(p1(t), ["cluster"], "score", "period", 1999, (1998, 2000)).select("cluster", r("change", 4).alias("change"))
+
+
+@query(f"WITH {P1}, e AS (SELECT DISTINCT entity FROM p1 WHERE period = 2001) SELECT p1.entity, period, e.entity IS NOT NULL AS stays FROM p1 LEFT JOIN e ON p1.entity = e.entity")
+def member_flags(t):
+    rows = p1(t)
+    return tables.flagged(rows, rows.where("period = 2001"), "entity", "stays").select("entity", "period", "stays")
+
+
 sql_query("finite_only", f"WITH {P1}, s AS (SELECT cluster, stddev_samp(z) AS sd FROM z WHERE period = 2001 GROUP BY cluster) SELECT cluster, round(sd, 6) AS sd FROM s WHERE sd IS NOT NULL AND NOT isnan(sd)")
-sql_query("whitelist_filter", f"WITH {P1} SELECT entity, period FROM p1 WHERE cluster IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-sql_query("left_enrichment", f"WITH {P1} SELECT entity, period, n_name, r_name FROM p1 LEFT JOIN nation ON cluster = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
-sql_query("semi_join_partition", f"WITH {P1} SELECT entity, period FROM p1 WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = cluster)")
-sql_query("anti_join_coverage", "SELECT c_custkey AS entity FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-sql_query("cross_scalar_join", f"WITH {P1}, a AS (SELECT avg(score) AS m FROM p1) SELECT period, count(*) FILTER (WHERE score > m) AS n_above FROM p1 CROSS JOIN a GROUP BY period")
-sql_query("all_period_intersection", f"WITH {P1} SELECT cluster, count(DISTINCT period) AS n FROM p1 GROUP BY cluster HAVING count(DISTINCT period) = 7")
-sql_query("union_periods", f"WITH {P1} SELECT entity, period FROM p1 WHERE period = 1995 UNION ALL SELECT entity, period FROM p1 WHERE period = 1996")
-sql_query("intersect_periods", f"WITH {P1} SELECT entity FROM p1 WHERE period = 1995 INTERSECT SELECT entity FROM p1 WHERE period = 2000")
-sql_query("distinct_clusters", f"WITH {P1} SELECT DISTINCT cluster, period FROM p1")
-sql_query("entry_rule_difference", f"WITH {P1} SELECT 'only_first' AS side, count(*) AS n FROM (SELECT entity FROM p1 WHERE period = 1995 EXCEPT SELECT entity FROM p1 WHERE period = 2000) UNION ALL SELECT 'only_last', count(*) FROM (SELECT entity FROM p1 WHERE period = 2000 EXCEPT SELECT entity FROM p1 WHERE period = 1995)")
-sql_query("multi_key_sort_limit", f"WITH {P1} SELECT entity, period, round(score, 4) AS score FROM p1 ORDER BY period DESC, score DESC, entity LIMIT 25")
-sql_query("bottom_n", f"WITH {P1} SELECT entity, period, round(z, 6) AS z FROM z ORDER BY z, entity, period LIMIT 10")
-sql_query("top_n_with_ties", f"WITH {P1}, k AS (SELECT entity, period, n, rank() OVER (PARTITION BY period ORDER BY n DESC) AS i FROM p1) SELECT entity, period, n FROM k WHERE i <= 3")
+
+
+@query(f"WITH {P1} SELECT entity, period FROM p1 WHERE cluster IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def whitelist_filter(t):
+    allowed = t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("cluster"))
+    return p1(t).join(allowed, "cluster", "left_semi").select("entity", "period")
+
+
+@query(f"WITH {P1} SELECT entity, period, n_name, r_name FROM p1 LEFT JOIN nation ON cluster = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def left_enrichment(t):
+    names = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("cluster"), "n_name", "r_name")
+    return p1(t).join(names, "cluster", "left").select("entity", "period", "n_name", "r_name")
+
+
+@query(f"WITH {P1} SELECT entity, period FROM p1 WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = cluster)")
+def semi_join_partition(t):
+    return p1(t).join(t.supplier.select(F.col("s_nationkey").alias("cluster")), "cluster", "left_semi").select("entity", "period")
+
+
+@query("SELECT c_custkey AS entity FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join_coverage(t):
+    return t.customer.select(F.col("c_custkey").alias("entity")).join(t.orders.select(F.col("o_custkey").alias("entity")), "entity", "left_anti")
+
+
+@query(f"WITH {P1}, a AS (SELECT avg(score) AS m FROM p1) SELECT period, count(*) FILTER (WHERE score > m) AS n_above FROM p1 CROSS JOIN a GROUP BY period")
+def cross_scalar_join(t):
+    rows = tables.with_group(p1(t), [], m=F.avg("score"))
+    return tables.counts_if(rows, ["period"], n_above=F.col("score") > F.col("m"))
+
+
+@query(f"WITH {P1} SELECT cluster, count(DISTINCT period) AS n FROM p1 GROUP BY cluster HAVING count(DISTINCT period) = 7")
+def all_period_intersection(t):
+    return tables.in_all(p1(t), "cluster", "period", N_PERIODS)
+
+
+@query(f"WITH {P1} SELECT entity, period FROM p1 WHERE period = 1995 UNION ALL SELECT entity, period FROM p1 WHERE period = 1996")
+def union_periods(t):
+    at = lambda p: p1(t).where(F.col("period") == p).select("entity", "period")
+    return at(1995).unionByName(at(1996))
+
+
+@query(f"WITH {P1} SELECT entity FROM p1 WHERE period = 1995 INTERSECT SELECT entity FROM p1 WHERE period = 2000")
+def intersect_periods(t):
+    at = lambda p: p1(t).where(F.col("period") == p).select("entity")
+    return at(1995).intersect(at(2000))
+
+
+@query(f"WITH {P1} SELECT DISTINCT cluster, period FROM p1")
+def distinct_clusters(t):
+    return p1(t).select("cluster", "period").distinct()
+
+
+@query(f"WITH {P1} SELECT 'only_first' AS side, count(*) AS n FROM (SELECT entity FROM p1 WHERE period = 1995 EXCEPT SELECT entity FROM p1 WHERE period = 2000) UNION ALL SELECT 'only_last', count(*) FROM (SELECT entity FROM p1 WHERE period = 2000 EXCEPT SELECT entity FROM p1 WHERE period = 1995)")
+def entry_rule_difference(t):
+    at = lambda p: p1(t).where(F.col("period") == p).select("entity")
+    return tables.two_sided_difference(at(1995), at(2000), ("only_first", "only_last"))
+
+
+@query(f"WITH {P1} SELECT entity, period, round(score, 4) AS score FROM p1 ORDER BY period DESC, score DESC, entity LIMIT 25")
+def multi_key_sort_limit(t):
+    return p1(t).orderBy(F.desc("period"), F.desc("score"), "entity").limit(25).select("entity", "period", r("score", 4).alias("score"))
+
+
+@query(f"WITH {P1} SELECT entity, period, round(z, 6) AS z FROM z ORDER BY z, entity, period LIMIT 10")
+def bottom_n(t):
+    return scored(t).orderBy("z", "entity", "period").limit(10).select("entity", "period", r("z").alias("z"))
+
+
+@query(f"WITH {P1}, k AS (SELECT entity, period, n, rank() OVER (PARTITION BY period ORDER BY n DESC) AS i FROM p1) SELECT entity, period, n FROM k WHERE i <= 3")
+def top_n_with_ties(t):
+    return tables.with_ties(p1(t), ["period"], "n", 3).select("entity", "period", "n")
 
 
 @query(f"""WITH {P1}{CONTRIB}{SPLIT}, k AS (SELECT cluster, 'up' AS why, row_number() OVER (ORDER BY change DESC, cluster) AS i FROM s UNION ALL SELECT cluster, 'down', row_number() OVER (ORDER BY change, cluster) FROM s UNION ALL SELECT cluster, 'large', row_number() OVER (ORDER BY abs(change) DESC, cluster) FROM s)
@@ -386,7 +512,9 @@ def string_agg_reasons(t):
     return j.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.array_join(F.array_sort(F.collect_set("r_name")), "+").alias("reasons"))
 
 
-sql_query("percent_keep", f"WITH {P1}, k AS (SELECT entity, score, row_number() OVER (ORDER BY score DESC, entity) AS i, count(*) OVER () AS n FROM p1 WHERE period = 1999) SELECT entity, round(score, 4) AS score FROM k WHERE i <= floor(n * 0.2)")
+@query(f"WITH {P1}, k AS (SELECT entity, score, row_number() OVER (ORDER BY score DESC, entity) AS i, count(*) OVER () AS n FROM p1 WHERE period = 1999) SELECT entity, round(score, 4) AS score FROM k WHERE i <= floor(n * 0.2)")
+def percent_keep(t):
+    return tables.best_share(p1(t).where("period = 1999"), 0.2, F.desc("score"), "entity").select("entity", r("score", 4).alias("score"))
 
 
 @query(f"WITH {P1} SELECT entity, CAST(row_number() OVER (ORDER BY md5(concat(CAST(entity AS VARCHAR(20)), '-42')), entity) AS INT) AS place FROM p1 WHERE period = 1997")
@@ -396,8 +524,17 @@ def seeded_shuffle(t):
     return ranks.positions(rows, ["all"], [key, "entity"]).select("entity", (F.col("pos") + 1).cast("int").alias("place"))
 
 
-sql_query("partition_mean_attach", f"WITH {P1} SELECT entity, period, round(z - avg(z) OVER (PARTITION BY period), 6) AS dev, count(*) OVER (PARTITION BY period) AS n FROM z")
-sql_query("endpoint_change", f"WITH {P1} SELECT cluster, round(avg(CASE WHEN period = 2001 THEN z END) - avg(CASE WHEN period = 1995 THEN z END), 6) AS change FROM z GROUP BY cluster")
+@query(f"WITH {P1} SELECT entity, period, round(z - avg(z) OVER (PARTITION BY period), 6) AS dev, count(*) OVER (PARTITION BY period) AS n FROM z")
+def partition_mean_attach(t):
+    rows = tables.with_group(scored(t), ["period"], mean=F.avg("z"), size=F.count("*"))
+    return rows.select("entity", "period", r(F.col("z") - F.col("mean")).alias("dev"), F.col("size").alias("n"))
+
+
+@query(f"WITH {P1} SELECT cluster, round(avg(CASE WHEN period = 2001 THEN z END) - avg(CASE WHEN period = 1995 THEN z END), 6) AS change FROM z GROUP BY cluster")
+def endpoint_change(t):
+    return tables.ends_change(scored(t), ["cluster"], "z", "period", BASE, LAST).select("cluster", r("change").alias("change"))
+
+
 sql_query("signed_format", f"WITH {P1} SELECT cluster, period, CASE WHEN avg(z) >= 0 THEN '+' ELSE '-' END AS sign, CAST(round(abs(avg(z)) * 100, 0) AS INT) AS hundredths FROM z GROUP BY cluster, period")
 sql_query("composite_key", f"WITH {P1} SELECT concat(CAST(period AS VARCHAR(9)), '_', CAST(cluster AS VARCHAR(9))) AS key, count(*) AS n FROM p1 GROUP BY 1")
 sql_query("year_from_timestamp", "SELECT CAST(year(l_shipdate) AS INT) AS period, count(*) AS n FROM lineitem GROUP BY 1")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import periods, strings
-from lattica.operators import components, contrib, density, graph, nulls, panel, ranks, stats, text, vectors
+from lattica.operators import components, contrib, density, graph, nulls, panel, ranks, stats, tables, text, vectors
 from lattica.sources import files
 
 
@@ -311,3 +311,38 @@ def test_further_sources(spark, tmp_path):
     first = files.stored_neighbours(x, 2, str(tmp_path / "knn"), "all").collect()
     assert sorted(first) == sorted(files.stored_neighbours(x, 2, str(tmp_path / "knn"), "all").collect()) and len(list((tmp_path / "knn").iterdir())) == 1
     assert files.stored_neighbours(x.where("id < 9"), 2, str(tmp_path / "knn"), "all").count() == 18 and len(list((tmp_path / "knn").iterdir())) == 2
+
+
+def test_table_operators(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0, 1), (1, "b", -1.0, 2), (1, "a", None, 3), (2, "c", 5.0, 1), (2, "c", 5.0, 2), (2, "d", 0.0, 3)], "g int, k string, v double, t int")
+    sets = lambda df: {tuple(r) for r in df.collect()}
+    assert sets(tables.counts_if(rows, ["g"], pos=F.col("v") > 0, neg=F.col("v") < 0)) == {(1, 1, 1), (2, 2, 0)}
+    assert sets(tables.distinct_if(rows, ["g"], "k", pos=F.col("v") > 0)) == {(1, 2, 1), (2, 2, 1)}
+    assert sets(tables.first_and_last(rows, ["g"], "v", "t")) == {(1, 2.0, None), (2, 5.0, 0.0)}
+    assert sets(tables.group_quantiles(rows, ["g"], "v", q=0.25)) == {(1, -0.25), (2, 2.5)}
+    assert sets(tables.with_ties(rows.where("v is not null"), ["g"], "v", 1).select("g", "k")) == {(1, "a"), (2, "c")}
+    assert sets(tables.change_at(rows, ["g"], "v", "t", 2, (1, 3))) == {(1, -150.0), (2, 100.0)}
+    assert sets(tables.ends_change(rows, ["g"], "v", "t", 1, 3)) == {(1, None), (2, -5.0)}
+    assert sets(tables.flagged(rows, rows.where("v > 1"), "k", "in_").select("g", "k", "in_")) == {(1, "a", True), (1, "b", False), (2, "c", True), (2, "d", False)}
+    assert sets(tables.in_all(rows, "k", "t", 2)) == {("a", 2), ("c", 2)}
+    one, two = rows.where("g = 1").select("t"), rows.where("t > 1").select("t")
+    assert sets(tables.two_sided_difference(one, two, ("x", "y"))) == {("x", 1), ("y", 0)}
+    assert [r["v"] for r in tables.best_share(rows.where("v is not null"), 0.5, F.desc("v"), "t").collect()] == [5.0, 5.0]
+    assert sets(tables.with_group(rows, ["g"], n=F.count("v")).select("g", "n")) == {(1, 2), (2, 3)} and sets(tables.with_group(rows, [], n=F.count("v")).select("n")) == {(5,)}
+    assert sets(tables.long_series(rows.where("g = 2 and t = 3"), ["t"], {"x": F.col("v"), "y": F.col("v") + 1})) == {(3, "x", 0.0), (3, "y", 1.0)}
+    assert sets(tables.percentages(rows, ["k"])) == {("a", 2, 100 / 3), ("b", 1, 100 / 6), ("c", 2, 100 / 3), ("d", 1, 100 / 6)}
+    assert sets(tables.profile(rows, "v", "k")) == {(6, -1.0, 5.0, 1, 4)}
+    assert [round(r["share"], 2) for r in tables.running_share(rows.where("g = 2"), ["g"], "v", "t").orderBy("share", "t").collect()] == [5.0, 10.0, 10.0]
+    moved = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 0.0), ("d", -2.0)], "k string, x double")
+    assert sets(tables.movers(moved, "x", 1)) == {("a", 3.0, "up"), ("d", -2.0, "down")}
+    skew = tables.skewness(moved, [], "x", 1.5).first()
+    x = np.array([3.0, 1.0, 0.0, -2.0])
+    assert skew["beyond"] == 0.5 and skew["skew"] == pytest.approx(np.mean((x - x.mean()) ** 3) / x.std(ddof=1) ** 3)
+
+
+def test_label_provenance(spark):
+    labels = [("a", 0, False), ("b", 0, True), ("c", 1, False), ("d", 1, True), ("e", 1, True), ("e", 2, False)]
+    status = panel.label_status(spark.createDataFrame(labels, "entity string, period int, label boolean"), 0)
+    people = spark.createDataFrame([("x", e) for e in "abcdef"] + [("y", "f")], "basis string, entity string")
+    got = {(r["basis"], r["status"][0]): (r["n"], round(r["percent"], 3)) for r in panel.provenance(people, status).collect()}
+    assert got == {**{("x", s): (1, 16.667) for s in "ABCDEF"}, ("y", "F"): (1, 100.0)}
