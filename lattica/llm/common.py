@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a worker takes up at once.
 SLICE_BYTES = 2 << 20
 #: Rows of a narrow table in one partition of a checkpoint.
-PARTITION_ROWS = 500_000
+PARTITION_ROWS = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
