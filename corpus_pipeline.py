@@ -18,9 +18,10 @@ LEAST_LANGUAGE_SHARE = 0.35
 
 
 def _as_many_files(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """``out`` in no more partitions than the files of ``docs`` are read in: a shuffle's many
-    partitions would make many small files."""
-    return out.coalesce(max(1, docs.rdd.getNumPartitions()))
+    """``out`` in no more partitions than ``docs`` is read in, where shuffles have over twice as
+    many: each would be a small file."""
+    parts = max(1, docs.rdd.getNumPartitions())
+    return out.coalesce(parts) if int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 2 * parts else out
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
