@@ -185,7 +185,14 @@ def line_label_backfill(t):
     return comp.join(one, "component").select("node", F.coalesce("label", F.when(F.col("kinds") == 1, F.col("line_label"))).alias("label"), (F.col("kinds") > 1).alias("conflict"))
 
 
-sql_query("labeling_pool", f"WITH {P2} SELECT period, cluster, count(*) AS n_members, min(entity) AS example, count(*) FILTER (WHERE entity % 5 = 0) AS n_labelled FROM mem GROUP BY period, cluster")
+@query(f"""WITH {P2}{SCORED[: SCORED.index(",{}en AS".format(chr(10)))]}, pool AS (SELECT period, cluster, count(*) AS n_members, min(entity) AS example, count(*) FILTER (WHERE entity % 5 = 0) AS n_labelled FROM mem GROUP BY 1, 2)
+SELECT pool.period, pool.cluster, n_members, example, n_labelled, round(100.0E0 * n_labelled / n_members, 4) AS percent_labelled, round(w * d * d, 8) AS contribution FROM pool JOIN cs ON pool.period = cs.period AND pool.cluster = cs.cluster""")
+def labeling_pool(t):
+    """Clusters to be labelled: members, an example, how many have a label, and the contribution by
+    which they are to be taken in turn."""
+    pool = membership(t).groupBy("period", "cluster").agg(F.count("*").alias("n_members"), F.min("entity").alias("example"), F.count_if(F.col("entity") % 5 == 0).alias("n_labelled"))
+    parts = contrib.contributions(_scored(t)).select("period", "cluster", F.round("b", 8).alias("contribution"))
+    return pool.join(parts, ["period", "cluster"]).withColumn("percent_labelled", F.round(100.0 * F.col("n_labelled") / F.col("n_members"), 4))
 
 
 @query(f"WITH {FLOW} SELECT period, old, new, round(inter / CAST(n_old AS DOUBLE), 6) AS in_old, round(inter / CAST(n_new AS DOUBLE), 6) AS in_new FROM ed")
