@@ -139,10 +139,14 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
     distinct = firsts.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy(*key).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vec").alias("vec"))
     distinct = durable(distinct.select("h1", "dim", "ids", "vec"))
 
-    sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    counts = distinct.groupBy("dim").agg(F.count("*").alias("n"))
+    sizes = {r["dim"]: r["n"] for r in counts.collect()}
+    # by a hash about four times the sample: what one task ranks doesn't grow with the vectors
+    few = F.pmod(F.xxhash64("h1", F.lit(5)), F.lit(1 << 20)) * F.col("n") < F.lit(4 * PIVOT_SAMPLE << 20)
+    some = distinct.join(F.broadcast(counts), "dim").where(few)
     nth = F.row_number().over(Window.partitionBy("dim").orderBy("h1"))
     sample = defaultdict(list)
-    for r in distinct.withColumn("nth", nth).where(F.col("nth") <= PIVOT_SAMPLE).select("dim", "vec").collect():
+    for r in some.withColumn("nth", nth).where(F.col("nth") <= PIVOT_SAMPLE).select("dim", "vec").collect():
         sample[r["dim"]].append(r["vec"])
     pivots = {dim: _choose_pivots(rows) for dim, rows in sample.items() if dim}
     asked = firsts.where(F.col("vec_id") % query_step == 0)
