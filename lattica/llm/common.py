@@ -40,16 +40,21 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def merges_partitions(spark: SparkSession) -> bool:
+    """Whether Spark puts a shuffle's small partitions together by itself."""
+    return all(spark.conf.get(f"spark.sql.adaptive.{x}") == "true" for x in ("enabled", "coalescePartitions.enabled"))
+
+
 def durable(df: DataFrame, rows: int | None = None, waves: int = 1) -> DataFrame:
     """Cut lineage with an eager reliable checkpoint in the shared folder.
 
-    Every partition becomes a file: where about so many ``rows`` of a narrow table are expected,
-    they are put into no more partitions than tasks run at once (``waves`` times) or
-    ``PARTITION_ROWS`` asks for.
+    Every partition becomes a file. Where Spark doesn't put small partitions together, a narrow
+    table of about so many ``rows`` is put into no more than tasks run at once (``waves`` times)
+    or ``PARTITION_ROWS`` asks for.
     """
     spark = df.sparkSession
     _checkpoint_dir(spark)
-    if rows is not None:
+    if rows is not None and not merges_partitions(spark):
         parts = max(waves * spark.sparkContext.defaultParallelism, rows // PARTITION_ROWS + 1)
         if parts < int(spark.conf.get("spark.sql.shuffle.partitions")):
             df = df.coalesce(parts)
