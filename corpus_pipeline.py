@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import forget, read_table, stored
+from lattica.llm.common import forget, merges_partitions, read_table, stored
 from lattica.llm.decontaminate import without_leaks
 from lattica.llm.jaccard import first_of_class
 from lattica.llm.language import keep_identified
@@ -18,10 +18,9 @@ LEAST_LANGUAGE_SHARE = 0.35
 
 
 def _as_many_files(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """``out`` in no more partitions than ``docs`` is read in, where shuffles have over twice as
-    many: each would be a small file."""
-    parts = max(1, docs.rdd.getNumPartitions())
-    return out.coalesce(parts) if int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 2 * parts else out
+    """``out`` in no more partitions than ``docs`` is read in, where Spark doesn't put the small
+    partitions of a shuffle together itself: each would be a small file."""
+    return out if merges_partitions(out.sparkSession) else out.coalesce(max(1, docs.rdd.getNumPartitions()))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
