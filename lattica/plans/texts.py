@@ -183,8 +183,7 @@ def text_validity_filter(t):
 
 @query("SELECT doc_id FROM documents WHERE NOT (lower(source) IN ('src3', 'src7') OR lower(source) LIKE '%bot' OR lower(source) LIKE 'bot\\_%' ESCAPE '\\') AND text NOT IN ('[deleted]', '[removed]')")
 def bot_filter(t):
-    cleaned = F.when(F.col("text").isin("[deleted]", "[removed]"), "").otherwise(F.col("text"))
-    return t.documents.where(~text.is_bot(F.col("source"), ["src3", "src7"]) & (cleaned != "")).select("doc_id")
+    return t.documents.where(~text.is_bot(F.col("source"), ["src3", "src7"]) & ~F.col("text").isin("[deleted]", "[removed]")).select("doc_id")
 
 
 LABELLED = "l AS (SELECT lang AS stratum, quality = 1 AS gold, n_chars >= 400 AS said FROM labels JOIN documents ON labels.doc_id = documents.doc_id)"
