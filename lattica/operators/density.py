@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import vectors
-from lattica.operators.components import connected_components, cut
+from lattica.operators.components import connected_components
 
 NOISE = -1
 
@@ -21,7 +21,7 @@ def density_clusters(rows: DataFrame, k: int = 10, least: int = 30, reach: float
     single-linkage tree of mutual reachability, cut at one height.
     """
     far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim")))
-    near = cut(vectors.nearest(rows, k).select("id", "neighbor", "rank", far.alias("d")))
+    near = vectors.nearest(rows, k).select("id", "neighbor", "rank", far.alias("d"))
     core = near.groupBy("id").agg(F.max("d").alias("core"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
     if reach is None:
         reach = core.agg(F.percentile_approx("core", share, 10_000)).first()[0]
