@@ -118,13 +118,29 @@ def moran_test(values: DataFrame, links: DataFrame, by: list[str] | None = None)
     by = by or []
     mean = values.agg(F.avg("z").alias("__m"))
     centred = values.crossJoin(F.broadcast(mean)).select("id", (F.col("z") - F.col("__m")).alias("c"))
-    moments = centred.agg(F.sum(F.col("c") ** 2).alias("m2"), F.sum(F.col("c") ** 4).alias("m4"), F.count("*").alias("all"))
     at = links.join(centred.withColumnsRenamed({"id": "src", "c": "zi"}), "src").join(centred.withColumnsRenamed({"id": "dst", "c": "zj"}), "dst")
     cross = at.groupBy(*by).agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("cross"), F.sum("w").alias("s0"))
     pairs = links.select(*by, F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionByName(links.select(*by, F.col("dst").alias("a"), F.col("src").alias("b"), "w"))
     s1 = pairs.groupBy(*by, "a", "b").agg(F.sum("w").alias("w")).groupBy(*by).agg((F.sum(F.col("w") ** 2) / 2).alias("s1"))
     s2 = pairs.groupBy(*by, "a").agg(F.sum("w").alias("w")).groupBy(*by).agg(F.sum(F.col("w") ** 2).alias("s2"), F.count("*").cast("double").alias("n"))
     both = cross.join(s1, by).join(s2, by) if by else cross.crossJoin(s1).crossJoin(s2)
+    return _judged(centred, both, by)
+
+
+def moran_test_of_lags(centred: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """What ``moran_test`` gives for row-standardised links in both directions, from the centred
+    values (c) of all nodes and, for each node with links, its value c, the number of its neighbours
+    (degree), the sum of their values (lag) and that of the weights 1 / degree that they have (back)."""
+    own = 1 / F.col("degree")
+    both = rows.groupBy(*by).agg(
+        F.sum(F.col("c") * F.col("lag") * own).alias("cross"), F.count("*").cast("double").alias("s0"), F.sum(own + own * F.col("back")).alias("s1"), F.sum((1 + F.col("back")) ** 2).alias("s2"), F.count("*").cast("double").alias("n")
+    )
+    return _judged(centred, both, by)
+
+
+def _judged(centred: DataFrame, both: DataFrame, by: list[str]) -> DataFrame:
+    """Moran's I and its test from the centred values (c) and the sums cross, s0, s1, s2 and n of the links."""
+    moments = centred.agg(F.sum(F.col("c") ** 2).alias("m2"), F.sum(F.col("c") ** 4).alias("m4"), F.count("*").alias("all"))
     n, s0, s_1, s_2 = F.col("n"), F.col("s0"), F.col("s1"), F.col("s2")
     k = F.col("all") * F.col("m4") / (F.col("m2") * F.col("m2"))
     e = -1 / (n - 1)
