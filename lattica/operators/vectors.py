@@ -57,15 +57,17 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
-def nearest(rows: DataFrame, k: int, queries: DataFrame | None = None, other: str | None = None) -> DataFrame:
+def nearest(rows: DataFrame, k: int, queries: DataFrame | None = None, other: str | None = None, along: list[float] | None = None) -> DataFrame:
     """id, neighbor, rank, sim: the k most similar other vectors of ``rows`` (id, e unit) for each
     of ``queries`` (default: all), exactly; ties to the smaller id. With ``other``, the column of a
-    second vector as long as ``e``, also the inner product of the two in it.
+    second vector as long as ``e``, also the inner product of the two in it. With ``along``, a vector
+    (if shorter, its other components are 0), also length and along: the length of the way from the
+    vector to its neighbour, and the inner product of that way with ``along``.
 
     The vectors are sent to all executors, and each task keeps the k best of its queries: what is
     shuffled and written grows as rows and results. The table is written down.
     """
-    return pairs.nearest(rows, k, queries, other, BLOCK)
+    return pairs.nearest(rows, k, queries, other, along, BLOCK)
 
 
 def close_pairs(rows: DataFrame, above: float) -> DataFrame:
